@@ -248,6 +248,13 @@ def split_path(path: str) -> tuple[tuple[str, ...], str]:
     return tuple(parts[:-1]), parts[-1]
 
 
+def mentioned(source: Source, expr: str) -> list[str]:
+    """Dimensions of ``source`` that reach into joins and that ``expr`` names without a path."""
+    bare = re.sub(r"""'(?:[^'\\]|\\.|'')*'|"(?:[^"\\]|\\.|"")*\"""", "", expr)
+    words = set(re.findall(r"(?<![\w.`])\w+(?![\w.`(])|(?<=`)[^`]+(?=`)", bare))
+    return [d.name for d in source.dimensions if d.name in words and resolve_paths(source, d.expr)[1]]
+
+
 def resolve_paths(source: Source, expr: str) -> tuple[str, set[tuple[str, ...]]]:
     """Replace join paths in ``expr`` by the flat column names of the joined frame, and
     list the paths. Text inside literals and dots that start with no join are left alone."""

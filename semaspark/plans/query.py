@@ -14,7 +14,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from semaspark.plans.model import (Join, Measure, Model, ModelError, Source, quoted, resolve_paths, split_path)
+from semaspark.plans.model import (Join, Measure, Model, ModelError, Source, mentioned, quoted, resolve_paths,
+                                   split_path)
 
 
 @dataclass
@@ -45,8 +46,16 @@ def _want(model: Model, root: _Need, path: tuple[str, ...], name: str) -> None:
     need.fields.add(name)
     declared = need.source.dimension(name)
     if declared:
-        for used in resolve_paths(need.source, declared.expr)[1]:
-            _want(model, need, used[:-1], used[-1])
+        _want_all(model, need, declared.expr)
+
+
+def _want_all(model: Model, need: _Need, expr: str) -> None:
+    """Everything an expression of this source reads through joins."""
+    for used in resolve_paths(need.source, expr)[1]:
+        _want(model, need, used[:-1], used[-1])
+    for name in mentioned(need.source, expr):
+        if name not in need.fields:
+            _want(model, need, (), name)
 
 
 def _input_name(measure: Measure) -> str:
@@ -157,14 +166,12 @@ class _Question:
         found = need.source.measure(name)
         need.measures[name] = found
         if found.expr is not None:
-            for used in resolve_paths(need.source, found.expr)[1]:
-                _want(self.model, need, used[:-1], used[-1])
+            _want_all(self.model, need, found.expr)
         self.measures.append((alias, path, found))
 
     def add_filter(self, text: str) -> None:
         rewritten, used = resolve_paths(self.root.source, text)
-        for path in used:
-            _want(self.model, self.root, path[:-1], path[-1])
+        _want_all(self.model, self.root, text)
         manys = {self.many(p[:-1]) for p in used} - {None}
         if not manys:
             self.root_filters.append(rewritten)
