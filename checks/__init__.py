@@ -2,4 +2,4 @@
 
 
 def load_all() -> None:
-    from checks import model_checks  # noqa: F401
+    from checks import compare_checks, derive_checks, evaluate_checks, model_checks  # noqa: F401

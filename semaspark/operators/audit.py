@@ -69,7 +69,7 @@ def validation_summary(verdict: DataFrame) -> DataFrame:
 def first_errors(tests: DataFrame, n: int = 50) -> DataFrame:
     """The first ``n`` failures by database and source: a report, not a filter on the verdicts."""
     return (tests.filter(~F.col("passed")).select("db_id", "source", F.substring("output", 1, 200).alias("error"))
-            .orderBy("db_id", "source").limit(n))
+            .orderBy("db_id", "source", "error").limit(n))
 
 
 def audit_key(df: DataFrame, key: Sequence[str]) -> DataFrame:

@@ -106,7 +106,7 @@ def dependency_levels(tables: DataFrame, refs: DataFrame) -> DataFrame:
 
     All databases advance together: each round takes the tables whose references are all
     placed. The number of rounds is the longest chain. What is left when a round takes
-    nothing lies on or behind a cycle and goes last."""
+    nothing lies on or behind a cycle and goes last in its database."""
     edges = cut_lineage(refs.filter("src_idx <> dst_idx").select("db_id", "src_idx", "dst_idx").distinct())
     left = cut_lineage(tables.select("db_id", "table_idx"))
     placed, level = left.limit(0).select("db_id", "table_idx", F.lit(0).alias("level")), 0
@@ -119,7 +119,8 @@ def dependency_levels(tables: DataFrame, refs: DataFrame) -> DataFrame:
         left = cut_lineage(left.join(ready, ["db_id", "table_idx"], "left_anti"))
         edges = cut_lineage(edges.join(ready.withColumnRenamed("table_idx", "dst_idx"), ["db_id", "dst_idx"], "left_anti"))
         level += 1
-    cyclic = left.select("db_id", "table_idx", F.lit(level).alias("level"), F.lit(True).alias("cyclic"))
+    last = placed.groupBy("db_id").agg((F.max("level") + 1).alias("last"))
+    cyclic = left.join(last, "db_id", "left").select("db_id", "table_idx", F.coalesce("last", F.lit(0)).alias("level"), F.lit(True).alias("cyclic"))
     return placed.withColumn("cyclic", F.lit(False)).union(cyclic)
 
 

@@ -36,12 +36,16 @@ RAW_SCHEMA = ("db_id string, table_names_original array<string>, column_names_or
               "column_types array<string>, primary_keys array<int>, foreign_keys array<array<int>>")
 
 
-def read_catalog(spark: SparkSession, path: str) -> Catalog:
-    """A JSON file with one object per database and parallel arrays inside."""
-    raw = spark.read.schema(RAW_SCHEMA).json(path, multiLine=True)
+def read_catalog(spark: SparkSession, path: str, multi_line: bool = True) -> Catalog:
+    """JSON with one object per database and parallel arrays inside."""
+    return load_catalog(raw_catalog(spark.read.schema(RAW_SCHEMA).json(path, multiLine=multi_line)))
+
+
+def raw_catalog(raw: DataFrame) -> DataFrame:
+    """Turns the two-element arrays of the JSON form into named fields."""
     pairs = F.transform("column_names_original", lambda c: F.struct(c[0].cast("int").alias("table_idx"), c[1].alias("name")))
     refs = F.transform(F.filter("foreign_keys", lambda k: F.size(k) == 2), lambda k: F.struct(k[0].alias("fk"), k[1].alias("pk")))
-    return load_catalog(raw.withColumn("column_names_original", pairs).withColumn("foreign_keys", refs))
+    return raw.withColumn("column_names_original", pairs).withColumn("foreign_keys", refs)
 
 
 def load_catalog(raw: DataFrame) -> Catalog:

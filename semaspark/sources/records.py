@@ -10,16 +10,17 @@ from pyspark.sql import functions as F
 QUESTION_SCHEMA = "db_id string, question string, query string, sql string"
 
 
-def load_questions(spark: SparkSession, paths: dict[str, str], schema: str = QUESTION_SCHEMA) -> DataFrame:
+def load_questions(spark: SparkSession, paths: dict[str, str], schema: str = QUESTION_SCHEMA, multi_line: bool = True) -> DataFrame:
     """Several question files as one table, tagged with where each row came from. The parsed
-    query stays JSON text: a nested object read into a string column keeps its text."""
-    frames = [spark.read.schema(schema).json(path, multiLine=True).withColumn("source", F.lit(tag)) for tag, path in paths.items()]
+    query stays JSON text: a nested object read into a string column keeps its text.
+    Files with one object per line (``multi_line=False``) can be split between tasks."""
+    frames = [spark.read.schema(schema).json(path, multiLine=multi_line).withColumn("source", F.lit(tag)) for tag, path in paths.items()]
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
 
 
-def read_envelope(spark: SparkSession, path: str, key: str, record: str) -> DataFrame:
+def read_envelope(spark: SparkSession, path: str, key: str, record: str, multi_line: bool = True) -> DataFrame:
     """The records of files shaped ``{"metadata": …, key: [record, …]}``."""
-    raw = spark.read.schema(f"`{key}` array<struct<{record}>>").json(path, multiLine=True)
+    raw = spark.read.schema(f"`{key}` array<struct<{record}>>").json(path, multiLine=multi_line)
     return raw.select(F.explode(F.col(f"`{key}`")).alias("q")).select("q.*")
 
 

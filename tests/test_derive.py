@@ -85,7 +85,7 @@ def test_levels(catalog):
     assert [r[1:] for r in rows if r[0] == "concert"] == [
         ("concert", 1, False), ("singer", 0, False), ("singer_in_concert", 2, False), ("stadium", 0, False)]
     assert all(r[3] for r in rows if r[0] == "cycle")
-    assert {r[2] for r in rows if r[0] == "cycle"} == {3}
+    assert {r[2] for r in rows if r[0] == "cycle"} == {0}
     assert [r[2:] for r in rows if r[0] == "self"] == [(0, False)]
 
 
