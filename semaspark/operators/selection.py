@@ -67,7 +67,8 @@ def exact_percentiles(df: DataFrame, keys: Sequence[str], value: str, fractions:
         F.first("p").alias("p"), F.first("total").alias("total"))
     position = (F.col("total") - 1) * F.col("p")
     lower = F.floor(position)
-    mixed = (lower + 1 - position) * F.col("a") + (position - lower) * F.col("b")
+    part = position - lower
+    mixed = F.col("a") + (F.col("b") - F.col("a")) * part
     result = both.select(*keys, "stat", F.when((position == lower) | (F.col("a") == F.col("b")), F.col("a")).otherwise(mixed).alias("x"))
     if not keys:
         return result.agg(*[F.max(F.when(F.col("stat") == n, F.col("x"))).alias(n) for n in fractions])
