@@ -62,10 +62,11 @@ def _split(text: str) -> list[str]:
     return out
 
 
-@query("e3_normalize_frame", "SELECT 'n:' || s_suppkey AS c0, 's:' || s_name AS c1, 'n:' || s_nationkey AS c2, 'n:' || CASE WHEN s_acctbal = floor(s_acctbal) "
-       "THEN CAST(CAST(s_acctbal AS BIGINT) AS VARCHAR) ELSE CAST(s_acctbal AS VARCHAR) END AS c3 FROM supplier")
+@query("e3_normalize_frame", "SELECT 'n:' || o_orderkey AS c0, 'n:' || o_custkey AS c1, 's:' || o_orderstatus AS c2, 'n:' || CASE WHEN o_totalprice = floor(o_totalprice) "
+       "THEN CAST(CAST(o_totalprice AS BIGINT) AS VARCHAR) ELSE CAST(o_totalprice AS VARCHAR) END AS c3, 's:' || CAST(o_orderdate AS VARCHAR) AS c4, "
+       "'s:' || o_orderpriority AS c5 FROM orders")
 def e3(spark, sf):
-    return normalize_frame(table(spark, sf, "supplier"))
+    return normalize_frame(table(spark, sf, "orders"))
 
 
 def _orders(spark, sf):

@@ -53,8 +53,10 @@ def snake_case(name: Column, mode: str = "compat") -> Column:
     else:
         raise ValueError("mode is compat or acronym")
     snake = _tidy(F.lower(split))
-    safe = F.when(is_reserved(snake), F.concat(snake, F.lit("_val"))).otherwise(snake)
-    return F.when(safe.rlike("^([0-9]|$)"), F.concat(F.lit("col_"), safe)).otherwise(safe)
+    # Prefix and suffix are computed for every row, so the name itself is computed only once.
+    prefix = F.when(snake.rlike("^([0-9]|$)"), "col_").otherwise("")
+    suffix = F.when(is_reserved(snake), "_val").otherwise("")
+    return F.concat(prefix, snake, suffix)
 
 
 def source_name(table: Column, mode: str = "compat") -> Column:

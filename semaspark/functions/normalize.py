@@ -7,32 +7,46 @@ Spark hashes 1, 1L and 1.0 differently, but equal canonical texts hash alike.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-_DIGITS = r"[0-9]+(?:_[0-9]+)*"
-_INTEGER = rf"(?U)^\s*[+-]?{_DIGITS}\s*$"
-_NUMBER = (rf"(?U)^\s*[+-]?(?:{_DIGITS}\.?(?:{_DIGITS})?|\.{_DIGITS})(?:[eE][+-]?{_DIGITS})?\s*$"
-           r"|^(?i)\s*[+-]?inf(?:inity)?\s*$")
+# White space of any script, spelled out: the Unicode flag would slow every match down.
+_SPACES = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0                　"
+_S = "[" + _SPACES + "]*"
+_DIGITS = "[0-9]++(?:_[0-9]++)*+"
+_PLAIN = r"\A(?:0|-?[1-9][0-9]*)\z"
+_INTEGER = rf"\A{_S}[+-]?{_DIGITS}{_S}\z"
+_NUMBER = (rf"\A{_S}[+-]?(?:(?:{_DIGITS}\.?(?:{_DIGITS})?|\.{_DIGITS})(?:[eE][+-]?{_DIGITS})?|(?i:inf(?:inity)?)){_S}\z")
+
+
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` computed once per row, also where ``use`` branches. It keeps
+    large expressions out of the generated code of a stage, which has to stay small to be compiled."""
+    return F.transform(F.array(value), use)[0]
 
 
 def _from_double(d: Column) -> Column:
     """Whole doubles print like integers; beyond decimal(38,0) they keep their own form."""
-    whole = (F.rint(d) == d) & (F.abs(d) < F.lit(1e38))
-    return F.when(whole, d.try_cast("decimal(38,0)").cast("string")).otherwise(d.cast("string"))
+    whole = F.rint(d) == d
+    return (F.when(whole & (F.abs(d) < F.lit(1e15)), d.cast("bigint").cast("string"))
+            .when(whole & (F.abs(d) < F.lit(1e38)), d.try_cast("decimal(38,0)").cast("string"))
+            .otherwise(d.cast("string")))
 
 
 def _from_text(t: Column, digits: int | None) -> Column:
-    plain = F.regexp_replace(t, r"(?U)[\s_+]", "")
-    integer = F.regexp_replace(plain, r"^(-?)0+(?=[0-9])", "$1")
-    integer = F.when(integer == "-0", F.lit("0")).otherwise(integer)
-    number = F.regexp_replace(t, r"(?U)[\s_]", "").try_cast("double")
-    if digits is not None:
-        number = F.round(number, digits)
-    return (F.when(t.rlike(_INTEGER), F.concat(F.lit("n:"), integer))
-            .when(t.rlike(_NUMBER), F.concat(F.lit("n:"), _from_double(number)))
-            .otherwise(F.concat(F.lit("s:"), t)))
+    def number(d: Column) -> Column:
+        return F.concat(F.lit("n:"), _from_double(d if digits is None else F.round(d, digits)))
+
+    bare = F.translate(t, _SPACES + "_+", "")
+    integer = F.regexp_replace(bare, r"^(-?)0+(?=[0-9])", "$1")
+    text = F.concat(F.lit("s:"), t)
+    return (F.when(~t.rlike(_NUMBER), text)
+            .when(t.rlike(_PLAIN), F.concat(F.lit("n:"), t))
+            .when(t.rlike(_INTEGER), let(integer, lambda i: F.when(i == "-0", F.lit("n:0")).otherwise(F.concat(F.lit("n:"), i))))
+            .otherwise(let(F.translate(t, _SPACES + "_", "").try_cast("double"), number)))
 
 
 def _from_decimal(c: Column, dtype: T.DecimalType, digits: int | None) -> Column:
@@ -50,14 +64,14 @@ def _from_decimal(c: Column, dtype: T.DecimalType, digits: int | None) -> Column
 def normalize(col: Column, dtype: T.DataType, digits: int | None = None) -> Column:
     """Canonical text of ``col``; ``digits`` rounds numbers first, for comparison with tolerance."""
     if isinstance(dtype, (T.StringType, T.CharType, T.VarcharType)):
-        return _from_text(col, digits)
+        return let(col, lambda t: _from_text(t, digits))
     if isinstance(dtype, T.BooleanType):
         return F.concat(F.lit("n:"), col.cast("int").cast("string"))
     if isinstance(dtype, T.DecimalType):
-        return F.concat(F.lit("n:"), _from_decimal(col, dtype, digits))
+        return F.concat(F.lit("n:"), let(col, lambda c: _from_decimal(c, dtype, digits)))
     if isinstance(dtype, (T.FloatType, T.DoubleType)):
         d = col.cast("double")
-        return F.concat(F.lit("n:"), _from_double(d if digits is None else F.round(d, digits)))
+        return F.concat(F.lit("n:"), let(d if digits is None else F.round(d, digits), _from_double))
     if isinstance(dtype, T.IntegralType):
         return F.concat(F.lit("n:"), col.cast("string"))
     if isinstance(dtype, T.BinaryType):

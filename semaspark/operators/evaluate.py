@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from semaspark.functions.exact import exact_avg
+from semaspark.functions.normalize import let
 from semaspark.operators.compare import metrics
 from semaspark.operators.selection import exact_percentiles, first_per_group
 
@@ -18,20 +19,24 @@ def difficulty(ast: Column) -> Column:
     A set operation makes it extra; a query nested in FROM or WHERE makes it hard; grouping
     makes it hard over several tables and medium over one; several tables or an order make it
     medium."""
-    def part(name: str) -> Column:
-        return F.get_json_object(ast, f"$.{name}")
+    fields = ("union", "intersect", "except", "where", "groupBy", "orderBy", "having")
+    shape = "from struct<table_units: array<array<string>>>, " + ", ".join(f"`{n}` string" for n in fields)
+    return let(F.from_json(ast, shape), _class_of)
 
+
+def _class_of(q: Column) -> Column:
     def filled(name: str) -> Column:
-        return F.coalesce(~part(name).isin("[]", "{}", "", "false", "0"), F.lit(False))
+        return F.coalesce(~q[name].isin("[]", "{}", "", "false", "0"), F.lit(False))
 
     # An object that is not inside a string literal is a nested query.
-    where = F.regexp_replace(F.coalesce(part("where"), F.lit("")), r'"(?:[^"\\]|\\.)*"', "")
-    units = part("from.table_units")
-    nested_from = F.coalesce(F.exists(F.from_json(units, "array<array<string>>"), lambda u: F.get(u, F.lit(0)) == "sql"), F.lit(False))
-    several = F.coalesce(F.json_array_length(units), F.lit(0)) > 1
-    set_op = part("union").isNotNull() | part("intersect").isNotNull() | part("except").isNotNull()
+    where = F.regexp_replace(F.coalesce(q["where"], F.lit("")), r'"(?:[^"\\]|\\.)*"', "")
+    nested = where.contains("{")
+    units = q["from"]["table_units"]
+    nested_from = F.coalesce(F.exists(units, lambda u: F.get(u, F.lit(0)) == "sql"), F.lit(False))
+    several = F.coalesce(F.size(units), F.lit(0)) > 1
+    set_op = q["union"].isNotNull() | q["intersect"].isNotNull() | q["except"].isNotNull()
     grouped = filled("groupBy") | filled("having")
-    return (F.when(set_op, "extra").when(nested_from | where.contains("{"), "hard").when(grouped & several, "hard")
+    return (F.when(set_op, "extra").when(nested_from | nested, "hard").when(grouped & several, "hard")
             .when(grouped | several | filled("orderBy"), "medium").otherwise("easy"))
 
 
