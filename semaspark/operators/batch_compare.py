@@ -15,14 +15,18 @@ from pyspark.sql import types as T
 
 from semaspark.functions.normalize import normalize
 from semaspark.operators.compare import (GOLD, PRED, _tagged, execute, fingerprint, order_matters, union_all, with_positions)
-from semaspark.session import cut_lineage
+from semaspark.session import cut_lineage, sized
 
 SALTS = 32
 
 
 def _salted_join(rows: DataFrame, per_question: DataFrame, spread: Column) -> DataFrame:
-    """Join one row per question (and side) to many rows of it; ``spread`` divides a hot question."""
-    keys = [k for k in ("question_id", "side") if k in per_question.columns and k in rows.columns]
+    """Join one row per question to the many rows of it. A short list of questions is sent to the
+    rows; for a long one ``spread`` divides a hot question."""
+    keys = ["question_id"]
+    per_question, small = sized(per_question)
+    if small:
+        return rows.join(per_question, keys)
     salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
     left = rows.withColumn("__salt", F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int"))
     return left.join(per_question.withColumn("__salt", salts), [*keys, "__salt"]).drop("__salt")

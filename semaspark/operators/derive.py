@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from semaspark.functions.naming import needs_quoting, snake_case, source_name
@@ -151,6 +151,22 @@ def measure_warnings(catalog: Catalog, mode: str = "compat") -> DataFrame:
             .select("db_id", "source", "column_name", reason.alias("reason")).filter("reason is not null"))
 
 
+def tables_of_model(spark: SparkSession, model: Model, db_id: str) -> ModelTables:
+    """A model declared by hand in the same four relations, for coverage counts and for storage."""
+    sources, dims, measures, joins = [], [], [], []
+    for s in model.sources.values():
+        sources.append((db_id, s.name, s.name, list(s.primary_key), None, None))
+        dims += [(db_id, s.name, d.name, d.expr, d.expr.startswith("`")) for d in s.dimensions]
+        measures += [(db_id, s.name, m.name, m.op, m.expr) for m in s.measures]
+        joins += [(db_id, s.name, i, j.name, j.target, ",".join(a for a, _ in pairs), ",".join(b for _, b in pairs))
+                  for i, j in enumerate(s.joins) for pairs in [model.join_keys(s, j)]]
+    return ModelTables(
+        spark.createDataFrame(sources, "db_id string, source string, table_name string, primary_key array<string>, level int, cyclic boolean"),
+        spark.createDataFrame(dims, "db_id string, source string, dimension string, column_name string, needs_quoting boolean"),
+        spark.createDataFrame(measures, "db_id string, source string, measure string, op string, column_name string"),
+        spark.createDataFrame(joins, "db_id string, source string, ref_no int, join_name string, target string, field string, target_field string"))
+
+
 def build_model(tables: ModelTables, db_id: str, frames: dict[str, DataFrame]) -> Model:
     """Model objects of one database over its DataFrames (by table name); what is read to the
     driver is the declaration of that database, not data."""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from semaspark.functions.exact import exact_avg
@@ -50,18 +50,16 @@ def stratified_sample(df: DataFrame, stratum: str, n: int, key: str, seed: int =
     draw = F.md5(F.concat(F.col(key).cast("string"), F.lit(f"-{seed}")))
     sample = first_per_group(df.withColumn("draw", draw), [stratum], [F.col("draw"), F.col(key)], n)
     if strict:
-        short = sample.groupBy(stratum).agg(F.count("*").alias("__have"))
+        # The sample is already grouped by stratum: counting it moves nothing.
+        have = F.count("*").over(Window.partitionBy(stratum))
         text = F.concat(F.lit("not enough rows in "), F.col(stratum).cast("string"), F.lit(": "), F.col("__have").cast("string"))
-        checked = short.select(F.col(stratum).alias("__s"), F.when(F.col("__have") >= n, F.lit(True)).otherwise(F.raise_error(text)).alias("__ok"))
-        sample = sample.join(checked, F.col(stratum).eqNullSafe(F.col("__s"))).filter("__ok").drop("__s", "__ok")
+        sample = sample.withColumn("__have", have).filter(F.when(F.col("__have") >= n, F.lit(True)).otherwise(F.raise_error(text))).drop("__have")
     return sample.drop("rank")
 
 
 def shuffled_ids(sample: DataFrame, key: str, seed: int = 42, name: str = "id") -> DataFrame:
     """Ids 0, 1, 2, … in a shuffled order that depends only on key and seed. Meant for a sample:
     its ids come from one sorted window over the sample."""
-    from pyspark.sql import Window
-
     draw = F.md5(F.concat(F.lit(f"{seed}-"), F.col(key).cast("string")))
     return sample.withColumn(name, F.row_number().over(Window.orderBy(draw, key)) - 1)
 

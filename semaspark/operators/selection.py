@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from semaspark.session import cut_lineage
+from semaspark.session import cut_lineage, sized
 
 SALTS = 64
 
@@ -76,8 +76,11 @@ def exact_percentiles(df: DataFrame, keys: Sequence[str], value: str, fractions:
 
 
 def _join_groups(data: DataFrame, wanted: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows with the ranks wanted of their group; the group list is small next to the rows, and
-    is spread over salts so that a hot group is not one task."""
+    """Rows with the ranks wanted of their group. The list of ranks is sent to the rows if it is
+    short; a long one is spread over salts, so that a hot group is not one task."""
+    wanted, small = sized(wanted)
+    if small and keys:
+        return data.join(wanted, keys)
     left = data.withColumn("__s", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int"))
     right = wanted.withColumn("__s", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     return left.join(right, [*keys, "__s"]).drop("__s")

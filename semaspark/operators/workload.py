@@ -3,7 +3,8 @@
 Equal texts are merged first. A name that is one word is found by an equi-join of the
 words of a query with the names of its database; other names ("home town", "%_change")
 are found by their first word and then checked by a pattern on the whole text. Nothing
-scans every name against every query.
+scans every name against every query, and whether table and column occur in the same
+query is decided inside its row.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from semaspark.session import sized
 from semaspark.sources.catalog import Catalog
 
 # The aggregates a log is searched for.
@@ -42,54 +44,61 @@ def whole_word(name: Column) -> Column:
     return F.concat(F.lit("(?U)\\b\\Q"), literal, F.lit("\\E\\b"))
 
 
-def _anchored(names: DataFrame, name: str) -> DataFrame:
-    """Adds the first word of the name, by which it is looked up, and whether that is all of it."""
-    return names.withColumn("word", F.regexp_extract(F.col(name), _WORD, 0)).withColumn("odd", F.col("word") != F.col(name))
+def _anchored(names: DataFrame, name: str, word: str, odd: str) -> DataFrame:
+    """Adds the first word of the name, by which it is looked up, and whether that is not all of it."""
+    return names.withColumn(word, F.regexp_extract(F.col(name), _WORD, 0)).withColumn(odd, F.col(word) != F.col(name))
 
 
-def _query_words(queries: DataFrame) -> DataFrame:
+def table_names(catalog: Catalog) -> DataFrame:
+    names = catalog.tables.select("db_id", F.lower("table_name").alias("table_name")).distinct()
+    return sized(_anchored(names, "table_name", "word", "odd"))[0]
+
+
+def column_names(catalog: Catalog) -> DataFrame:
+    """Column names by their first word. Catalogs are small next to logs: their names go to every
+    executor if they are few enough, and the words of a query never move."""
+    names = catalog.columns.select("db_id", F.lower("table_name").alias("table_name"), F.lower("column_name").alias("column_name")).distinct()
+    return sized(_anchored(_anchored(names, "table_name", "table_word", "odd_table"), "column_name", "word", "odd"))[0]
+
+
+def _by_word(queries: DataFrame) -> DataFrame:
     # The empty word leads to names that have no word character at all.
-    return queries.select("db_id", "query_id", F.explode(F.array_append("words", F.lit(""))).alias("word"))
+    return queries.select("db_id", "query_id", "sql", "words", F.explode(F.array_append("words", F.lit(""))).alias("word"))
 
 
-def _verified(found: DataFrame, queries: DataFrame, pattern: Column) -> DataFrame:
-    """Keep one-word hits; check the others against the text."""
-    odd = found.filter("odd").join(queries.select("db_id", "query_id", "sql"), ["db_id", "query_id"])
-    return found.filter("not odd").unionByName(odd.filter(F.regexp_like("sql", pattern)).select(*found.columns))
+def _named(odd: str, name: str) -> Column:
+    """Whether the query of the row has the name: one-word names are words of it, other names are
+    looked for in the text."""
+    found = F.regexp_like("sql", whole_word(F.col(name)))
+    return F.when(F.col(odd), found).otherwise(F.array_contains("words", F.col(name)))
 
 
 def table_hits(queries: DataFrame, catalog: Catalog) -> DataFrame:
     """``db_id, query_id, table_name`` (lower case)."""
-    names = _anchored(catalog.tables.select("db_id", F.lower("table_name").alias("table_name")).distinct(), "table_name")
-    found = _query_words(queries).join(names, ["db_id", "word"]).select("db_id", "query_id", "table_name", "odd")
-    return _verified(found, queries, whole_word(F.col("table_name"))).drop("odd")
+    found = _by_word(queries).join(table_names(catalog), ["db_id", "word"]).filter(_named("odd", "table_name"))
+    return found.select("db_id", "query_id", "table_name")
 
 
-def column_hits(queries: DataFrame, catalog: Catalog, tables: DataFrame | None = None) -> DataFrame:
-    """``db_id, query_id, table_name, column_name, odd`` for columns of tables the query uses."""
-    names = _anchored(_column_names(catalog), "column_name")
-    found = _query_words(queries).join(names, ["db_id", "word"]).select("db_id", "query_id", "table_name", "column_name", "odd")
-    tables = table_hits(queries, catalog) if tables is None else tables
-    return _verified(found.join(tables, ["db_id", "query_id", "table_name"], "left_semi"), queries, whole_word(F.col("column_name")))
+def _column_rows(queries: DataFrame, names: DataFrame) -> DataFrame:
+    return _by_word(queries).join(names, ["db_id", "word"]).filter(_named("odd_table", "table_name") & _named("odd", "column_name"))
 
 
-def _column_names(catalog: Catalog) -> DataFrame:
-    return catalog.columns.select("db_id", F.lower("table_name").alias("table_name"), F.lower("column_name").alias("column_name")).distinct()
+def column_hits(queries: DataFrame, catalog: Catalog) -> DataFrame:
+    """``db_id, query_id, table_name, column_name`` for columns of tables the query uses."""
+    return _column_rows(queries, column_names(catalog)).select("db_id", "query_id", "table_name", "column_name")
 
 
-def aggregate_hits(queries: DataFrame, catalog: Catalog, tables: DataFrame | None = None) -> DataFrame:
+def aggregate_hits(queries: DataFrame, catalog: Catalog) -> DataFrame:
     """``db_id, query_id, table_name, agg, column_name``: the column stands inside the call,
     before its first closing parenthesis."""
-    calls = F.array(*[F.struct(F.lit(a).alias("agg"), F.regexp_extract_all(
-        "sql", F.lit(rf"{a}\s*\(([^)]*)"), 1).alias("args")) for a in AGGREGATES])
-    inside = queries.select("db_id", "query_id", F.explode(calls).alias("c")).select(
-        "db_id", "query_id", "c.agg", F.explode(F.array_distinct(F.flatten(F.transform("c.args", _words)))).alias("word"))
-    names = _anchored(_column_names(catalog), "column_name")
-    tables = table_hits(queries, catalog) if tables is None else tables
-    plain = inside.join(names.filter("not odd"), ["db_id", "word"]).join(tables, ["db_id", "query_id", "table_name"], "left_semi")
-    odd = (column_hits(queries, catalog, tables).filter("odd").join(queries.select("db_id", "query_id", "sql"), ["db_id", "query_id"])
-           .withColumn("agg", F.explode(F.array(*[F.lit(a) for a in AGGREGATES]))))
+    names = column_names(catalog)
+    calls = F.array(*[F.struct(F.lit(a).alias("agg"), F.regexp_extract_all("sql", F.lit(rf"{a}\s*\(([^)]*)"), 1).alias("args")) for a in AGGREGATES])
+    inside = queries.select("db_id", "query_id", "sql", "words", F.explode(calls).alias("c")).filter(F.size("c.args") > 0)
+    inside = inside.select("db_id", "query_id", "sql", "words", "c.agg", F.explode(
+        F.array_distinct(F.flatten(F.transform("c.args", _words)))).alias("word"))
+    plain = inside.join(names.filter("not odd"), ["db_id", "word"]).filter(_named("odd_table", "table_name"))
     body = F.regexp_replace(whole_word(F.col("column_name")), r"^\(\?U\)", "")
+    odd = _column_rows(queries, names.filter("odd")).withColumn("agg", F.explode(F.array(*[F.lit(a) for a in AGGREGATES])))
     odd = odd.filter(F.regexp_like("sql", F.concat(F.lit("(?U)"), "agg", F.lit(r"\s*\([^)]*"), body)))
     wanted = ["db_id", "query_id", "table_name", "agg", "column_name"]
     return plain.select(*wanted).unionByName(odd.select(*wanted))
@@ -145,9 +154,9 @@ def analysis_report(log: DataFrame, catalog: Catalog) -> DataFrame:
     queries = distinct_queries(log.join(known, "db_id", "left_semi"))
     hits = table_hits(queries, catalog)
     tables = hits.groupBy("db_id").agg(F.sort_array(F.collect_set("table_name")).alias("tables_used"))
-    columns = column_hits(queries, catalog, hits).groupBy("db_id", "table_name").agg(F.sort_array(F.collect_set("column_name")).alias("columns"))
+    columns = column_hits(queries, catalog).groupBy("db_id", "table_name").agg(F.sort_array(F.collect_set("column_name")).alias("columns"))
     dimensions = columns.groupBy("db_id").agg(F.array_sort(F.collect_list(F.struct("table_name", "columns"))).alias("dimensions"))
-    aggs = aggregate_hits(queries, catalog, hits).groupBy("db_id", "table_name", "agg").agg(F.sort_array(F.collect_set("column_name")).alias("columns"))
+    aggs = aggregate_hits(queries, catalog).groupBy("db_id", "table_name", "agg").agg(F.sort_array(F.collect_set("column_name")).alias("columns"))
     measures = aggs.groupBy("db_id").agg(F.array_sort(F.collect_list(F.struct("table_name", "agg", "columns"))).alias("measures"))
     joins = joins_used(queries, catalog).groupBy("db_id").agg(F.array_sort(F.collect_list(
         F.struct("left_table", "left_col", "right_table", "right_col"))).alias("joins"))
@@ -166,11 +175,11 @@ def derive_minimal(log: DataFrame, catalog: Catalog) -> tuple[DataFrame, DataFra
     queries = distinct_queries(log.join(known, "db_id", "left_semi"))
     hits = table_hits(queries, catalog)
     sources = hits.select("db_id", F.col("table_name").alias("source")).distinct()
-    used = column_hits(queries, catalog, hits).select("db_id", "table_name", "column_name").distinct()
+    used = column_hits(queries, catalog).select("db_id", "table_name", "column_name").distinct()
     original = catalog.columns.select("db_id", F.lower("table_name").alias("table_name"), F.lower("column_name").alias("lowered"), "column_name")
     dimensions = used.withColumnRenamed("column_name", "lowered").join(original, ["db_id", "table_name", "lowered"]).select(
         "db_id", F.col("table_name").alias("source"), F.col("lowered").alias("dimension"), "column_name")
-    observed = aggregate_hits(queries, catalog, hits).select("db_id", "table_name", "agg", "column_name").distinct().select(
+    observed = aggregate_hits(queries, catalog).select("db_id", "table_name", "agg", "column_name").distinct().select(
         "db_id", F.col("table_name").alias("source"), F.concat_ws("_", "agg", "column_name").alias("measure"), F.col("agg").alias("op"), "column_name")
     rows = dimensions.select("db_id", "source").distinct().select(
         "db_id", "source", F.lit("row_count").alias("measure"), F.lit("count").alias("op"), F.lit(None).cast("string").alias("column_name"))

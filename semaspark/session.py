@@ -6,6 +6,11 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+# Rows a table may have to be sent to every executor: names, ranks and verdicts of this many
+# rows stay well below the memory of a task.
+BROADCAST_ROWS = 200_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -38,3 +43,12 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     recompute it nor see other values if an executor is lost."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def sized(df: DataFrame, limit: int = BROADCAST_ROWS) -> tuple[DataFrame, bool]:
+    """Stage a side table and count it. If it has at most ``limit`` rows it comes back marked for
+    broadcast, with True; otherwise as it is, with False, for a join that shuffles."""
+    staged = cut_lineage(df)
+    if staged.limit(limit + 1).count() <= limit:
+        return F.broadcast(staged), True
+    return staged, False

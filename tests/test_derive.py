@@ -134,3 +134,14 @@ def test_schema_text(catalog):
     assert text["dogs"] == ("Database: dogs\n\nTable: Owners\n  - owner_id (number)\n\nTable: Dogs\n  - dog_id (number)\n  - owner_id (number)\n\n"
                             "Primary Keys:\n  - Owners.owner_id\n  - Dogs.dog_id\n\n"
                             "Foreign Keys:\n  - Dogs.owner_id -> Owners.owner_id\n  - Dogs.owner_id -> Owners.owner_id")
+
+
+def test_declared_model_as_tables(spark, sf):
+    from semaspark.operators.coverage import element_counts
+    from semaspark.plans.tpch import sales_model
+
+    model = sales_model(spark, sf)
+    row = element_counts(D.tables_of_model(spark, model, "sales")).head()
+    assert row["sources"] == len(model.sources) == 14
+    assert row["joins"] == sum(len(s.joins) for s in model.sources.values())
+    assert row["measures"] == sum(len(s.measures) for s in model.sources.values())
