@@ -116,7 +116,7 @@ def apply_discounts(usage: DataFrame, prices: DataFrame, by: Sequence[str], cach
 def early_stop(results: DataFrame, by: Sequence[str], order: Sequence[str], n: int, threshold: float) -> DataFrame:
     """``seen, correct, accuracy, stop`` after the first ``n`` results of each configuration; one with
     fewer than ``n`` results is not stopped."""
-    first = first_per_group(results, by, [F.col(c) for c in order], n)
+    first = first_per_group(results, by, [F.col(c) for c in order], n, order)
     out = first.groupBy(*by).agg(F.count("*").alias("seen"), F.count_if("match").alias("correct"))
     rate = F.try_divide(F.col("correct"), F.col("seen"))
     return out.select(*by, "seen", "correct", rate.alias("accuracy"), ((F.col("seen") >= n) & (rate < threshold)).alias("stop"))

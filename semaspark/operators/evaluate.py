@@ -48,7 +48,7 @@ def stratified_sample(df: DataFrame, stratum: str, n: int, key: str, seed: int =
     """``n`` rows of every stratum, the same on every run and every partitioning: rows are ordered
     by a hash of key and seed. ``strict`` stops the job if a stratum is short."""
     draw = F.md5(F.concat(F.col(key).cast("string"), F.lit(f"-{seed}")))
-    sample = first_per_group(df.withColumn("draw", draw), [stratum], [F.col("draw"), F.col(key)], n)
+    sample = first_per_group(df.withColumn("draw", draw), [stratum], [F.col("draw"), F.col(key)], n, [key])
     if strict:
         # The sample is already grouped by stratum: counting it moves nothing.
         have = F.count("*").over(Window.partitionBy(stratum))

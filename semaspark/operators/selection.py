@@ -12,24 +12,20 @@ from semaspark.session import cut_lineage, sized
 SALTS = 64
 
 
-def first_per_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int, name: str = "rank") -> DataFrame:
+def first_per_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int, spread: Sequence[str], name: str = "rank") -> DataFrame:
     """The first ``n`` rows of each group, numbered from 1.
 
-    A group is divided by a hash of its sort keys; each part keeps its first ``n`` rows, so
-    the final sort of a group sees at most ``n`` rows per part, however large the group is.
-    ``order`` must be a total order for the result to be repeatable."""
-    salted = df.withColumn("__salt", F.pmod(F.xxhash64(*_plain(df, order)), F.lit(SALTS)))
+    A group is divided by a hash of its ``spread`` columns, which should be nearly unique; each
+    part keeps its first ``n`` rows, so the final sort of a group sees at most ``n`` rows per
+    part, however large the group is. ``order`` must be a total order for the result to be
+    repeatable."""
+    salted = df.withColumn("__salt", F.pmod(F.xxhash64(*spread), F.lit(SALTS)))
     part = Window.partitionBy(*keys, "__salt").orderBy(*order)
     kept = salted.withColumn("__r", F.row_number().over(part)).filter(F.col("__r") <= n).drop("__r", "__salt")
-    whole = Window.partitionBy(*keys).orderBy(*order) if keys else Window.orderBy(*order)
+    whole = Window.partitionBy(*keys).orderBy(*order)
     return kept.withColumn(name, F.row_number().over(whole)).filter(F.col(name) <= n)
 
 
-def _plain(df: DataFrame, order: Sequence[Column]) -> list[Column]:
-    # A sort direction cannot be hashed; every column of the row spreads just as well.
-    return [F.col(f.name) for f in df.schema.fields if f.dataType.typeName() not in ("map", "variant")]
-
-
 def exact_percentiles(df: DataFrame, keys: Sequence[str], value: str, fractions: dict[str, float], bins: int = 4096,
                       gather: int = 100_000) -> DataFrame:
     """Exact interpolated percentiles per group, without sorting or gathering a group.

@@ -13,7 +13,7 @@ from dataclasses import dataclass, field, replace
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from semaspark.functions.exact import scaled, unscaled
+from semaspark.functions.exact import exact_parts, exact_total
 
 
 class ModelError(ValueError):
@@ -62,34 +62,27 @@ class Measure:
     def aggregate(self, col: Column) -> Column:
         if self.op == "count_distinct":
             return F.count_distinct(col)
-        return self.merge({k: agg(col) for k, agg in self._partial_aggs().items()})
-
-    def _partial_aggs(self) -> dict[str, Callable[[Column], Column]]:
-        total = (lambda c: F.sum(scaled(c, self.scale))) if self.scale is not None else F.sum
-        return {
-            "count": {"n": F.count},
-            "sum": {"s": total},
-            "avg": {"s": total, "n": F.count},
-            "min": {"lo": F.min},
-            "max": {"hi": F.max},
-        }[self.op]
+        return self.merge(self.partials(col))
 
     def partials(self, col: Column) -> dict[str, Column]:
         """Aggregates per key that ``combine`` can merge without loss."""
-        return {k: agg(col) for k, agg in self._partial_aggs().items()}
+        if self.op == "count":
+            return {"n": F.count(col)}
+        if self.op == "min":
+            return {"min": F.min(col)}
+        if self.op == "max":
+            return {"max": F.max(col)}
+        parts = {"sum": F.sum(col)} if self.scale is None else exact_parts(col, self.scale)
+        return parts if self.op == "sum" else {**parts, "n": F.count(col)}
 
     def combine(self, parts: dict[str, Column]) -> Column:
-        again = {"n": lambda c: F.sum(F.coalesce(c, F.lit(0))), "s": F.sum, "lo": F.min, "hi": F.max}
-        return self.merge({k: again[k](c) for k, c in parts.items()})
+        again = {"n": lambda c: F.sum(F.coalesce(c, F.lit(0))), "min": F.min, "max": F.max}
+        return self.merge({k: again.get(k, F.sum)(c) for k, c in parts.items()})
 
     def merge(self, parts: dict[str, Column]) -> Column:
-        if self.op == "count":
-            return parts["n"]
-        if self.op == "min":
-            return parts["lo"]
-        if self.op == "max":
-            return parts["hi"]
-        total = parts["s"] if self.scale is None else unscaled(parts["s"], self.scale)
+        if self.op in ("count", "min", "max"):
+            return parts["n" if self.op == "count" else self.op]
+        total = parts["sum"] if self.scale is None else exact_total(parts, self.scale)
         return total if self.op == "sum" else F.try_divide(total.cast("double"), parts["n"])
 
 

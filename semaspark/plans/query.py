@@ -230,7 +230,7 @@ class _Question:
             if not path:
                 main.append(m.aggregate(F.col(quoted(_input_name(m)))).alias(alias))
             elif self.many(path) and len(path) == 1 and m.op != "count_distinct":
-                parts = {k: F.col(f"__p{i}_{k}") for k in m._partial_aggs()}
+                parts = {k: F.col(f"__p{i}_{k}") for k in m.partials(F.lit(None))}
                 main.append(m.combine(parts).alias(alias))
             else:
                 branches.append(self._branch(alias, path, m))

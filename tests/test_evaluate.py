@@ -52,7 +52,7 @@ def test_sample_is_balanced_and_repeatable(spark):
 
 def test_first_per_group(spark):
     df = spark.range(3000).withColumn("g", F.when(F.col("id") < 2900, 1).otherwise(2))
-    got = first_per_group(df, ["g"], [F.col("id").desc()], 3).collect()
+    got = first_per_group(df, ["g"], [F.col("id").desc()], 3, ["id"]).collect()
     assert sorted((r["g"], r["id"], r["rank"]) for r in got) == [(1, 2897, 3), (1, 2898, 2), (1, 2899, 1), (2, 2997, 3), (2, 2998, 2), (2, 2999, 1)]
 
 
