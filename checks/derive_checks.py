@@ -48,10 +48,9 @@ def s4(spark, sf):
 def s5(spark, sf):
     base = staging_path(spark, "questions")
     talk = table(spark, sf, "conversations").select(F.concat(F.lit("db_"), "conv_id").alias("db_id"), F.col("text").alias("question"), "role")
-    roles = [r["role"] for r in talk.select("role").distinct().collect()]
-    for role in roles:
-        talk.filter(F.col("role") == role).drop("role").write.json(f"{base}/{role}")
-    return load_questions(spark, {r: f"{base}/{r}" for r in roles}, multi_line=False).select("db_id", "question", "source")
+    talk.write.partitionBy("role").json(base)
+    roles = [r["role"] for r in talk.select("role").distinct().collect()]  # a handful of names
+    return load_questions(spark, {r: f"{base}/role={r}" for r in roles}, multi_line=False).select("db_id", "question", "source")
 
 
 @query("s6_envelope", "SELECT event_id AS question_id, event_type AS provider FROM events UNION ALL SELECT -event_id - 1, props FROM events")
