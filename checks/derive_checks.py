@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from checks.derived import (CATALOG_SQL, LOG_SQL, RESULTS_SQL, catalogs, log_catalog, query_log, raw_catalogs, results, sql_clean,
+from checks.derived import (CATALOG_SQL, LOG_SQL, catalogs, log_catalog, query_log, raw_catalogs, sql_clean,
                             sql_quoting, sql_snake)
 from checks.registry import query, table
 from semaspark.functions import naming as N

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from checks.derived import (CATALOG_SQL, PRICES, RESULTS_SQL, STEPS, USAGE_SQL, catalogs, log_catalog, prices, results, usage)
+from checks.derived import (CATALOG_SQL, RESULTS_SQL, STEPS, USAGE_SQL, catalogs, log_catalog, prices, results, usage)
 from checks.registry import query, table, xavg
 from semaspark.operators import cost as P
 from semaspark.operators import evaluate as X

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
-from semaspark.plans.model import (Measure, Model, Source, dim, join_many, join_one, measure, numeric_measures, rename,
+from semaspark.plans.model import (Measure, Model, Source, dim, join_many, join_one, numeric_measures, rename,
                                    row_count, sum_alias)
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
