@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from semaspark.llm.frames import stage, table
+from semaspark.llm.linededup import drop_repeats
 from semaspark.llm.quality import keep_good
 
 ORACLE_SQL = None
@@ -20,7 +21,12 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return keep_good(docs)
 
 
-STAGES = [("quality_rules", quality_rules)]
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines of windows that an earlier document or place has already go; a document emptied by that goes too."""
+    return drop_repeats(docs)
+
+
+STAGES = [("quality_rules", quality_rules), ("line_dedup", line_dedup)]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
