@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from semaspark.llm import linededup, mixing, quality
+from semaspark.llm import linededup, mixing, packing, quality
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_mixing": mixing.op2_mixing,
     "op5_line_dedup": linededup.op5_line_dedup,
     "op7_quality": quality.op7_quality,
+    "op9_packing": packing.op9_packing,
 }
 ORACLES: dict[str, str] = {
     "op2_mixing": mixing.OP2_SQL,

@@ -70,10 +70,13 @@ class Texts:
         closes[self.bounds[1:]] = True
         return opens[:n], closes[1:]
 
-    def spans(self, separator: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Start and end of each maximal run, within a row, of bytes that are no separators."""
+    def spans(self, separator: np.ndarray, cut: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Start and end of each maximal run, within a row, of bytes that are no separators; a new run begins
+        where ``cut`` is true as well."""
         inside = ~separator
         opens, closes = self._edges()
+        if cut is not None and len(cut):
+            opens, closes = opens | cut, closes | np.concatenate((cut[1:], [False]))
         before = np.concatenate(([True], separator[:-1])) if len(inside) else separator
         after = np.concatenate((separator[1:], [True])) if len(inside) else separator
         return np.flatnonzero(inside & (before | opens)), np.flatnonzero(inside & (after | closes)) + 1
