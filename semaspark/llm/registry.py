@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from semaspark.llm import linededup, mixing, packing, quality
+from semaspark.llm import linededup, mixing, neardup, packing, quality
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_mixing": mixing.op2_mixing,
+    "op4_near_dedup": neardup.op4_near_dedup,
     "op5_line_dedup": linededup.op5_line_dedup,
     "op7_quality": quality.op7_quality,
     "op9_packing": packing.op9_packing,
