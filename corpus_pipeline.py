@@ -8,9 +8,13 @@ the operators' docstrings say; all stages but the last return the columns of ``d
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from semaspark.llm.frames import stage, table
 from semaspark.llm.linededup import drop_repeats
+from semaspark.llm.mixing import mix
+from semaspark.llm.neardup import keep_one
+from semaspark.llm.packing import pack_documents
 from semaspark.llm.quality import keep_good
 
 ORACLE_SQL = None
@@ -23,10 +27,26 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines of windows that an earlier document or place has already go; a document emptied by that goes too."""
-    return drop_repeats(docs)
+    left = drop_repeats(docs)
+    return left.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else left
 
 
-STAGES = [("quality_rules", quality_rules), ("line_dedup", line_dedup)]
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each class of near duplicates the document with the least id stays."""
+    return keep_one(docs)
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of sources over their target are left out, those of sources below it are repeated."""
+    return mix(docs)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token pieces with the sequence and the offset they go to; a repeated document is packed as often as it comes."""
+    return pack_documents(docs)
+
+
+STAGES = [("quality_rules", quality_rules), ("line_dedup", line_dedup), ("near_dedup", near_dedup), ("mixing", mixing), ("packing", packing)]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
