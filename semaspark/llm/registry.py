@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from semaspark.llm import linededup, mixing, neardup, packing, quality
+from semaspark.llm import linededup, mixing, neardup, packing, quality, topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_topk": topk.op1_topk,
     "op2_mixing": mixing.op2_mixing,
     "op4_near_dedup": neardup.op4_near_dedup,
     "op5_line_dedup": linededup.op5_line_dedup,
@@ -16,6 +17,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_packing": packing.op9_packing,
 }
 ORACLES: dict[str, str] = {
+    "op1_topk": topk.OP1_SQL,
     "op2_mixing": mixing.OP2_SQL,
     "op5_line_dedup": linededup.OP5_SQL,
 }
