@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from semaspark.llm import linededup, mixing, neardup, packing, quality, topk
+from semaspark.llm import htmltext, linededup, mixing, neardup, packing, quality, topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_topk": topk.op1_topk,
@@ -15,6 +15,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_line_dedup": linededup.op5_line_dedup,
     "op7_quality": quality.op7_quality,
     "op9_packing": packing.op9_packing,
+    "op10_html": htmltext.op10_html,
 }
 ORACLES: dict[str, str] = {
     "op1_topk": topk.OP1_SQL,
