@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from semaspark.llm import htmltext, linededup, mixing, neardup, packing, quality, topk
+from semaspark.llm import htmltext, linededup, mixing, neardup, packing, quality, topk, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_topk": topk.op1_topk,
@@ -14,6 +14,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_near_dedup": neardup.op4_near_dedup,
     "op5_line_dedup": linededup.op5_line_dedup,
     "op7_quality": quality.op7_quality,
+    "op8_toxicity": toxicity.op8_toxicity,
     "op9_packing": packing.op9_packing,
     "op10_html": htmltext.op10_html,
 }
