@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from semaspark.llm import htmltext, linededup, maxent, mixing, neardup, packing, quality, topk, toxicity
+from semaspark.llm import htmltext, linededup, maxent, mixing, neardup, packing, pii, quality, topk, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_topk": topk.op1_topk,
     "op2_mixing": mixing.op2_mixing,
+    "op3_pii": pii.op3_pii,
     "op4_near_dedup": neardup.op4_near_dedup,
     "op5_line_dedup": linededup.op5_line_dedup,
     "op6_maxent": maxent.op6_maxent,
