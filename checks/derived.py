@@ -191,9 +191,8 @@ RESULTS_SQL = """WITH results AS (SELECT event_id AS question_id, event_type AS
   CASE WHEN event_type = 'error' THEN 'failed' END AS error, value AS latency_ms, ts FROM events)
 """
 
-# Prices per million tokens, input and output.
-PRICES = [("large", 5.0, 25.0), ("medium", 3.0, 15.0), ("small", 1.0, 5.0), ("other_large", 1.25, 10.0), ("other_medium", 0.3, 2.5),
-          ("other_small", 0.1, 0.4), ("third_large", 0.5, 1.5), ("fourth", 0.56, 1.68), ("fifth", 0.3, 1.2)]
+# An invented price list per million tokens, input and output; some prices have more than two decimals.
+PRICES = [("amber", 4.0, 21.0), ("birch", 2.2, 9.9), ("cedar", 0.85, 3.4), ("dune", 1.6, 8.0), ("ember", 0.075, 0.31), ("fjord", 0.0125, 0.05)]
 STEPS = ("build", "answer", "correct")
 
 
@@ -210,7 +209,7 @@ def usage(spark, sf) -> DataFrame:
                        (F.col("l_returnflag") == "A").alias("cached"), (F.col("l_linestatus") == "F").alias("batch"))
 
 
-USAGE_SQL = f"""WITH prices(model, i, o) AS (VALUES {", ".join(f"('{m}', {i}::DECIMAL(10,4), {o}::DECIMAL(10,4))" for m, i, o in PRICES)}),
+USAGE_SQL = f"""WITH prices(model, i, o) AS (VALUES {", ".join(f"('{m}', {i}::DECIMAL(18,9), {o}::DECIMAL(18,9))" for m, i, o in PRICES)}),
 usage AS (SELECT l_orderkey AS question_id, ([{_list(p[0] for p in PRICES)}])[l_partkey % {len(PRICES)} + 1] AS model,
   ([{_list(STEPS)}])[l_linenumber % 3 + 1] AS step, CAST(l_quantity AS INT) * 20 AS input_tokens, l_linenumber * 7 + 5 AS output_tokens,
   l_returnflag = 'A' AS cached, l_linestatus = 'F' AS batch FROM lineitem)

@@ -50,7 +50,7 @@ def x3(spark, sf):
     return _sample(spark, sf).select("o_orderkey", "o_orderpriority")
 
 
-@query("x4_shuffled_ids", f"SELECT o_orderkey, CAST(ROW_NUMBER() OVER (ORDER BY md5('42-' || o_orderkey), o_orderkey) - 1 AS INTEGER) AS id FROM ({SAMPLE})")
+@query("x4_shuffled_ids", f"SELECT o_orderkey, CAST(ROW_NUMBER() OVER (ORDER BY md5('42-' || o_orderkey), o_orderkey) - 1 AS BIGINT) AS id FROM ({SAMPLE})")
 def x4(spark, sf):
     return X.shuffled_ids(_sample(spark, sf), "o_orderkey").select("o_orderkey", "id")
 
@@ -147,7 +147,7 @@ def _rounded(df):
 @query("x15_latency", RESULTS_SQL + f"SELECT provider, COUNT(latency_ms) AS n, {xavg('latency_ms')} AS mean, round(quantile_cont(latency_ms, 0.5), 6) AS median, "
        "round(quantile_cont(latency_ms, 0.95), 6) AS p95 FROM results GROUP BY provider")
 def x15(spark, sf):
-    return _rounded(X.latency_stats(results(spark, sf)))
+    return _rounded(X.latency_stats(results(spark, sf), scale=2))
 
 
 @query("x16_error_attribution", """WITH f AS (SELECT event_id, event_id % 3 = 0 AS m, CASE WHEN value < 5 THEN 'bad JOIN here' WHEN value < 20 THEN 'parse' ELSE '' END AS e FROM events WHERE user_id > 10),
@@ -226,7 +226,7 @@ def p4(spark, sf):
     return _money(P.stepwise_cost(usage(spark, sf), prices(spark), {"correct": 0.3}).withColumn("step", F.coalesce("step", F.lit("(all)"))))
 
 
-ASSIGNED = [(f"{a}+{b}+{c}", step, m) for a, b, c in (("large", "large", "large"), ("small", "medium", "small"), ("fifth", "medium", "fifth"), ("fourth", "other_small", "small"))
+ASSIGNED = [(f"{a}+{b}+{c}", step, m) for a, b, c in (("amber", "amber", "amber"), ("cedar", "birch", "cedar"), ("ember", "birch", "ember"), ("dune", "fjord", "cedar"))
             for step, m in zip(STEPS, (a, b, c))]
 
 
@@ -251,8 +251,8 @@ def p7(spark, sf):
 
 
 @query("p8_discounts", USAGE_SQL + "SELECT model, CAST(SUM((input_tokens * p.i + output_tokens * p.o) * 0.000001) AS DOUBLE) AS list_cost, CAST(SUM((input_tokens * "
-       "CAST(p.i * (CASE WHEN cached THEN 0.1 ELSE 1 END) * (CASE WHEN batch THEN 0.5 ELSE 1 END) AS DECIMAL(10,4)) + output_tokens * CAST(p.o * (CASE WHEN batch THEN 0.5 ELSE 1 END) "
-       "AS DECIMAL(10,4))) * 0.000001) AS DOUBLE) AS paid_cost FROM usage JOIN prices p USING (model) GROUP BY model")
+       "p.i * (CASE WHEN cached THEN 0.1 ELSE 1.0 END) * (CASE WHEN batch THEN 0.5 ELSE 1.0 END) + output_tokens * p.o * (CASE WHEN batch THEN 0.5 ELSE 1.0 END) "
+       ") * 0.000001) AS DOUBLE) AS paid_cost FROM usage JOIN prices p USING (model) GROUP BY model")
 def p8(spark, sf):
     return _money(P.apply_discounts(usage(spark, sf), prices(spark), ["model"]))
 

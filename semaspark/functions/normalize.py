@@ -8,6 +8,7 @@ Spark hashes 1, 1L and 1.0 differently, but equal canonical texts hash alike.
 from __future__ import annotations
 
 from collections.abc import Callable
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -28,11 +29,24 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), use)[0]
 
 
+def _digits_of(d: Column) -> Column:
+    """All digits of a whole double from 2^63 up to 10^38. A cast to decimal goes through the shortest print of a double and
+    loses the last ones; parts by powers of two are exact."""
+    size = F.abs(d)
+    high = F.floor(size / 2.0**64)
+    low = size - high.cast("double") * 2.0**64
+    middle = F.floor(low / 2.0**32)
+    last = (low - middle.cast("double") * 2.0**32).cast("bigint")
+    power = lambda n: F.lit(Decimal(2**n))
+    whole = high.cast("decimal(20,0)") * power(64) + middle.cast("decimal(20,0)") * power(32) + last.cast("decimal(20,0)")
+    return F.concat(F.when(d < 0, "-").otherwise(""), whole.cast("decimal(38,0)").cast("string"))
+
+
 def _from_double(d: Column) -> Column:
-    """Whole doubles print like integers; beyond decimal(38,0) they keep their own form."""
+    """Whole doubles print like integers, with all digits; beyond decimal(38,0) they keep their own form."""
     whole = F.rint(d) == d
-    return (F.when(whole & (F.abs(d) < F.lit(1e15)), d.cast("bigint").cast("string"))
-            .when(whole & (F.abs(d) < F.lit(1e38)), d.try_cast("decimal(38,0)").cast("string"))
+    return (F.when(whole & (F.abs(d) < F.lit(2.0**63)), d.cast("bigint").cast("string"))
+            .when(whole & (F.abs(d) < F.lit(1e38)), _digits_of(d))
             .otherwise(d.cast("string")))
 
 

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.errors import PySparkException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from semaspark.plans.model import Model, quoted
@@ -48,12 +48,16 @@ def smoke_test(spark: SparkSession, model: Model, db_id: str) -> DataFrame:
     return spark.createDataFrame(out, "db_id string, source string, query_type string, passed boolean, output string")
 
 
-def verdicts(tests: DataFrame, databases: DataFrame) -> DataFrame:
+def _message(width: int | None) -> Column:
+    return F.col("output") if width is None else F.substring("output", 1, width)
+
+
+def verdicts(tests: DataFrame, databases: DataFrame, width: int | None = None) -> DataFrame:
     """``db_id, status, reason, sources_tested, failed`` for every database of the catalog: PASS if
-    all its sources pass, SKIP if nothing was tested. Messages are cut to 200 characters."""
+    all its sources pass, SKIP if nothing was tested. Messages are whole; ``width`` cuts them for a report."""
     per_db = tests.groupBy("db_id").agg(
         F.count("*").alias("sources_tested"), F.count_if(~F.col("passed")).alias("failed"),
-        F.min(F.when(~F.col("passed"), F.substring("output", 1, 200))).alias("first_error"))
+        F.min(F.when(~F.col("passed"), _message(width))).alias("first_error"))
     status = F.when(F.col("sources_tested").isNull(), "SKIP").when(F.col("failed") == 0, "PASS").otherwise("FAIL")
     reason = F.when(status == "SKIP", F.lit("no model")).when(status == "FAIL", F.col("first_error")).otherwise(F.lit(""))
     return databases.select("db_id").distinct().join(per_db, "db_id", "left").select(
@@ -66,10 +70,10 @@ def validation_summary(verdict: DataFrame) -> DataFrame:
     return verdict.agg(*[F.count_if(F.col("status") == s).alias(n) for s, n in (("PASS", "passed"), ("FAIL", "failed"), ("SKIP", "skipped"))])
 
 
-def first_errors(tests: DataFrame, n: int = 50) -> DataFrame:
-    """The first ``n`` failures by database and source: a report, not a filter on the verdicts."""
-    return (tests.filter(~F.col("passed")).select("db_id", "source", F.substring("output", 1, 200).alias("error"))
-            .orderBy("db_id", "source", "error").limit(n))
+def first_errors(tests: DataFrame, n: int | None = None, width: int | None = None) -> DataFrame:
+    """Failures by database and source, with whole messages; ``n`` and ``width`` shorten the report."""
+    out = tests.filter(~F.col("passed")).select("db_id", "source", _message(width).alias("error")).orderBy("db_id", "source", "error")
+    return out if n is None else out.limit(n)
 
 
 def audit_key(df: DataFrame, key: Sequence[str]) -> DataFrame:

@@ -234,7 +234,8 @@ def order_matters(sql: Column, strict: bool = False) -> Column:
     text = F.lower(sql)
     if not strict:
         return text.contains("order by")
-    bare = F.regexp_replace(text, r"'(?:[^']|'')*'|\"[^\"]*\"", "''")
+    # Literals and quoted names first: they may hold what looks like a comment, and comments what looks like a quote.
+    bare = F.regexp_replace(text, r"""('(?:[^']|'')*+'|"[^"]*+")|--[^\n]*+|/\*[\s\S]*?\*/""", " ")
     parts = F.regexp_extract_all(bare, F.lit(r"[()]|[^()]+"), 0)
 
     def step(acc: Column, part: Column) -> Column:
@@ -253,7 +254,7 @@ def execute(spark: SparkSession, sql: str) -> tuple[DataFrame | None, str | None
     except PySparkException as error:
         return None, str(error).strip()
     except Exception as error:  # runtime failures of a task surface as JVM errors
-        return None, str(error).splitlines()[0]
+        return None, str(error).strip()
 
 
 def order_flag(spark: SparkSession, gold: str, strict: bool) -> bool:

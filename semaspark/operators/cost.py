@@ -33,7 +33,7 @@ def size_buckets(df: DataFrame, tokens: str, edges: Sequence[int] = (100, 300, 5
 def request_cost(input_tokens: Column, output_tokens: Column, input_per_m: Column, output_per_m: Column) -> Column:
     """Exact decimal cost in the price's currency."""
     def part(tokens: Column, price: Column) -> Column:
-        return tokens.cast("decimal(18,0)") * price.cast("decimal(10,4)")
+        return tokens.cast("decimal(18,0)") * price.cast("decimal(18,9)")
 
     return (part(input_tokens, input_per_m) + part(output_tokens, output_per_m)) * F.lit(Decimal("0.000001"))
 
@@ -105,11 +105,16 @@ def apply_discounts(usage: DataFrame, prices: DataFrame, by: Sequence[str], cach
     Tokens are summed per model and kind of request first, so prices meet a handful of rows."""
     keys = list(dict.fromkeys([*by, "model", "cached", "batch"]))
     priced = _totals(usage, keys).join(prices, "model")
-    input_price = F.col("input_per_m").cast("double") * F.when(F.col("cached"), 1 - cached).otherwise(1.0)
-    output_price = F.col("output_per_m").cast("double")
-    factor = F.when(F.col("batch"), 1 - batch).otherwise(1.0)
-    list_price = request_cost(F.col("input_tokens"), F.col("output_tokens"), F.col("input_per_m"), F.col("output_per_m"))
-    paid = request_cost(F.col("input_tokens"), F.col("output_tokens"), input_price * factor, output_price * factor)
+    one, zero = F.lit(Decimal("1.0000")), F.lit(0)
+
+    def share(flag: str, discount: float) -> Column:
+        return F.when(F.col(flag), F.lit(1 - Decimal(str(discount))).cast("decimal(5,4)")).otherwise(one)
+
+    # Discounts are decimal factors on exact costs; a discounted price may have more digits than a price.
+    input_cost = request_cost(F.col("input_tokens"), zero, F.col("input_per_m"), F.col("output_per_m")).cast("decimal(28,15)")
+    output_cost = request_cost(zero, F.col("output_tokens"), F.col("input_per_m"), F.col("output_per_m")).cast("decimal(28,15)")
+    list_price = input_cost + output_cost
+    paid = ((input_cost * share("cached", cached)).cast("decimal(30,17)") + output_cost) * share("batch", batch)
     return priced.groupBy(*by).agg(F.sum(list_price).alias("list_cost"), F.sum(paid).alias("paid_cost"))
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from semaspark.functions.exact import exact_avg
 from semaspark.functions.normalize import let
-from semaspark.operators.compare import metrics
+from semaspark.operators.compare import metrics, with_positions
 from semaspark.operators.selection import exact_percentiles, first_per_group
 
 
@@ -18,10 +18,10 @@ def difficulty(ast: Column) -> Column:
 
     A set operation makes it extra; a query nested in FROM or WHERE makes it hard; grouping
     makes it hard over several tables and medium over one; several tables or an order make it
-    medium."""
+    medium. Text that is no JSON has no class."""
     fields = ("union", "intersect", "except", "where", "groupBy", "orderBy", "having")
     shape = "from struct<table_units: array<array<string>>>, " + ", ".join(f"`{n}` string" for n in fields)
-    return let(F.from_json(ast, shape), _class_of)
+    return let(F.from_json(ast, shape), lambda q: F.when(F.try_parse_json(ast).isNotNull(), _class_of(q)))
 
 
 def _class_of(q: Column) -> Column:
@@ -58,10 +58,9 @@ def stratified_sample(df: DataFrame, stratum: str, n: int, key: str, seed: int =
 
 
 def shuffled_ids(sample: DataFrame, key: str, seed: int = 42, name: str = "id") -> DataFrame:
-    """Ids 0, 1, 2, … in a shuffled order that depends only on key and seed. Meant for a sample:
-    its ids come from one sorted window over the sample."""
+    """Ids 0, 1, 2, … in a shuffled order that depends only on key and seed; no task sees all rows."""
     draw = F.md5(F.concat(F.lit(f"{seed}-"), F.col(key).cast("string")))
-    return sample.withColumn(name, F.row_number().over(Window.orderBy(draw, key)) - 1)
+    return with_positions(sample.orderBy(draw, key), name)
 
 
 def missing(df: DataFrame, reference: DataFrame, key: str) -> DataFrame:
@@ -93,12 +92,14 @@ def extract_sql(answer: Column) -> Column:
     return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
 
 
-def pending(questions: DataFrame, done: DataFrame, key: str = "question_id") -> DataFrame:
-    return questions.join(done.select(key), key, "left_anti")
+def pending(questions: DataFrame, done: DataFrame, key: str | Sequence[str] = "question_id") -> DataFrame:
+    """The rows of ``questions`` whose key has no result yet."""
+    keys = [key] if isinstance(key, str) else list(key)
+    return questions.join(done.select(*keys), keys, "left_anti")
 
 
-def merge_results(done: DataFrame, new: DataFrame, key: str = "question_id") -> DataFrame:
-    """Earlier results stay as they are; new ones are added for questions without one."""
+def merge_results(done: DataFrame, new: DataFrame, key: str | Sequence[str] = ("provider", "question_id")) -> DataFrame:
+    """Earlier results stay as they are; new ones are added for questions without one by the same provider."""
     return done.unionByName(pending(new, done, key))
 
 
@@ -123,10 +124,13 @@ def leaderboard(results: DataFrame) -> DataFrame:
     return metrics(results, ["provider"]).orderBy(F.desc("accuracy"), "provider")
 
 
-def latency_stats(results: DataFrame, approximate: bool = False, scale: int = 2) -> DataFrame:
+def latency_stats(results: DataFrame, approximate: bool = False, scale: int | None = None) -> DataFrame:
     """``provider, n, mean, median, p95`` of ``latency_ms``. Exact percentiles cost two passes;
-    ``approximate`` trades them for one."""
-    base = results.groupBy("provider").agg(F.count("latency_ms").alias("n"), exact_avg(F.col("latency_ms"), scale).alias("mean"))
+    ``approximate`` trades them for one. With ``scale``, values have that many decimals and their mean does not
+    depend on the order of rows; without it the mean is that of the doubles as they are."""
+    latency = F.col("latency_ms")
+    mean = F.avg(latency.cast("double")) if scale is None else exact_avg(latency, scale)
+    base = results.groupBy("provider").agg(F.count("latency_ms").alias("n"), mean.alias("mean"))
     if approximate:
         marks = results.groupBy("provider").agg(*[F.percentile_approx("latency_ms", p).alias(n) for n, p in (("median", 0.5), ("p95", 0.95))])
     else:

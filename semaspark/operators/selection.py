@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -32,27 +33,37 @@ def exact_percentiles(df: DataFrame, keys: Sequence[str], value: str, fractions:
 
     A histogram over the value range, combined on the map side, tells in which bin each wanted
     rank lies; only rows of that bin go on, with ``bins`` times narrower bounds. Rounds end when
-    what is left per wanted rank fits into one small task, or is a single value.
+    what is left per wanted rank fits into one small task, or is a single value. Only finite values
+    are binned: the infinities and NaN, the greatest of all, are bins of their own.
     ``keys`` may be empty. NULLs are ignored, as in any aggregate."""
     keys = list(keys)
     data = df.select(*keys, F.col(value).cast("double").alias("v")).filter("v is not null")
     data = data.groupBy(*keys, "v").agg(F.count("*").alias("n"))
-    groups = cut_lineage(data.groupBy(*keys).agg(F.sum("n").alias("total"), F.min("v").alias("lo"), F.max("v").alias("hi")))
+    finite = F.col("v").between(-sys.float_info.max, sys.float_info.max)
+    odd = {"low_n": F.col("v") == float("-inf"), "high_n": F.col("v") == float("inf"), "nan_n": F.isnan("v")}
+    groups = cut_lineage(data.groupBy(*keys).agg(
+        F.sum("n").alias("total"), F.min(F.when(finite, F.col("v"))).alias("lo"), F.max(F.when(finite, F.col("v"))).alias("hi"),
+        *(F.sum(F.when(test, F.col("n")).otherwise(0)).alias(c) for c, test in odd.items())))
     ranks = F.explode(F.array(*[F.struct(F.lit(name).alias("stat"), F.lit(p).alias("p"), F.lit(up).alias("up"))
                                 for name, p in fractions.items() for up in (0, 1)]))
     wanted = groups.select("*", ranks.alias("w")).select(
-        *keys, "w.stat", "w.p", "w.up", "total", "lo", "hi", F.lit(0).cast("bigint").alias("below"), F.col("total").alias("inside"),
-        (F.floor((F.col("total") - 1) * F.col("w.p")) + F.col("w.up")).cast("bigint").alias("rank")).withColumn(
-        "rank", F.least("rank", F.col("total") - 1))
-    wanted = cut_lineage(wanted)
-    while not (open_ := wanted.filter((F.col("inside") > gather) & (F.col("lo") < F.col("hi")))).isEmpty():
-        finer = cut_lineage(_narrow(data, open_, keys, bins))
-        stuck = finer.join(open_.select(*keys, "stat", "up", F.col("lo").alias("lo0"), F.col("hi").alias("hi0")), [*keys, "stat", "up"]).filter(
-            "lo = lo0 and hi = hi0")
-        done = wanted.filter(~((F.col("inside") > gather) & (F.col("lo") < F.col("hi"))))
-        wanted = cut_lineage(done.unionByName(finer))
-        if not stuck.isEmpty():
-            break
+        *keys, "w.stat", "w.p", "w.up", "total", "lo", "hi", *odd,
+        F.least((F.floor((F.col("total") - 1) * F.col("w.p")) + F.col("w.up")).cast("bigint"), F.col("total") - 1).alias("rank"))
+    # Where the rank falls: (condition, value of the bin or None for the finite ones, rows below, rows inside).
+    top = F.col("total") - F.col("nan_n")
+    zones = [(F.col("rank") < F.col("low_n"), float("-inf"), F.lit(0), F.col("low_n")), (F.col("rank") >= top, float("nan"), top, F.col("nan_n")),
+             (F.col("rank") >= top - F.col("high_n"), float("inf"), top - F.col("high_n"), F.col("high_n"))]
+    chosen = {"lo": F.col("lo"), "hi": F.col("hi"), "below": F.col("low_n"), "inside": top - F.col("high_n") - F.col("low_n")}
+    for test, v, below, inside in reversed(zones):
+        chosen = {c: F.when(test, new).otherwise(chosen[c]) for c, new in (("lo", F.lit(v)), ("hi", F.lit(v)), ("below", below), ("inside", inside))}
+    wanted = cut_lineage(wanted.select(*keys, "stat", "p", "up", "total", chosen["lo"].alias("lo"), chosen["hi"].alias("hi"),
+                                       chosen["below"].cast("bigint").alias("below"), chosen["inside"].cast("bigint").alias("inside"), "rank", F.lit(False).alias("stuck")))
+    unsettled = (F.col("inside") > gather) & (F.col("lo") < F.col("hi")) & ~F.col("stuck")
+    while not (open_ := wanted.filter(unsettled)).isEmpty():
+        # Bounds that no longer move hold few distinct values; only such a rank leaves the loop.
+        before = open_.select(*keys, "stat", "up", F.col("lo").alias("lo0"), F.col("hi").alias("hi0"))
+        finer = _narrow(data, open_, keys, bins).join(before, [*keys, "stat", "up"]).withColumn("stuck", F.expr("lo = lo0 and hi = hi0")).drop("lo0", "hi0")
+        wanted = cut_lineage(wanted.filter(~unsettled).unionByName(finer))
     # What is left of each wanted rank is small: its cumulative counts give the value.
     inside = _join_groups(data, wanted, keys).filter("v >= lo and v <= hi")
     window = Window.partitionBy(*keys, "stat", "up").orderBy("v")

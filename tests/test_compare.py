@@ -11,29 +11,29 @@ from semaspark.operators import compare as C
 
 # name, left, right, ordered, match; None in place of rows means an empty result
 CASES = [
-    ("3 columns rotated", [(1, "a", 100), (2, "b", 200)], [("a", 100, 1), ("b", 200, 2)], False, True),
-    ("2 columns swapped", [(1, "x"), (2, "y")], [("x", 1), ("y", 2)], False, True),
-    ("same order", [(1, 2), (3, 4)], [(1, 2), (3, 4)], False, True),
-    ("disjoint values", [(1, 2), (3, 4)], [(5, 6), (7, 8)], False, False),
-    ("rows reordered", [(1, "a"), (2, "b"), (3, "c")], [(3, "c"), (1, "a"), (2, "b")], False, True),
-    ("rows reordered, order counts", [(1, "a"), (2, "b"), (3, "c")], [(3, "c"), (1, "a"), (2, "b")], True, False),
-    ("same row order", [(1, "a"), (2, "b")], [(1, "a"), (2, "b")], True, True),
-    ("duplicates, same counts", [(1,), (1,), (2,)], [(1,), (2,), (1,)], False, True),
-    ("duplicates, other counts", [(1,), (1,), (2,)], [(1,), (2,), (2,)], False, False),
-    ("all equal", [(1,), (1,), (1,)], [(1,), (1,), (1,)], False, True),
-    ("both empty", [], [], False, True),
-    ("left empty", [], [(1,)], False, False),
-    ("right empty", [(1,)], [], False, False),
-    ("NULL same place", [(1, None), (2, "b")], [(1, None), (2, "b")], False, True),
-    ("NULL vs value", [(1, None)], [(1, "a")], False, False),
-    ("all NULL", [(None, None)], [(None, None)], False, True),
-    ("int vs double", [(1, 2)], [(1.0, 2.0)], False, True),
-    ("int vs string", [(1, 2)], [("1", "2")], False, True),
-    ("identical columns", [(1, 1), (2, 2)], [(1, 1), (2, 2)], False, True),
-    ("ambiguous columns", [("a", "a"), ("b", "b")], [("a", "a"), ("b", "b")], False, True),
-    ("5 columns reversed", [(1, 2, 3, 4, 5)], [(5, 4, 3, 2, 1)], False, True),
-    ("one column", [(1,), (2,), (3,)], [(3,), (1,), (2,)], False, True),
-    ("one column, order counts", [(1,), (2,), (3,)], [(3,), (1,), (2,)], True, False),
+    ("columns in another place", [("tea", 7, 0.5), ("oil", 3, 2.25)], [(0.5, "tea", 7), (2.25, "oil", 3)], False, True),
+    ("two columns traded", [("north", 40), ("south", 12)], [(40, "north"), (12, "south")], False, True),
+    ("nothing moved", [(70, 71), (80, 81), (90, 91)], [(70, 71), (80, 81), (90, 91)], False, True),
+    ("no value shared", [(70, 71), (80, 81)], [(17, 18), (19, 20)], False, False),
+    ("rows shuffled", [(9, "z"), (4, "m"), (6, "q"), (2, "k")], [(2, "k"), (9, "z"), (6, "q"), (4, "m")], False, True),
+    ("rows shuffled, order counts", [(9, "z"), (4, "m"), (6, "q"), (2, "k")], [(2, "k"), (9, "z"), (6, "q"), (4, "m")], True, False),
+    ("rows kept, order counts", [(9, "z"), (4, "m")], [(9, "z"), (4, "m")], True, True),
+    ("repeats kept", [("up",), ("down",), ("up",), ("up",)], [("up",), ("up",), ("up",), ("down",)], False, True),
+    ("one repeat too many", [("up",), ("up",), ("down",)], [("up",), ("down",), ("down",)], False, False),
+    ("one value only", [(55,)] * 5, [(55,)] * 5, False, True),
+    ("one value, other count", [(55,)] * 5, [(55,)] * 4, False, False),
+    ("nothing on both sides", [], [], False, True),
+    ("nothing on the left", [], [("x", 8)], False, False),
+    ("nothing on the right", [("x", 8)], [], False, False),
+    ("NULL in its place", [(None, 31), ("b7", None)], [(None, 31), ("b7", None)], False, True),
+    ("NULL and text", [(31, None)], [(31, "none")], False, False),
+    ("only NULLs", [(None, None, None)], [(None, None, None)], False, True),
+    ("whole and fractional type", [(12, 600)], [(12.0, 600.0)], False, True),
+    ("number and its text", [(12, 600)], [("12", "600")], False, True),
+    ("twin columns", [(5, 5), (8, 8), (8, 8)], [(5, 5), (8, 8), (8, 8)], False, True),
+    ("twin columns of text", [("ja", "ja"), ("no", "no")], [("ja", "ja"), ("no", "no")], False, True),
+    ("six columns turned round", [(11, 22, 33, 44, 55, 66)], [(66, 55, 44, 33, 22, 11)], False, True),
+    ("single column, order counts", [(8,), (3,), (5,)], [(5,), (8,), (3,)], True, False),
     ("equal value sets, other pairing", [(1, 2), (2, 1)], [(1, 1), (2, 2)], False, False),
     ("equal bags, other pairing", [(1, "a"), (2, "b")], [(1, "b"), (2, "a")], False, False),
     ("7 columns permuted", [(1, 2, 3, 4, 5, 6, 7), (8, 9, 10, 11, 12, 13, 14)],
@@ -104,6 +104,14 @@ def test_normalize(spark, value, expected):
     assert normalize_frame(spark.createDataFrame([(value,)], f"x {kind}")).head()[0] == expected
 
 
+def test_whole_doubles_keep_all_digits(spark):
+    rng = random.Random(7)
+    values = [rng.choice((-1, 1)) * float(rng.randrange(10**e, 10 ** (e + 1))) for e in range(14, 38) for _ in range(20)]
+    values += [float(2**k) for k in range(50, 126)] + [1234567890123456768.0, 2.0**63, -(2.0**63), 2.0**63 - 1024]
+    frame = normalize_frame(spark.createDataFrame([(v, str(int(v))) for v in values], "x double, t string"))
+    assert [tuple(r) for r in frame.collect()] == [(f"n:{int(v)}",) * 2 for v in values]
+
+
 def test_normalize_keeps_small_numbers_apart(spark):
     values = ["1e-12", "0", "0.30000000000000004", "0.3"]
     got = normalize_frame(spark.createDataFrame([(v,) for v in values], "x string"))

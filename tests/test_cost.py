@@ -4,10 +4,9 @@ from pyspark.sql import functions as F
 from checks.derived import PRICES, prices
 from semaspark.operators import cost as P
 
-# What 1,000 questions of 853 input and 127 output tokens cost with each price.
-SINGLE = {"large": 7.44, "medium": 4.46, "small": 1.49, "other_large": 2.34, "other_medium": 0.57, "other_small": 0.14, "third_large": 0.62, "fourth": 0.69, "fifth": 0.41}
-# The same in three steps of 1.36M input and 219K output tokens in all.
-THREE = {"large": 12.29, "medium": 7.38, "small": 2.46, "other_large": 3.89, "other_medium": 0.96, "other_small": 0.22, "third_large": 1.01, "fourth": 1.13, "fifth": 0.67}
+# Millions of tokens, input and output: 1,000 questions in one step, and the three steps below together.
+SINGLE = {m: 0.853 * i + 0.127 * o for m, i, o in PRICES}
+THREE = {m: 1.3654 * i + 0.219 * o for m, i, o in PRICES}
 
 
 @pytest.fixture(scope="module")
@@ -19,25 +18,24 @@ def steps(spark):
 def test_single_step(spark):
     usage = spark.range(1000).select(F.col("id").alias("question_id"), F.lit(853).alias("input_tokens"), F.lit(127).alias("output_tokens"))
     got = {r["model"]: r for r in P.run_cost(usage, prices(spark)).collect()}
-    assert {m: round(float(r["total_cost"]), 2) for m, r in got.items()} == SINGLE
-    assert got["large"]["questions"] == 1000 and got["large"]["per_question"] == pytest.approx(0.00744)
+    assert {m: float(r["total_cost"]) for m, r in got.items()} == pytest.approx(SINGLE)
+    assert got["amber"]["questions"] == 1000 and got["amber"]["per_question"] == pytest.approx(SINGLE["amber"] / 1000)
 
 
 def test_steps(spark, steps):
     got = {r["model"]: float(r["cost"]) for r in P.stepwise_cost(steps, prices(spark)).filter("step is null").collect()}
     assert set(got) == {m for m, *_ in PRICES}
-    for m, v in THREE.items():
-        assert got[m] == pytest.approx(v, abs=0.02)
+    assert got == pytest.approx(THREE)
     less = {r["model"]: float(r["cost"]) for r in P.stepwise_cost(steps, prices(spark), {"correct": 0.5}).filter("step = 'correct'").collect()}
-    assert less["small"] == pytest.approx((0.24 * 1 + 0.06 * 5) / 2)
+    assert less["cedar"] == pytest.approx((0.24 * 0.85 + 0.06 * 3.4) / 2)
 
 
 def test_hybrid(spark, steps):
-    rows = [("all fifth", s, "fifth") for s in ("build", "answer", "correct")] + [("mixed", "build", "fifth"), ("mixed", "answer", "medium"), ("mixed", "correct", "fifth")]
+    rows = [("all ember", s, "ember") for s in ("build", "answer", "correct")] + [("mixed", "build", "ember"), ("mixed", "answer", "birch"), ("mixed", "correct", "ember")]
     got = {r["configuration"]: float(r["total_cost"]) for r in P.hybrid_cost(
         steps, spark.createDataFrame(rows, "configuration string, step string, model string"), prices(spark)).collect()}
-    assert got["all fifth"] == pytest.approx(0.67, abs=0.02)
-    assert got["mixed"] == pytest.approx((0.0054 + 0.24) * 0.3 + (0.009 + 0.06) * 1.2 + 1.12 * 3 + 0.15 * 15)
+    assert got["all ember"] == pytest.approx(THREE["ember"])
+    assert got["mixed"] == pytest.approx((0.0054 + 0.24) * 0.075 + (0.009 + 0.06) * 0.31 + 1.12 * 2.2 + 0.15 * 9.9)
 
 
 def test_budget(spark):
@@ -55,10 +53,12 @@ def test_projection(spark):
 
 
 def test_discounts(spark):
-    usage = spark.createDataFrame([("small", True, False, 1000000, 0), ("small", False, True, 1000000, 1000000), ("small", True, True, 1000000, 1000000),
-                                   ("small", False, False, 1000000, 1000000)], "model string, cached boolean, batch boolean, input_tokens bigint, output_tokens bigint")
-    row = P.apply_discounts(usage, prices(spark), ["model"]).head()
-    assert float(row["list_cost"]) == 19.0 and float(row["paid_cost"]) == pytest.approx(0.1 + (0.5 + 2.5) + (0.05 + 2.5) + 6.0)
+    kinds = [(True, False, 0), (False, True, 1000000), (True, True, 1000000), (False, False, 1000000)]
+    usage = spark.createDataFrame([(m, c, b, 1000000, out) for m in ("cedar", "ember") for c, b, out in kinds], "model string, cached boolean, batch boolean, input_tokens bigint, output_tokens bigint")
+    got = {r["model"]: r for r in P.apply_discounts(usage, prices(spark), ["model"]).collect()}
+    for m, i, o in (("cedar", 0.85, 3.4), ("ember", 0.075, 0.31)):
+        assert float(got[m]["list_cost"]) == pytest.approx(4 * i + 3 * o, abs=1e-12)
+        assert float(got[m]["paid_cost"]) == pytest.approx(0.1 * i + (i + o) / 2 + (0.1 * i + o) / 2 + i + o, abs=1e-12)
 
 
 def test_buckets(spark):

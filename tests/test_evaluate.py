@@ -92,9 +92,11 @@ def test_answers(spark):
 
 
 def test_resume_and_failures(spark):
-    shape = "question_id int, match boolean, error string, predicted_sql string"
-    done = spark.createDataFrame([(1, True, None, "a")], shape)
-    new = spark.createDataFrame([(1, False, None, "b"), (2, True, "down", "c")], shape)
+    shape = "provider string, question_id int, match boolean, error string, predicted_sql string"
+    done = spark.createDataFrame([("p", 1, True, None, "a")], shape)
+    new = spark.createDataFrame([("p", 1, False, None, "b"), ("p", 2, True, "down", "c")], shape)
+    other = spark.createDataFrame([("p", 1, False, None, "x"), ("q", 1, False, None, "y")], shape)
+    assert sorted((r["provider"], r["predicted_sql"]) for r in X.merge_results(done, other).collect()) == [("p", "a"), ("q", "y")]
     merged = {r["question_id"]: r for r in X.merge_results(done, X.failure_rows(new)).collect()}
     assert merged[1]["match"] and merged[1]["predicted_sql"] == "a"
     assert merged[2]["match"] is False and merged[2]["predicted_sql"] == "" and merged[2]["error"] == "LLM error: down"
@@ -124,6 +126,24 @@ def test_leaderboard_and_interval(spark):
     assert a["low"] == pytest.approx(0.0945, abs=1e-3) and a["high"] == pytest.approx(0.9055, abs=1e-3)
 
 
+def test_one_infinity_does_not_stop_the_other_groups(spark):
+    rows = [(g, float(i)) for g in "abc" for i in range(200)] + [("a", float("inf")), ("b", float("-inf")), ("c", float("nan"))] + [("d", float("inf"))] * 3
+    got = {r["g"]: (r["low"], r["median"], r["top"]) for r in exact_percentiles(spark.createDataFrame(rows, "g string, v double"), ["g"], "v", {"low": 0.0, "median": 0.5, "top": 1.0}, bins=8, gather=4).collect()}
+    inf = float("inf")
+    assert got["a"] == (0.0, 100.0, inf) and got["b"] == (-inf, 99.0, 199.0) and got["d"] == (inf, inf, inf)
+    assert got["c"][:2] == (0.0, 100.0) and got["c"][2] != got["c"][2]
+
+
+def test_mean_latency_keeps_all_decimals(spark):
+    df = spark.createDataFrame([("p", v) for v in (0.004, 0.003, 1.004)], "provider string, latency_ms double")
+    assert X.latency_stats(df).head()["mean"] == pytest.approx(0.337)
+
+
+def test_text_that_is_no_json_has_no_class(spark):
+    df = spark.createDataFrame([("not json",), ("{}",), (None,)], "a string")
+    assert [r[0] for r in df.select(X.difficulty(F.col("a"))).collect()] == [None, "easy", None]
+
+
 def test_latency_modes(spark, sf):
     res = spark.read.parquet(f"{sf}/events.parquet").select(F.col("event_type").alias("provider"), F.col("value").alias("latency_ms"))
     exact = {r["provider"]: r for r in X.latency_stats(res).collect()}
@@ -149,9 +169,10 @@ def test_verdicts(spark):
     dbs = spark.createDataFrame([("a",), ("b",), ("c",)], "db_id string")
     verdict = V.verdicts(tests, dbs)
     got = {r["db_id"]: (r["status"], len(r["reason"])) for r in verdict.collect()}
-    assert got == {"a": ("PASS", 0), "b": ("FAIL", 200), "c": ("SKIP", 8)}
+    assert got == {"a": ("PASS", 0), "b": ("FAIL", 300), "c": ("SKIP", 8)}
     assert tuple(V.validation_summary(verdict).head()) == (1, 1, 1)
-    assert [len(r["error"]) for r in V.first_errors(tests).collect()] == [200]
+    assert [len(r["error"]) for r in V.first_errors(tests, width=200).collect()] == [200]
+    assert [r["error"] for r in V.first_errors(tests, n=1).collect()] == [r["error"] for r in V.first_errors(tests).collect()][:1]
 
 
 def test_smoke_test_survives_a_bad_source(spark):
