@@ -48,6 +48,7 @@ _DIGIT = re.compile(r"[0-9]")
 NATIONAL = re.compile(r"(?<![0-9+-])(?:\([0-9]{3}\)\x20?[0-9]{3}-[0-9]{4}|[0-9]{3}([.-])[0-9]{3}\1[0-9]{4})(?![0-9-])")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _EDGE_LEFT, _EDGE_RIGHT = "\"'<>[]{},;:!?.", "\"'<>[](){},;:!?."
+_FEATURES = 10
 _NODE_BYTE = np.zeros(256, bool)
 _NODE_BYTE[[64, *range(48, 58)]] = True
 
@@ -147,7 +148,7 @@ def nodes_of(part: Texts, spans: list[list[tuple[int, int, int]]]) -> Nodes:
             if s < b and e > a:
                 label[n] = kind + 1
                 break
-    features = np.array([_features(w, x) for w, x in zip(text, before)], np.int64).reshape(len(at), -1)
+    features = np.array([_features(w, x) for w, x in zip(text, before)], np.int64).reshape(len(at), _FEATURES)
     return Nodes(row[at], at - first[row[at]], low, high, features, np.array([_key(w) for w in text], np.int64), label)
 
 
@@ -280,7 +281,7 @@ def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sample: int
     rows = picked.select("doc", "text").mapInArrow(emit, NODE).toArrow()
     doc, place = rows.column("doc").to_numpy(), rows.column("place").to_numpy()
     order = np.lexsort((place, doc))
-    features = np.array(rows.column("features").to_pylist(), np.int64).reshape(len(doc), -1)[order]
+    features = np.array(rows.column("features").to_pylist(), np.int64).reshape(len(doc), _FEATURES)[order]
     _, row = np.unique(doc, return_inverse=True)
     zero = np.zeros(len(doc), np.int64)
     return train(Nodes(row[order], place[order].astype(np.int64), zero, zero, features, rows.column("key").to_numpy()[order], rows.column("label").to_numpy()[order].astype(np.int64)))
