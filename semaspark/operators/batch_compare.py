@@ -211,10 +211,10 @@ def compare_pairs(spark: SparkSession, pairs: Iterable[tuple[int, str, str]], st
 def self_check(spark: SparkSession, queries: Iterable[tuple[int, str]]) -> DataFrame:
     """``question_id, case, match``: each query against itself must match and against a
     broken version of itself must not."""
-    from semaspark.operators.compare import broken
+    from semaspark.operators.compare import broken, query_only
 
     queries = list(queries)
-    texts = spark.createDataFrame([(q, s, spark.sql(s).isEmpty()) for q, s in queries], "question_id int, sql string, is_empty boolean")
+    texts = spark.createDataFrame([(q, s, query_only(spark, s).isEmpty()) for q, s in queries], "question_id int, sql string, is_empty boolean")
     spoiled = {r["question_id"]: r["b"] for r in texts.select("question_id", broken(F.col("sql"), F.col("is_empty")).alias("b")).collect()}
     pairs = [(2 * q, s, s) for q, s in queries] + [(2 * q + 1, spoiled[q], s) for q, s in queries]
     return compare_pairs(spark, pairs).select(

@@ -247,10 +247,17 @@ def order_matters(sql: Column, strict: bool = False) -> Column:
     return outer.rlike(r"\border\s+by\b")
 
 
+def query_only(spark: SparkSession, sql: str) -> DataFrame:
+    """The answer of a query. What is no query, such as DROP or INSERT, fails before it runs: it cannot stand in a subquery."""
+    text = sql.strip().rstrip(";")
+    spark.sql(f"SELECT * FROM (\n{text}\n) AS answer")
+    return spark.sql(text)
+
+
 def execute(spark: SparkSession, sql: str) -> tuple[DataFrame | None, str | None]:
     """The normalised answer, staged once in the order it came, or the error text."""
     try:
-        return cut_lineage(normalize_frame(spark.sql(sql))), None
+        return cut_lineage(normalize_frame(query_only(spark, sql))), None
     except PySparkException as error:
         return None, str(error).strip()
     except Exception as error:  # runtime failures of a task surface as JVM errors

@@ -173,6 +173,14 @@ def test_compare_queries(spark, people):
     assert C.compare_queries(spark, "SELECT 1 / (id - 1) FROM users", "SELECT 1").head()["error"]
 
 
+@pytest.mark.parametrize("text", ["DROP VIEW kept", "CREATE OR REPLACE TEMP VIEW kept AS SELECT 2 AS x", "SET spark.sql.ansi.enabled=false", "CACHE TABLE kept"])
+def test_only_queries_run(spark, text):
+    spark.range(3).createOrReplaceTempView("kept")
+    assert C.compare_queries(spark, text, "SELECT 1").head()["error"].startswith("Predicted SQL error")
+    assert spark.table("kept").count() == 3 and not spark.catalog.isCached("kept")
+    assert C.compare_queries(spark, "WITH a AS (SELECT id AS x, id FROM kept) SELECT * FROM a ORDER BY x; ", "SELECT id, id AS y FROM kept -- all").head()["match"]
+
+
 def test_compare_pairs_is_the_same(spark, people):
     got = {r["question_id"]: r["match"] for r in B.compare_pairs(spark, [(i, p, g) for i, (p, g, _) in enumerate(PAIRS)]).collect()}
     assert [got[i] for i in range(len(PAIRS))] == [m for *_, m in PAIRS]
