@@ -9,7 +9,7 @@ a bound that the table's size does not move. In a first round each query looks i
 shard; Spark takes the k best of all shards, and the k-th score is shared: the second round starts from it, visits leaves
 from the highest bound down and stops at the first that lies below the k-th score so far.
 
-Components become floor(scale * x), kept within +-2^26 so that scores stay in 64 bits. Vectors that are null or hold a null or
+Components become floor(scale * x), kept within +-2^28 so that scores of up to 64 components stay in 64 bits. Vectors that are null or hold a null or
 a non-finite component take no part, nor do rows without id. Rows that repeat an id count once, with their least vector.
 Vectors of different length don't meet. Ties go to the smaller id. Empty tables give no rows; other columns are not read.
 """
@@ -28,7 +28,7 @@ from semaspark.llm.frames import stage, table
 SHARD = 8192
 BLOCK = 2048
 LEAF = 128
-LIMIT = 1 << 26
+LIMIT = 1 << 28
 
 
 def integers(vector: Column, scale: int = 256) -> Column:
