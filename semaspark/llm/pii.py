@@ -9,7 +9,7 @@ or similar words (same letters in any case, same last digits) wherever they stan
 under a base span are observed; loopy sum-product messages carry their labels along the edges. Nodes that get a kind with
 probability ``SURE`` are added as spans, neighbours of one kind as one span; they never touch a base span.
 
-Weights are trained on at most ``SAMPLE`` documents, by gradient steps on the likelihood under the same messages. Their
+Weights are trained on at most ``SAMPLE`` documents and, of these, at most ``TRAIN_NODES`` nodes, by gradient steps on the likelihood under the same messages. Their
 labels are the base spans and, for phones, the two national notations of ``NATIONAL``.
 
 Null text is empty. Empty texts have no spans. Repeated rows are read row by row. Without a document that has a node, nothing is
@@ -34,6 +34,7 @@ from semaspark.llm.words import Texts, chunks
 
 KINDS = ("email", "ip", "card", "phone")
 SAMPLE = 4000
+TRAIN_NODES = 20_000
 BUCKETS = 1024
 ROUNDS = 8
 SURE = 0.9
@@ -199,7 +200,7 @@ def beliefs(field: Field, n: Nodes, edges: tuple[np.ndarray, np.ndarray, np.ndar
     np.add.at(belief, target, message)
     m = len(a)
     both = (belief[a] - message[m:])[:, :, None] + field.pairs[kind] + (belief[b] - message[:m])[:, None, :]
-    return _norm(belief), _norm(both.reshape(m, -1)).reshape(both.shape)
+    return _norm(belief), _norm(both.reshape(m, local.shape[1] ** 2)).reshape(both.shape)
 
 
 def train(n: Nodes, steps: int = STEPS, decay: float = 1.0) -> Field:
@@ -278,7 +279,7 @@ def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sample: int
         return Field.blank()
     # The documents up to the sample's last hash: rows equal to it in id and text count, no row is sent to choose them.
     picked = docs.select(F.xxhash64(doc_id, text).alias("doc"), F.col(text).alias("text")).where(F.col("text").rlike("[0-9@]") & (F.col("doc") <= most)).dropDuplicates(["doc"])
-    rows = picked.select("doc", "text").mapInArrow(emit, NODE).toArrow()
+    rows = picked.select("doc", "text").mapInArrow(emit, NODE).orderBy("doc", "place").limit(TRAIN_NODES).toArrow()
     doc, place = rows.column("doc").to_numpy(), rows.column("place").to_numpy()
     order = np.lexsort((place, doc))
     features = np.array(rows.column("features").to_pylist(), np.int64).reshape(len(doc), _FEATURES)[order]
