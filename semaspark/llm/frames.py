@@ -43,6 +43,6 @@ def salted_join(rows: DataFrame, side: DataFrame, on: str, spread: Column, how:
     left = rows.withColumns({salt: F.pmod(F.xxhash64(spread), F.lit(salts)), has: F.col(on).isNull()})
     right = side.withColumns({has: F.col(on).isNull(), salt: F.explode(F.sequence(F.lit(0), F.lit(salts - 1)).cast("array<bigint>"))}).withColumnRenamed(on, key)
     kind = rows.schema[on].dataType.simpleString()
-    empty = F.lit("").cast("binary").cast(kind) if kind == "string" else F.lit(0).cast(kind)
+    empty = F.lit("" if kind == "string" else 0).cast(kind)
     same = (F.coalesce(left[on], empty) == F.coalesce(right[key], empty)) & (left[has] == right[has]) & (left[salt] == right[salt])
     return left.join(right, same, how).drop(left[salt], left[has]).drop(right[salt], right[has]).drop(right[key])
