@@ -1,17 +1,18 @@
 """Near duplicates by Order MinHash, verified by banded alignment.
 
-Shingles are runs of five words; texts of one to four words are one shingle. Equal shingles of a text are told
-apart by how often they came before. Each of ``SKETCHES`` hash functions samples the ``TUPLE`` smallest shingles of a
-text and keeps them in text order; texts that share such a tuple are candidates. At similarity 0.8 a pair is missed with
-probability (1 - 0.8^3)^16, about one in 100,000.
+Shingles are runs of five words; texts of one to four words are one shingle. Occurrences of a shingle are labelled, and of those
+after the first the 2nd, 4th, 8th and so on count: one phrase repeated hundreds of times makes texts no candidates. Each of ``SKETCHES`` hash functions samples the ``TUPLE`` smallest shingles of a
+text and keeps them in text order; texts that share ``SHARED`` such tuples are candidates. Of 24 tuples, each shared with
+probability 0.8^3, a pair at similarity 0.8 shares fewer than three once in 90,000 times.
 
 Two texts are linked if at least 0.8 of their distinct shingles are shared (Jaccard) and the words that a banded
 alignment matches are 0.8 of the longer text. Classes are the connected components.
 
-Exact copies are collapsed before anything is compared. A bucket of candidates is never expanded into all pairs:
-its least member is compared with the others first; then, in the buckets that still hold several classes, growing random
-sets of leaders with all members of other classes, until all members were leaders or one class is left. Groups of copies
-thus cost one comparison a member, and no candidate pair of different classes is left out.
+Exact copies are collapsed before anything is compared. The texts that share one tuple are a bucket; its least member
+is compared with the others. Groups of copies thus become one class at one comparison a member. What shares a tuple across
+classes, such as texts with a common passage, is dealt anew by pairs of tuples; in the buckets that still hold several
+classes, growing random sets of leaders are compared with the members of other classes, until all members were leaders
+or one class is left. So no bucket is expanded into all pairs, and no candidate pair of different classes is left out.
 
 A class id is the least doc_id of its class. Texts without words (null, empty, blank) are each their own class. A row with
 a null doc_id gets the class of its exact copies, else null. Rows with equal doc_id count as one document. Empty tables
@@ -33,7 +34,9 @@ from semaspark.llm.frames import free_name, salted_join, stage, table
 from semaspark.llm.words import Texts, chunks, in_row, mix, whole_windows, windows
 
 SHINGLE = 5
-SKETCHES = 16
+SKETCHES = 24
+SHARED = 3
+LEADERS = 32
 TUPLE = 3
 SIMILAR = 0.8
 _MOST = np.uint64(2**64 - 1)
@@ -64,6 +67,8 @@ def _sketch(part: Texts) -> tuple[np.ndarray, np.ndarray]:
     nth = np.empty(len(item), np.int64)
     nth[order] = np.arange(len(item)) - np.repeat(np.cumsum(count) - count, count)
     distinct = np.bincount(of[nth == 0], minlength=part.rows)
+    counts = ((nth + 1) & nth) == 0
+    item, of, nth = item[counts], of[counts], nth[counts]
     item = mix(item + nth.astype(np.uint64) * np.uint64(0xA0761D6478BD642F))
     size = np.bincount(of, minlength=part.rows)
     full = np.flatnonzero(size)
@@ -170,32 +175,56 @@ def _pairs(one: str, two: str, n_one: str, n_two: str) -> list:
     return [F.least(n_one, n_two) >= SIMILAR * F.greatest(n_one, n_two), F.least(one, two).alias("a"), F.greatest(one, two).alias("b")]
 
 
-def near_links(nodes: DataFrame, docs: DataFrame) -> DataFrame | None:
+def near_links(nodes: DataFrame, docs: DataFrame) -> DataFrame:
     """node, root of all nodes that have a near duplicate. nodes: node, n, buckets; docs: doc_id, text."""
     each = nodes.select("node", "n", F.posexplode("buckets").alias("at", "value")).select("node", "n", F.xxhash64("at", "value").alias("bucket"))
-    sizes = each.groupBy("bucket").agg(F.min("node").alias("leader"), F.min_by("n", "node").alias("leader_n"), F.count("*").alias("c")).where("c > 1")
-    members = stage(each.join(sizes, "bucket"), "members")
+    sizes = each.groupBy("bucket").agg(F.min(F.struct("node", "n")).alias("leader"), F.count("*").alias("c")).where("c > 1")
+    members = stage(each.join(sizes.select("bucket", F.col("leader.node").alias("leader"), F.col("leader.n").alias("leader_n")), "bucket"), "members")
     words = docs.join(members.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi").select(F.col("doc_id").alias("node"), word_codes("text").alias("codes"))
     words = stage(words.dropDuplicates(["node"]), "words")
     fits, a, b = _pairs("leader", "node", "leader_n", "n")
-    links = stage(_links(members.where((F.col("leader") != F.col("node")) & fits).select(a, b).distinct(), words), "near")
+    root = stage(components(_links(members.where((F.col("leader") != F.col("node")) & fits).select(a, b).distinct(), words)), "roots")
+    # Buckets of several classes, and of those the pairs that a text is in.
+    now = members.join(root, "node", "left").select("bucket", "node", "n", F.coalesce("root", "node").alias("root"))
+    text = stage(_mixed(now, "bucket").groupBy("node").agg(F.array_sort(F.collect_set("bucket")).alias("b"), F.first("n").alias("n"), F.first("root").alias("root")).where(F.size("b") >= SHARED), "mixed")
+    text = text.select("node", "n", "root", "b", F.posexplode("b").alias("i", "one"))
+    text = text.select("node", "n", "root", "b", "one", F.explode(F.slice("b", F.col("i") + 2, SKETCHES)).alias("two")).select("node", "n", "root", "b", F.xxhash64("one", "two").alias("bucket"))
     spread = F.pmod(F.xxhash64("node", "bucket"), F.lit(1 << 30)) / float(1 << 30)
-    leaders = 4
+    c = text.groupBy("bucket").agg(F.count("*").alias("c"), F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("bucket", "c")
+    now = stage(text.join(c, "bucket").withColumn("turn", spread * F.col("c")), "mixed")
+    turn, leaders = 0.0, float(LEADERS)
     while True:
-        root = stage(components(links), "roots")
-        now = members.select("bucket", "node", "n", "c", spread.alias("r")).join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        mixed = now.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("bucket")
-        now = stage(now.join(mixed, "bucket", "left_semi"), "mixed")
-        below = 0.0 if leaders == 4 else leaders / 4.0
-        lead = now.where((F.col("r") * F.col("c") < leaders) & (F.col("r") * F.col("c") >= below))
+        lead = now.where((F.col("turn") >= turn) & (F.col("turn") < leaders))
         if lead.isEmpty():
             return root
-        lead = lead.select("bucket", F.col("node").alias("one"), F.col("n").alias("one_n"), F.col("root").alias("one_root"), F.col("r").alias("one_r"))
+        lead = lead.select("bucket", F.col("node").alias("one"), F.col("n").alias("one_n"), F.col("root").alias("one_root"), F.col("turn").alias("one_turn"), F.col("b").alias("one_b"))
         fits, a, b = _pairs("one", "node", "one_n", "n")
-        fresh = (F.col("r") * F.col("c") >= leaders) | (F.col("r") > F.col("one_r")) | ((F.col("r") == F.col("one_r")) & (F.col("node") > F.col("one")))
-        todo = now.join(lead, "bucket").where((F.col("root") != F.col("one_root")) & fresh & fits)
-        more = stage(_links(todo.select(a, b).distinct(), words), "near")
-        links, leaders = links.unionAll(more), leaders * 4
+        fresh = (F.col("turn") > F.col("one_turn")) | ((F.col("turn") == F.col("one_turn")) & (F.col("node") > F.col("one")))
+        # All tuples that two texts of different classes share are in both lists.
+        shared = F.size(F.array_intersect("b", "one_b")) >= SHARED
+        todo = now.join(lead, "bucket").where((F.col("root") != F.col("one_root")) & fresh & fits & shared).select(a, b).distinct()
+        found = stage(_links(todo, words), "near")
+        if not found.isEmpty():
+            root = stage(_merged(root, found), "roots")
+            newer = root.withColumnRenamed("root", "newer")
+            now = now.join(newer, "node", "left").withColumn("root", F.coalesce("newer", "root")).drop("newer")
+        now = stage(_mixed(now, "bucket"), "mixed")
+        turn, leaders = leaders, leaders * 4
+
+
+def _mixed(rows: DataFrame, bucket: str) -> DataFrame:
+    """The rows of buckets that hold more than one class."""
+    several = rows.groupBy(bucket).agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select(bucket)
+    return rows.join(several, bucket, "left_semi")
+
+
+def _merged(root: DataFrame, found: DataFrame) -> DataFrame:
+    """The classes of ``root`` after the links ``found``: only classes are linked, not their members again."""
+    of_a, of_b = (root.select(F.col("node").alias(x), F.col("root").alias(f"root_{x}")) for x in "ab")
+    links = found.join(of_a, "a", "left").join(of_b, "b", "left").select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b"))
+    joined = stage(components(links), "merged")
+    old = root.join(joined.select(F.col("node").alias("root"), F.col("root").alias("newer")), "root", "left").select("node", F.coalesce("newer", "root").alias("root"))
+    return old.unionAll(joined.join(root.select("node"), "node", "left_anti").select("node", "root"))
 
 
 def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
