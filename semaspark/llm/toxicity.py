@@ -1,9 +1,11 @@
 """Toxicity of texts whose words may be disguised: a noisy channel is undone first, then the restored words are scored.
 
-Restoring. A character model (charlm.py) is counted over all texts. A word of plain letters stands for itself. Any other
-word becomes a lattice: each run of a character may stand for itself, for letters that it looks like, for fewer
-repetitions, or, inside a word, for nothing; Viterbi search under the character model and fixed channel costs picks the
-spelling. Runs of three or more one-character words are read as one spaced word.
+Restoring. A character model (charlm.py) is counted over all texts. A word of plain letters, none doubled, stands for itself.
+Any other word, of any length, becomes a lattice: each run of a character may stand for itself, for letters that it looks like,
+for fewer repetitions, for nothing, or for the end of a word; Viterbi search under the character model and fixed channel costs
+picks the spelling; a word with doubled letters counts both ways. Signs that end a word count both as letters and as nothing. Neighbours are also read together where white
+space may be noise: runs of three or more one-character words, and words that the character model finds ``10^JOIN`` times
+likelier as one. Such a run of three or more goes through the lattice with an end of a word allowed at each white space; where these ends are in doubt, each place may begin a word.
 
 Scoring. From at most ``SAMPLE`` labelled rows, outside the held-out ones, the ``FEATURES`` restored words and word beginnings that
 tell the labels apart best (log-likelihood ratio) get weights by logistic regression. A text's score is the logistic
@@ -36,76 +38,210 @@ FEATURES = 4096
 LEAST_RATIO = 10.0
 PREFIXES = (4, 5, 6)
 LOOKS_LIKE = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l"}
-LOOK_COST, REPEAT_COST, DROP_COST, ODD_COST = -0.6, -0.3, -0.4, -0.6
+LOOK_COST, REPEAT_COST, TWICE_COST, DROP_COST, ODD_COST, BREAK_COST, SPLIT_COST = -0.6, -0.3, -3.0, -0.4, -0.6, -0.4, -1.2
+SIGN_COSTS = (-1.0, -2.0, -0.5)  # of dropping one, two, or three and more equal look-alike signs at an end of a word
+JOIN = 1.0
 SEPARATORS = ".-_* '~"
-EDGE = " \t.,;:?\"'()[]{}<>#%&*=/\\-_~^`"
+SIGNS = "".join(c for c in LOOKS_LIKE if not c.isalnum())
+EDGE = " \t.,;:?\"')[]{}<>#%&*=/\\-_~^`"
+REMEMBERED = 256
+WITHIN = max(PREFIXES) + 1
 _RUNS = re.compile(r"(.)\1*", re.S)
+_PLAIN = re.compile("[a-z]+")
+_DEALT = re.compile(rf"[^{re.escape(SEPARATORS)}](?:[{re.escape(SEPARATORS)}][^{re.escape(SEPARATORS)}])+")
 _THRICE = re.compile(r"(.)\1\1", re.S)
+_TWICE = re.compile(r"(.)\1", re.S)
 
 
-def _options(char: str, times: int, inner: bool) -> list[tuple[str, float]]:
-    """What a run of one character may stand for, with the log10 cost of the channel."""
+@lru_cache(4096)
+def _options(char: str, times: int, inner: bool, last: bool, split: bool, kept: bool) -> list[tuple[tuple[int, ...], str, float]]:
+    """What a run of one character may stand for, as symbols and text, with the log10 cost of the channel; a space is the end of
+    a word. ``split``: white space lies inside the run; ``kept``: signs at an end are letters."""
     out = []
-    for letter, cost in [(char, 0.0 if char.isalnum() else ODD_COST), *((x, LOOK_COST) for x in LOOKS_LIKE.get(char, ""))]:
-        if times < 3:
-            out.append((letter * times, cost))
+    for letter, cost in [(char, 0.0 if char.isalnum() else ODD_COST), *((x, LOOK_COST) for x in LOOKS_LIKE.get(char, ""))][last and kept and char in SIGNS :]:
+        if times == 1:
+            out.append((letter, cost))
+        elif times == 2:
+            out += [(letter * 2, cost), (letter, cost + TWICE_COST)]
         else:
             out += [(letter, cost + REPEAT_COST), (letter * 2, cost + 2 * REPEAT_COST)]
+        if split:
+            out.append((f"{letter} {letter}", cost + BREAK_COST))
     if inner and char in SEPARATORS:
         out.append(("", DROP_COST))
-    return out
+    if inner and not char.isalnum():
+        out.append((" ", SPLIT_COST if char in SEPARATORS else BREAK_COST))
+    if not inner and not char.isalnum() and not kept:
+        out.append(("", 0.0 if last and char == "!" or char not in LOOKS_LIKE else SIGN_COSTS[min(times, 3) - 1]))
+    return [(_symbols(text), text, cost) for text, cost in out]
+
+
+def _within(restored: str) -> set[str]:
+    """What begins at each place of a phrase whose ends of words are in doubt, one letter longer than the longest beginning
+    that is a feature."""
+    text = restored.replace(" ", "")
+    return {text[i : i + WITHIN] for i in range(len(text) - 2)}
+
+
+_SEAM = [((), "", 0.0), ((0,), " ", BREAK_COST)]
+
+
+def _symbols(text: str) -> tuple[int, ...]:
+    table_ = symbol_table()
+    return tuple(0 if c == " " else int(table_[min(ord(c), 65535)]) for c in text)
 
 
 class Restorer:
     def __init__(self, log_p: np.ndarray) -> None:
+        self.table = log_p.reshape(SYMBOLS, SYMBOLS, SYMBOLS)
         self.log_p = log_p.tolist()  # of all trigrams
         self.symbol = symbol_table().tolist()
-        self.restore = lru_cache(200_000)(self._restore)
+        self._remember = lru_cache(200_000)(self._restore)
+        self._remember_features = lru_cache(200_000)(self._features)
+        self._remember_run = lru_cache(50_000)(self._restore_run)
+
+    def restore(self, word: str) -> str:
+        """The likeliest spelling; several words are joined by spaces. Long words are decoded like others, but not remembered."""
+        return (self._remember if len(word) <= REMEMBERED else self._restore)(word)
 
     def _restore(self, word: str) -> str:
-        low = word.lower().strip(EDGE).rstrip("!")
-        core = low.rstrip("$+|@")
-        if core.isalpha() and not _THRICE.search(core):
-            return core
-        if not low or len(low) > 64:  # hashes, addresses and the like are no disguised words
+        low = word.lower().strip(EDGE)
+        if not low.isalpha():
+            return self._decode(low, frozenset()) if low else low
+        if not _TWICE.search(low):
             return low
-        return self._decode(low).strip(EDGE)
-
-    def _decode(self, word: str) -> str:
-        runs = [(m[1], m.end() - m.start()) for m in _RUNS.finditer(word)]
-        paths: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
-        for i, (char, times) in enumerate(runs):
-            after: dict[tuple[int, int], tuple[float, str]] = {}
-            for out, cost in _options(char, times, 0 < i < len(runs) - 1):
-                for (two, one), (score, text) in paths.items():
+        return self._decode(low, frozenset()) if _THRICE.search(low) else self._undouble(low)
+
+    def _undouble(self, word: str) -> str:
+        """What _decode gives for letters with doubled ones: trigrams make each choice depend on the letters next to it only."""
+        def single(m: re.Match) -> str:
+            y, c, z = (_symbols(x)[0] if x else 0 for x in (word[max(m.start() - 1, 0) : m.start()], m[1], word[m.end() : m.end() + 1]))
+            two = (y * SYMBOLS + c) * SYMBOLS
+            gain = self.log_p[two + z] - self.log_p[two + c] - self.log_p[(c * SYMBOLS + c) * SYMBOLS + z]
+            return m[1] if gain + TWICE_COST > 0 else m[0]
+
+        return _TWICE.sub(single, word)
+
+    def _restore_run(self, words: tuple[str, ...]) -> str:
+        """The likeliest words of a run whose white space may stand inside of words."""
+        low = [x for x in (w.lower().strip(EDGE) for w in words) if x]
+        seams, at = set(), 0
+        for w in low:
+            at += len(w)
+            seams.add(at)
+        return self._decode("".join(low), seams) if low else ""
+
+    def _decode(self, word: str, seams: set[int] | frozenset[int], kept: bool = False) -> str:
+        """Viterbi search over the states of the character model: linear in the word's length. At ``seams`` a word may end."""
+        runs = [(m[1], m.start(), m.end()) for m in _RUNS.finditer(word)]
+        pieces = []
+        for i, (char, a, b) in enumerate(runs):
+            last = i == len(runs) - 1
+            pieces.append(_options(char, b - a, 0 < i and not last, last, b - a > 1 and any(x in seams for x in range(a + 1, b)), kept))
+            if b in seams and not last:
+                pieces.append(_SEAM)
+        log_p = self.log_p
+        paths: dict[int, tuple[float, tuple]] = {0: (0.0, ())}  # by 64 times the symbol before the last and the last one
+        for options in pieces:
+            after: dict[int, tuple[float, tuple]] = {}
+            for symbols, out, cost in options:
+                for state, (score, before) in paths.items():
                     score += cost
-                    for c in out:
-                        s = self.symbol[min(ord(c), 65535)]
-                        score += self.log_p[(two * SYMBOLS + one) * SYMBOLS + s]
-                        two, one = one, s
-                    if (two, one) not in after or after[two, one][0] < score:
-                        after[two, one] = (score, text + out)
+                    for s in symbols:
+                        score += log_p[state * SYMBOLS + s]
+                        state = state % SYMBOLS * SYMBOLS + s if s else 0
+                    has = after.get(state)
+                    if has is None or has[0] < score:
+                        after[state] = (score, (before, out) if out else before)
             paths = after
-        return max((score + self.log_p[(two * SYMBOLS + one) * SYMBOLS], text) for (two, one), (score, text) in paths.items())[1]
-
-    def features(self, word: str) -> list[str]:
-        w = self.restore(word)
-        return [w, *(f"{w[:k]}~" for k in PREFIXES if len(w) > k)] if len(w) > 2 else []
+        best = max(((score + log_p[state * SYMBOLS], back) for state, (score, back) in paths.items()), key=lambda x: x[0])[1]
+        out = []
+        while best:
+            best, text = best
+            out.append(text)
+        return " ".join(x for x in (w.strip(EDGE) for w in "".join(reversed(out)).split(" ")) if x)
+
+    def readings(self, word: str) -> set[str]:
+        """The words that a word stands for: as restored, as it is if it has letters only, and, where look-alike signs end it,
+        with these as letters and as nothing."""
+        found = {self.restore(word)}
+        low = word.lower().strip(EDGE)
+        if low.isalpha():
+            found.add(low)
+        elif low:
+            if low[-1] in SIGNS:
+                found.add(self._decode(low, frozenset(), kept=True))
+                found.add(self.restore(low.rstrip(SIGNS + EDGE)))
+            if len(low) > 2 * WITHIN and _DEALT.fullmatch(low):
+                found.update(_within(self.restore(low)))
+        return {x for w in found for x in w.split(" ")}
+
+    def features(self, word: str) -> tuple[str, ...]:
+        return (self._remember_features if len(word) <= REMEMBERED else self._features)(word)
+
+    def _features(self, word: str) -> tuple[str, ...]:
+        if _PLAIN.fullmatch(word) and not _TWICE.search(word):
+            return (word, *(f"{word[:k]}~" for k in PREFIXES if len(word) > k)) if len(word) > 2 else ()
+        return tuple({f for w in self.readings(word) if len(w) > 2 for f in (w, *(f"{w[:k]}~" for k in PREFIXES if len(w) > k))})
+
+    def _ends(self, word: str) -> tuple[int, int, int, int]:
+        """Symbols of the first two and the last two characters as restored; 0 is none. Digits and signs give none."""
+        text = self.restore(word)
+        if not text or not (text[0].isalpha() and text[-1].isalpha()):
+            return 0, 0, 0, 0
+        s = [self.symbol[min(ord(c), 65535)] for c in text[:2] + text[-2:]]
+        return (s[0], s[1], s[-2], s[-1]) if len(text) > 1 else (s[0], 0, 0, s[0])
+
+    def _all_ends(self, words: list[str], data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """_ends of all words, where the four characters are ASCII letters as they are written."""
+        wide = end - start > 1
+        four = np.stack([data[start], data[np.where(wide, start + 1, start)], data[np.where(wide, end - 2, start)], data[end - 1]], 1)
+        low = four | 32
+        plain = wide & ((low >= 97) & (low <= 122) & (four < 128)).all(1)
+        out = low.astype(np.int64) - 96
+        for i in np.flatnonzero(~plain).tolist():
+            out[i] = self._ends(words[i])
+        return out
+
+    def _seams(self, ends: np.ndarray, row: np.ndarray, single: np.ndarray) -> np.ndarray:
+        """After which words the white space may be noise: between two characters, and where the character model gives the
+        words as one at least 10^JOIN times the probability that it gives them apart."""
+        (two, one), (a, b) = ends[:-1, 2:].T, ends[1:, :2].T
+        p = self.table
+        gain = p[two, one, a] + p[one, a, b] - p[two, one, 0] - p[0, 0, a] - p[0, a, b]
+        return (row[1:] == row[:-1]) & ((single[1:] & single[:-1]) | ((one > 0) & (a > 0) & (gain > JOIN)))
 
     def words(self, part: Texts) -> tuple[list[str], np.ndarray, np.ndarray]:
-        """Distinct words of a chunk, which of them stand in the text, and their rows; spaced words are added to both."""
+        """Distinct words of a chunk, which of them stand in the text, and their rows; what spaced words and parts of words
+        may be together is added to both."""
         start, end, row = part.words()
         _, first, which = np.unique(part.hashes(start, end), return_index=True, return_inverse=True)
         words = gather(part.data, start[first], end[first]).tobytes().decode("utf-8", "replace").split("\n")[:-1]
-        single = np.array([len(w) == 1 for w in words], bool)[which] if len(words) else np.zeros(0, bool)
-        edges = np.flatnonzero(np.diff(np.concatenate(([False], single, [False])).astype(np.int8)))
+        if len(which) < 2:
+            return words, which, row
+        single = np.array([len(w) == 1 or len(w.strip(EDGE)) == 1 for w in words], bool)[which]
+        joins = self._seams(self._all_ends(words, part.data, start[first], end[first])[which], row, single)
+        edges = np.flatnonzero(np.diff(np.concatenate(([False], joins, [False])).astype(np.int8)))
         extra, rows = [], []
-        for a, b in zip(edges[::2].tolist(), edges[1::2].tolist()):
-            for r in np.unique(row[a:b]).tolist():
-                mine = which[a:b][row[a:b] == r]
-                if len(mine) >= 3:
-                    extra.append("".join(words[i] for i in mine.tolist()))
-                    rows.append(r)
+        for a, b in zip(edges[::2].tolist(), (edges[1::2] + 1).tolist()):
+            run = tuple(words[i] for i in which[a:b].tolist())
+            alone = single[a:b]
+            found = set()
+            if alone.all() and len(run) < 3:
+                continue
+            if len(run) > 2:
+                restored = (self._remember_run if sum(map(len, run)) <= REMEMBERED else self._restore_run)(run)
+                found.update(restored.split(" "))
+                if alone.sum() > WITHIN:
+                    found.update(_within(restored))
+            if len(run) == 2 or alone.all():
+                found.add("".join(run))
+            elif alone.sum() > 2:
+                at = np.flatnonzero(np.diff(np.concatenate(([False], alone, [False])).astype(np.int8)))
+                found.update("".join(run[x:y]) for x, y in zip(at[::2], at[1::2]) if y - x > 2)
+            found.discard("")
+            extra += found
+            rows += [int(row[a])] * len(found)
         return words + extra, np.concatenate((which, np.arange(len(words), len(words) + len(extra)))), np.concatenate((row, np.array(rows, row.dtype)))
 
 

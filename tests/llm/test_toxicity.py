@@ -22,6 +22,25 @@ def test_spaced_words(restorer):
     assert "idiot" in words and row[which == words.index("idiot")].tolist() == [0]
 
 
+@pytest.mark.parametrize("said,meant", [("stuupid", "stupid"), ("idioot", "idiot"), ("shi+", "shit"), ("as$", "ass"), ("idio+", "idiot"), ("idiot$$$", "idiot"), ("word###", "word"),
+                                        ("idiot!", "idiot"), ("st" + "u" * 80 + "pid", "stupid"), ("idiot,moron", "idiot"), ("lose", "lose"), ("l_o_s_e_r", "loser")])
+def test_signs_doubles_and_long_words(restorer, said, meant):
+    assert meant in restorer.features(said) and meant in restorer.readings(said)
+
+
+@pytest.mark.parametrize("phrase", ["y o u s t u p i d i d i o t", "you s t u p i d i d i o t " + "x y " * 40, "you stu pid man and idi ot", "y.o.u.s.t.u.p.i.d.i.d.i.o.t",
+                                    "y.o.u.s.t.u.p.i.d.i.d.i.o.t." + "x.y." * 40])
+def test_every_word_of_a_phrase(restorer, phrase):
+    part = next(toxicity.chunks(toxicity.pa.array([phrase])))
+    found = {f for w in restorer.words(part)[0] for f in restorer.features(w)}
+    assert "stup~" in found and "idio~" in found
+
+
+@pytest.mark.parametrize("word", ["stuupid", "goodleetter", "ooaa", "ab", "aabbcc", "éélan"])
+def test_doubles_are_decided_as_in_the_lattice(restorer, word):
+    assert restorer.restore(word) == restorer._decode(word, frozenset())
+
+
 def test_held_out_labels(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
     log_p = toxicity.character_model(docs)
