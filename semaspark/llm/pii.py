@@ -5,11 +5,12 @@ numbers that pass the Luhn test, international phone numbers.
 
 The field has a node for every word with a digit or an @. Its labels are none and the four kinds. Nodes have hashed
 features of their shape and of the word before; chain edges join neighbours, and skip edges join the occurrences of equal
-or similar words (same letters in any case, same last digits) wherever they stand in the document, each to the next one. Nodes
-under a base span are observed; loopy sum-product messages carry their labels along the edges. Nodes that get a kind with
+or similar words (same letters in any case, same last digits) wherever they stand in the document with one hub per word, so that
+any two are two edges apart. Nodes under a base span are observed; loopy sum-product messages carry their labels along the edges
+until none changes by more than ``TOLERANCE``, or ``MOST_ROUNDS`` rounds have not settled them. Nodes that get a kind with
 probability ``SURE`` are added as spans, neighbours of one kind as one span; they never touch a base span.
 
-Weights are trained on at most ``SAMPLE`` documents and, of these, at most ``TRAIN_NODES`` nodes, by gradient steps on the likelihood under the same messages. Their
+Weights are trained on at most ``SAMPLE`` whole documents by gradient steps on the likelihood under the same messages, summed over documents by Spark. Their
 labels are the base spans and, for phones, the two national notations of ``NATIONAL``.
 
 Null text is empty. Empty texts have no spans. Repeated rows are read row by row. Without a document that has a node, nothing is
@@ -21,7 +22,7 @@ from __future__ import annotations
 import hashlib
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -29,14 +30,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from semaspark.llm.frames import table
+from semaspark.llm.frames import stage, table
 from semaspark.llm.words import Texts, chunks
 
 KINDS = ("email", "ip", "card", "phone")
 SAMPLE = 4000
-TRAIN_NODES = 20_000
 BUCKETS = 1024
-ROUNDS = 8
+TOLERANCE = 1e-3
+MOST_ROUNDS = 200
 SURE = 0.9
 STEPS = 150
 NEAR = 3
@@ -117,12 +118,12 @@ def _features(word: str, before: str) -> list[int]:
 
 
 def _key(word: str) -> int:
-    """Equal or similar words share it; 0 for words too short to mean anything elsewhere."""
+    """Equal or similar words share it; negative for short ones, which mean less elsewhere."""
     digits = "".join(c for c in word if "0" <= c <= "9")
     if "@" not in word and not any(c.isalpha() for c in word):
-        return zlib.crc32(digits[-7:].encode()) + 1 if len(digits) >= 7 else 0
+        return (zlib.crc32(digits[-7:].encode()) + 1) * (1 if len(digits) >= 7 else -1)
     core = word.lower().strip(_EDGE_RIGHT)
-    return zlib.crc32(core.encode("utf-8", "replace")) + (1 << 33) if len(core) >= 6 else 0
+    return (zlib.crc32(core.encode("utf-8", "replace")) + (1 << 33)) * (1 if len(core) >= 6 else -1)
 
 
 def nodes_of(part: Texts, spans: list[list[tuple[int, int, int]]]) -> Nodes:
@@ -153,16 +154,22 @@ def nodes_of(part: Texts, spans: list[list[tuple[int, int, int]]]) -> Nodes:
     return Nodes(row[at], at - first[row[at]], low, high, features, np.array([_key(w) for w in text], np.int64), label)
 
 
-def edges_of(n: Nodes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Ends and type of each edge: 0 neighbours, 1 near in the text, 2 equal or similar words, each with its next occurrence."""
-    one = np.arange(len(n.row) - 1)
+def edges_of(n: Nodes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Ends and type of each edge, and the row of each hub: 0 neighbours, 1 near in the text, 2 a word and the hub of all that equal it
+    or are similar, 3 the same for short words. Hubs are numbered after the nodes."""
+    one = np.arange(max(len(n.row) - 1, 0))
     gap = n.place[1:] - n.place[:-1]
     close = (n.row[1:] == n.row[:-1]) & (gap <= NEAR)
     order = np.lexsort((n.place, n.key, n.row))
-    a, b = order[:-1], order[1:]
-    same = (n.key[a] == n.key[b]) & (n.row[a] == n.row[b]) & (n.key[a] != 0)
-    kinds = np.concatenate((np.where(gap[close] == 1, 0, 1), np.full(same.sum(), 2)))
-    return np.concatenate((one[close], a[same])), np.concatenate((one[close] + 1, b[same])), kinds
+    new = np.ones(len(order), bool)
+    new[1:] = (n.key[order][1:] != n.key[order][:-1]) | (n.row[order][1:] != n.row[order][:-1])
+    group = np.cumsum(new) - 1
+    often = np.bincount(group, minlength=1) > 1
+    hub = np.cumsum(often) - 1
+    mine = often[group] if len(group) else np.zeros(0, bool)
+    word, of = order[mine], len(n.row) + hub[group[mine]]
+    kinds = np.concatenate((np.where(gap[close] == 1, 0, 1), np.where(n.key[word] > 0, 2, 3)))
+    return np.concatenate((one[close], word)), np.concatenate((one[close] + 1, of)), kinds, n.row[order[new]][often] if len(order) else n.row
 
 
 @dataclass
@@ -173,7 +180,7 @@ class Field:
     @staticmethod
     def blank() -> Field:
         n = len(KINDS) + 1
-        return Field(np.zeros((BUCKETS, n)), np.zeros((3, n, n)))
+        return Field(np.zeros((BUCKETS, n)), np.zeros((4, n, n)))
 
 
 def _norm(x: np.ndarray) -> np.ndarray:
@@ -181,53 +188,70 @@ def _norm(x: np.ndarray) -> np.ndarray:
     return x - np.log(np.exp(x).sum(-1, keepdims=True))
 
 
-def beliefs(field: Field, n: Nodes, edges: tuple[np.ndarray, np.ndarray, np.ndarray], observed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Log marginals of nodes and of edges after ROUNDS rounds of messages, half of each new message mixed with the old."""
+def beliefs(field: Field, n: Nodes, edges: tuple[np.ndarray, ...], observed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Log marginals of nodes, then hubs, and of edges; half of each new message is mixed with the old. A message
+    is sent again where it or one that its sender got has changed."""
+    a, b, kind, hub_row = edges
     local = field.unary[n.features].sum(1)
     local[observed] = np.where(np.arange(local.shape[1]) == n.label[observed][:, None], 0.0, -30.0)
-    a, b, kind = edges
+    local = np.concatenate((local, np.zeros((len(hub_row), local.shape[1]))))
+    m = len(a)
     source, target = np.concatenate((a, b)), np.concatenate((b, a))
-    table_ = np.concatenate((field.pairs[kind], field.pairs[kind].transpose(0, 2, 1)))
-    reverse = np.concatenate((np.arange(len(a)) + len(a), np.arange(len(a))))
-    message = np.zeros((len(source), local.shape[1]))
-    for _ in range(ROUNDS):
-        belief = local.copy()
-        np.add.at(belief, target, message)
-        z = (belief[source] - message[reverse])[:, :, None] + table_
+    reverse = np.concatenate((np.arange(m) + m, np.arange(m)))
+    both_ways = np.stack((field.pairs, field.pairs.transpose(0, 2, 1)))
+    way, kind2 = np.repeat((0, 1), m), np.concatenate((kind, kind))
+    message = np.zeros((2 * m, local.shape[1]))
+    live, belief = np.arange(2 * m), local.copy()
+    for _ in range(MOST_ROUNDS if m else 0):
+        z = (belief[source[live]] - message[reverse[live]])[:, :, None] + both_ways[way[live], kind2[live]]
         top = z.max(1, keepdims=True)
-        message = 0.5 * message + 0.5 * _norm(top[:, 0] + np.log(np.exp(z - top).sum(1)))
-    belief = local.copy()
-    np.add.at(belief, target, message)
-    m = len(a)
+        step = 0.5 * (_norm(top[:, 0] + np.log(np.exp(z - top).sum(1))) - message[live])
+        message[live] += step
+        np.add.at(belief, target[live], step)
+        moved = live[np.abs(step).max(1) > TOLERANCE]
+        hot = np.zeros(len(local), bool)
+        hot[target[moved]] = True
+        again = hot[source]
+        again[moved] = True
+        live = np.flatnonzero(again)
+        if not len(live):
+            break
     both = (belief[a] - message[m:])[:, :, None] + field.pairs[kind] + (belief[b] - message[:m])[:, None, :]
     return _norm(belief), _norm(both.reshape(m, local.shape[1] ** 2)).reshape(both.shape)
 
 
-def train(n: Nodes, steps: int = STEPS, decay: float = 1.0) -> Field:
-    """Gradient ascent on the likelihood of the labels, with a scale per weight."""
-    field, edges = Field.blank(), edges_of(n)
-    if not len(n.row):
-        return field
-    a, b, kind = edges
-    nobody = np.zeros(len(n.row), bool)
-    weights = (field.unary, field.pairs)
-    moment, square = [np.zeros_like(w) for w in weights], [np.zeros_like(w) for w in weights]
-    for t in range(1, steps + 1):
-        node, both = beliefs(field, n, edges, nobody)
-        wrong = -np.exp(node)
-        wrong[np.arange(len(node)), n.label] += 1
+def gradient(field: Field, n: Nodes) -> np.ndarray:
+    """Of the log likelihood of the labels, by all weights. A hub has the label that most of its words have, the highest if tied."""
+    grads = Field.blank()
+    if len(n.row):
+        a, b, kind, hub_row = edges = edges_of(n)
+        node, both = beliefs(field, n, edges, np.zeros(len(n.row), bool))
+        seen = np.zeros((len(hub_row), node.shape[1]))
+        words = kind >= 2
+        np.add.at(seen, (b[words] - len(n.row), n.label[a[words]]), 1)
+        label = np.concatenate((n.label, seen.shape[1] - 1 - seen[:, ::-1].argmax(1))).astype(np.int64)
+        wrong = -np.exp(node[: len(n.row)])
+        wrong[np.arange(len(wrong)), n.label] += 1
         pair = -np.exp(both)
-        pair[np.arange(len(a)), n.label[a], n.label[b]] += 1
-        grads = [np.zeros_like(field.unary), np.zeros_like(field.pairs)]
+        pair[np.arange(len(a)), label[a], label[b]] += 1
         for f in n.features.T:
-            np.add.at(grads[0], f, wrong)
-        np.add.at(grads[1], kind, pair)
-        for w, g, m, s in zip(weights, grads, moment, square):
-            g -= decay * w
-            m += 0.1 * (g - m)
-            s += 0.01 * (g * g - s)
-            w += 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(s / (1 - 0.99**t)) + 1e-6)
-    return field
+            np.add.at(grads.unary, f, wrong)
+        np.add.at(grads.pairs, kind, pair)
+    return np.concatenate((grads.unary.ravel(), grads.pairs.ravel()))
+
+
+def train(gradient_of: Callable[[Field], np.ndarray], steps: int = STEPS, decay: float = 1.0) -> Field:
+    """Gradient ascent on the likelihood of the labels, with a scale per weight."""
+    shape, like = Field.blank().unary.shape, Field.blank().pairs.shape
+    cut = shape[0] * shape[1]
+    w = np.zeros(cut + Field.blank().pairs.size)
+    m, s = np.zeros_like(w), np.zeros_like(w)
+    for t in range(1, steps + 1):
+        g = gradient_of(Field(w[:cut].reshape(shape), w[cut:].reshape(like))) - decay * w
+        m += 0.1 * (g - m)
+        s += 0.01 * (g * g - s)
+        w = w + 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(s / (1 - 0.99**t)) + 1e-6)
+    return Field(w[:cut].reshape(shape), w[cut:].reshape(like))
 
 
 def added_spans(field: Field, n: Nodes, spans: list[list[tuple[int, int, int]]]) -> list[tuple[int, tuple[int, int, int]]]:
@@ -235,6 +259,7 @@ def added_spans(field: Field, n: Nodes, spans: list[list[tuple[int, int, int]]])
     if not len(n.row):
         return []
     node, _ = beliefs(field, n, edges_of(n), n.label > 0)
+    node = node[: len(n.row)]
     best = np.where((np.exp(node).max(1) >= SURE) & (n.label == 0), node.argmax(1), 0)
     out: list[tuple[int, tuple[int, int, int]]] = []
     last = -2
@@ -258,20 +283,23 @@ def said(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in spans)
 
 
-NODE = "doc long, place int, features array<int>, key long, label int"
+NODE = "place array<int>, features array<int>, key array<long>, label array<int>"
 
 
-def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sample: int = SAMPLE) -> Field:
+def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sample: int = SAMPLE, steps: int = STEPS) -> Field:
     """The field, trained on the ``sample`` documents with a digit or an @ that have the least hashes."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in chunks(batch.column(1)):
+            for part in chunks(batch.column(0)):
                 texts = _texts(part)
                 spans = [sorted(base_spans(t) + [(m.start(), 3, m.end()) for m in NATIONAL.finditer(t)]) for t in texts]
                 n = nodes_of(part, spans)
-                ids = batch.column(0).take(pa.array(part.first + n.row))
-                yield pa.RecordBatch.from_arrays([ids, pa.array(n.place.astype(np.int32)), pa.array(list(n.features.astype(np.int32)), pa.list_(pa.int32())), pa.array(n.key), pa.array(n.label.astype(np.int32))], ["doc", "place", "features", "key", "label"])
+                cuts = pa.array(np.searchsorted(n.row, np.arange(part.rows + 1)).astype(np.int32))
+                wide = pa.array((cuts.to_numpy() * _FEATURES).astype(np.int32))
+                values = (n.place.astype(np.int32), n.features.astype(np.int32).ravel(), n.key, n.label.astype(np.int32))
+                lists = [pa.ListArray.from_arrays(c, pa.array(v)) for c, v in zip((cuts, wide, cuts, cuts), values)]
+                yield pa.RecordBatch.from_arrays(lists, ["place", "features", "key", "label"])
 
     some = docs.where(F.col(text).rlike("[0-9@]")).select(F.xxhash64(doc_id, text).alias("doc"), F.col(doc_id).alias("id")).orderBy("doc").limit(sample)
     most = some.agg(F.max("doc")).first()[0]
@@ -279,13 +307,25 @@ def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sample: int
         return Field.blank()
     # The documents up to the sample's last hash: rows equal to it in id and text count, no row is sent to choose them.
     picked = docs.select(F.xxhash64(doc_id, text).alias("doc"), F.col(text).alias("text")).where(F.col("text").rlike("[0-9@]") & (F.col("doc") <= most)).dropDuplicates(["doc"])
-    rows = picked.select("doc", "text").mapInArrow(emit, NODE).orderBy("doc", "place").limit(TRAIN_NODES).toArrow()
-    doc, place = rows.column("doc").to_numpy(), rows.column("place").to_numpy()
-    order = np.lexsort((place, doc))
-    features = np.array(rows.column("features").to_pylist(), np.int64).reshape(len(doc), _FEATURES)[order]
-    _, row = np.unique(doc, return_inverse=True)
-    zero = np.zeros(len(doc), np.int64)
-    return train(Nodes(row[order], place[order].astype(np.int64), zero, zero, features, rows.column("key").to_numpy()[order], rows.column("label").to_numpy()[order].astype(np.int64)))
+    spark = docs.sparkSession
+    nodes = stage(picked.repartition(spark.sparkContext.defaultParallelism, "doc").select("text").mapInArrow(emit, NODE), "pii_nodes")
+
+    def summed(field: Field) -> np.ndarray:
+        def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = None
+            for batch in batches:
+                place, features, key, label = (batch.column(i) for i in range(4))
+                size = np.diff(place.offsets.to_numpy()) if len(place) else np.zeros(0, np.int64)
+                zero = np.zeros(int(size.sum()), np.int64)
+                flat = [c.flatten().to_numpy().astype(np.int64) for c in (place, features, key, label)]
+                some_ = gradient(field, Nodes(np.repeat(np.arange(len(size)), size), flat[0], zero, zero, flat[1].reshape(-1, _FEATURES), flat[2], flat[3]))
+                total = some_ if total is None else total + some_
+            if total is not None:
+                yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["g"])
+
+        return np.sum([np.frombuffer(r[0]) for r in nodes.mapInArrow(of, "g binary").collect()], 0)
+
+    return train(summed, steps)
 
 
 FOUND = "n_email long, n_ip long, n_card long, n_phone long, base string, spans string"

@@ -45,6 +45,31 @@ def test_repeated_words_share_a_label():
     assert [text[a:b] for _, (a, _, b) in added] == ["15551234567"] and added[0][1][1] == 3
 
 
+def test_far_repeats_share_a_label():
+    field = pii.Field.blank()
+    field.pairs[2] = np.eye(5) * 6
+    text = "call +15551234567 now" + " and then some words until 15551234567 again" * 60
+    part = next(pii.chunks(pii.pa.array([text])))
+    base = [pii.base_spans(text)]
+    added = pii.added_spans(field, pii.nodes_of(part, base), base)
+    assert len(added) == 60 and all(text[a:b] == "15551234567" and k == 3 for _, (a, k, b) in added)
+
+
+def test_short_words_have_edges():
+    n = pii.nodes_of(next(pii.chunks(pii.pa.array(["a1@b and 1234 x y z w then 1234 x y z w a1@b"]))), [[]])
+    assert pii.edges_of(n)[2].tolist().count(3) == 4
+
+
+def test_a_long_log_leaves_the_other_documents_in(spark):
+    log = " ".join(f"{i % 10}.{i}" for i in range(21_000))
+    first = spark.range(1000, 3000).orderBy(pii.F.xxhash64("id", pii.F.lit(log))).first()[0]
+    rows = [(first, log, "en", "a")]
+    rows += [(i, f"text ({200 + i}) 555-{1000 + i} and +1 ({200 + i}) 555-{1000 + i} or 10.0.0.{i} v {i * 37}", "en", "a") for i in range(80)]
+    docs = make(spark, rows)
+    for r in pii.find(docs.where("doc_id < 1000"), pii.fit(docs, steps=40)).collect():
+        assert "phone:5:19" in r["spans"].split(",")
+
+
 def test_a_single_node_and_none():
     for text in ("only 7 here", "nothing"):
         part = next(pii.chunks(pii.pa.array([text])))
