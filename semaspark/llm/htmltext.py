@@ -2,7 +2,8 @@
 
 A page is read into a tree of elements (unclosed and wrongly nested tags are closed as browsers do). Every element outside
 the prose of an article is hashed with all that is below it; Spark counts on how many pages of a host each hash occurs,
-and elements found on ``SHARE`` of a host's pages, and ``LEAST`` pages or more, are site template and go. Menus, headers,
+and elements found on ``MANY`` pages, or on ``SHARE`` of a host's pages and ``LEAST`` or more, are site template and go. The same
+holds for each section of a host (the first part of the path, if another follows), so that a section's own menu goes. Menus, headers,
 footers, sidebars, notices, adverts, forms and comments that their tag, role, class or id names go on any site, as do
 scripts, styles and hidden elements. If a page has ``article`` elements, they are its main text, else ``main``, else the
 body. Paragraphs and headings of an article are never template: copies of an article on one host are content.
@@ -29,6 +30,7 @@ from semaspark.llm.frames import salted_join, stage, table
 
 SHARE = 0.3
 LEAST = 5
+MANY = 50
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
 PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre li dt dd td th tr table tbody thead ul ol dl figcaption figure".split())
@@ -193,21 +195,29 @@ def host_of(url: Column) -> Column:
     return F.when(host != "", host)
 
 
-def templates(pages: DataFrame, share: float = SHARE, least: int = LEAST) -> DataFrame:
-    """host, template: the hashes of what recurs on many pages of a host. pages: host, html.
+def section_of(url: Column) -> Column:
+    """The first part of a url's path if another part follows, else an empty text."""
+    return F.coalesce(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*/+([^/?#]+)/+[^/?#]", 1), F.lit(""))
 
-    A host's list is bounded by its pages: each has so many elements, and a hash must be on ``share`` of them."""
+
+def templates(pages: DataFrame, share: float = SHARE, least: int = LEAST, many: int = MANY) -> DataFrame:
+    """host, template: the hashes of what recurs on many pages of a host or of a section of it. pages: host, section, html.
+
+    A hash must be on ``many`` pages of the host, or on ``share`` of the pages of the host or a section and on ``least``."""
 
     @F.arrow_udf("array<long>")
     def elements(column: pa.Array) -> pa.Array:
         return pa.array([hashed(parse(x)) if x else [] for x in column.to_pylist()], pa.list_(pa.int64()))
 
     known = pages.where("host IS NOT NULL")
-    each = known.select("host", F.explode(F.concat(F.array(F.lit(0).cast("long")), elements("html"))).alias("hash"))
-    counts = stage(each.groupBy("host", "hash").agg(F.count("*").alias("n")), "subtrees")
-    total = counts.where("hash = 0").select("host", F.col("n").alias("pages"))
-    often = counts.where((F.col("hash") != 0) & (F.col("n") >= least)).join(total, "host").where(F.col("n") >= share * F.col("pages"))
-    return stage(often.groupBy("host").agg(F.collect_list("hash").alias("template")), "templates")
+    each = known.select("host", "section", F.explode(F.concat(F.array(F.lit(0).cast("long")), elements("html"))).alias("hash"))
+    counts = stage(each.groupBy("host", "section", "hash").agg(F.count("*").alias("n")), "subtrees")
+    found = []
+    for keys, seen in ((["host"], counts.groupBy("host", "hash").agg(F.sum("n").alias("n"))), (["host", "section"], counts)):
+        total = seen.where("hash = 0").select(*keys, F.col("n").alias("pages"))
+        often = seen.where((F.col("hash") != 0) & (F.col("n") >= least)).join(total, keys)
+        found.append(often.where((F.col("n") >= share * F.col("pages")) | (F.col("n") >= many)).select("host", "hash"))
+    return stage(found[0].unionAll(found[1]).groupBy("host").agg(F.collect_set("hash").alias("template")), "templates")
 
 
 def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", source: str = "html") -> DataFrame:
@@ -223,8 +233,8 @@ def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", source
             out.append(main_text(root, frozenset(site or ())))
         return pa.array(out, pa.string())
 
-    rows = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), F.col(source).alias("html"), host_of(F.col(url)).alias("host"))
-    joined = salted_join(rows, templates(rows.select("host", "html")), "host", F.coalesce(F.col("page_id"), F.lit(0)))
+    rows = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), F.col(source).alias("html"), host_of(F.col(url)).alias("host"), section_of(F.col(url)).alias("section"))
+    joined = salted_join(rows, templates(rows.select("host", "section", "html")), "host", F.coalesce(F.col("page_id"), F.lit(0)))
     return joined.select("page_id", "url", text_of("html", "template").alias("text")).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 

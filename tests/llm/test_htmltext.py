@@ -44,6 +44,14 @@ def test_site_template_goes(spark):
     assert htmltext.extract(spark.createDataFrame([], PAGES)).count() == 0
 
 
+def test_sections_of_a_large_host(spark):
+    page = "<div><div>Links of section %d</div><div><p>Story %d has its own words</p></div>%s</div>"
+    rows = [(i, f"https://big.example/s{i % 8}/{i}", PLAIN % (page % (i % 8, i, "<div>Sale now</div>" if i // 8 % 4 == 0 else "")), "x", "y") for i in range(240)]
+    rows += [(1000 + i, f"https://small.example/s{i % 8}/{i}", PLAIN % (page % (i % 8, i, "")), "x", "y") for i in range(48)]
+    got = {r["page_id"]: r["text"] for r in htmltext.extract(spark.createDataFrame(rows, PAGES)).collect()}
+    assert all(got[i] == f"Story {i} has its own words" for i in range(240)) and got[1009] == "Story 9 has its own words"
+
+
 def test_pages_of_the_test_data(spark, sf):
     import html
     import re
