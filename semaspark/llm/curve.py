@@ -18,6 +18,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from decimal import Decimal
 
 import numpy as np
 import pyarrow as pa
@@ -68,7 +69,7 @@ def _step(df: DataFrame, axis: Axis) -> Column:
     if low is None:
         return F.lit(None).cast("long")
     wide = col.cast("decimal(20,0)") - F.lit(low).cast("decimal(20,0)")
-    return F.floor(wide * (1 << FINE) / F.lit(high - low + 1).cast("decimal(20,0)")).cast("long")
+    return F.floor(wide * (1 << FINE) / F.lit(Decimal(high - low + 1)).cast("decimal(20,0)")).cast("long")
 
 
 def cells(df: DataFrame, axis: Axis, bits: int = BITS) -> DataFrame:
