@@ -53,6 +53,11 @@ def offsets(staged: DataFrame, part: str, value: Column) -> Column:
     return F.element_at(F.create_map(*before), F.col(part)) if before else F.lit(0).cast("long")
 
 
+def whole(top: Column, bottom: Column) -> Column:
+    """Exact integer quotient; the quotient of decimals would round up beside a whole number."""
+    return F.call_function("div", top.cast("decimal(38,0)"), bottom.cast("decimal(38,0)"))
+
+
 def _step(df: DataFrame, axis: Axis) -> Column:
     """The value that is counted; monotone in the column."""
     col = F.col(axis.column)
@@ -69,7 +74,7 @@ def _step(df: DataFrame, axis: Axis) -> Column:
     if low is None:
         return F.lit(None).cast("long")
     wide = col.cast("decimal(20,0)") - F.lit(low).cast("decimal(20,0)")
-    return F.floor(wide * (1 << FINE) / F.lit(Decimal(high - low + 1)).cast("decimal(20,0)")).cast("long")
+    return whole(wide * (1 << FINE), F.lit(Decimal(high - low + 1)))
 
 
 def cells(df: DataFrame, axis: Axis, bits: int = BITS) -> DataFrame:
@@ -79,7 +84,7 @@ def cells(df: DataFrame, axis: Axis, bits: int = BITS) -> DataFrame:
     here = Window.partitionBy("part").orderBy(F.col("value").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
     total = placed.agg(F.sum("n")).first()[0] or 1
     before = offsets(placed, "part", F.col("n")) + F.coalesce(F.sum("n").over(here), F.lit(0))
-    share = F.floor(before.cast("decimal(20,0)") * (1 << bits) / F.lit(total).cast("decimal(20,0)"))
+    share = whole(before.cast("decimal(20,0)") * (1 << bits), F.lit(total))
     return stage(placed.select("value", share.cast("int").alias("cell")), "cells")
 
 
@@ -142,8 +147,8 @@ def shard(df: DataFrame, axes: tuple[Axis, ...], n: int = SHARDS, ties: tuple[st
     sorted_ = stage(order.withColumns({part: F.spark_partition_id(), far: F.monotonically_increasing_id()}).drop(at), "sorted")
     total = sorted_.count()
     ranked = sorted_.withColumn(rank, offsets(sorted_, part, F.lit(1)) + F.col(far).bitwiseAND((1 << 33) - 1))
-    of = F.floor(F.col(rank).cast("decimal(20,0)") * n / F.lit(max(total, 1))).cast("int")
-    first = F.ceil(of.cast("decimal(20,0)") * total / F.lit(n)).cast("long")
+    of = whole(F.col(rank).cast("decimal(20,0)") * n, F.lit(max(total, 1))).cast("int")
+    first = whole(of.cast("decimal(20,0)") * total + (n - 1), F.lit(n))
     return ranked.withColumns({"shard": of, "slot": F.col(rank) - first}).drop(part, far, rank)
 
 

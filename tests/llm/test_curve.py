@@ -76,3 +76,10 @@ def test_odd_rows(spark, odd, empty):
     far = spark.createDataFrame([(-2**63,), (2**63 - 1,), (0,), (None,)], "doc_id long")
     cells = {r["value"]: r["cell"] for r in curve.cells(far, curve.Axis("doc_id", "linear")).collect()}
     assert cells == {None: 0, 0: 64, 2048: 128, 4095: 192}
+
+
+def test_quotients_do_not_round_up(spark):
+    n = 10**13 + 7
+    df = spark.createDataFrame([(i * n // 24 + d,) for i in range(1, 24) for d in (0, 1)], "x long")
+    got = df.select("x", curve.whole(F.col("x").cast("decimal(20,0)") * 24, F.lit(n)).alias("q")).collect()
+    assert all(q == x * 24 // n for x, q in got)
