@@ -8,6 +8,7 @@ from checks.derived import LOG_TEXT, query_log, results
 from checks.derived import RESULTS_SQL
 from checks.registry import query, table
 from semaspark.functions.normalize import normalize_frame
+from semaspark.operators import answers as A
 from semaspark.operators import batch_compare as B
 from semaspark.operators import compare as C
 from semaspark.plans.relations import register_views
@@ -237,10 +238,90 @@ TEXTS = [GOLD, "SELECT o_orderkey FROM orders ORDER BY o_totalprice DESC, o_orde
          "SELECT p_brand, AVG(p_retailprice) FROM part GROUP BY p_brand ORDER BY p_brand"]
 
 
-@query("e15_self_check", f"SELECT i AS question_id, c AS \"case\", c = 'same' AS match FROM (SELECT unnest(range({len(TEXTS)}))::INTEGER AS i), (VALUES ('same'), ('broken')) v(c)")
+def _bare(text: str) -> str:
+    return f"SELECT * FROM ({text})"
+
+
+@query("e15_self_check", " UNION ALL ".join(
+    f"SELECT {i} AS question_id, 'same' AS \"case\", NOT {_differ(_bare(t), _bare(t))} AS match UNION ALL SELECT {i}, 'broken', CASE WHEN (SELECT COUNT(*) FROM ({t})) > 0 "
+    f"THEN NOT {_differ(_bare(t), _bare(_bare(t) + ' LIMIT 0'))} ELSE (SELECT COUNT(*) FROM ({t})) = 1 END" for i, t in enumerate(TEXTS)))
 def e15(spark, sf):
     register_views(sales_model(spark, sf))
-    return B.self_check(spark, list(enumerate(TEXTS)))
+    asked = spark.createDataFrame([(i, "", t) for i, t in enumerate(TEXTS)], "question_id int, db_id string, sql string")
+    return A.self_check(spark, asked, A.one_session(spark), limit=600)
+
+
+def _located(spark, sf):
+    """Two databases with one table name."""
+    return spark.createDataFrame([("clients", "party", f"{sf}/customer.parquet"), ("clients", "place", f"{sf}/nation.parquet"), ("vendors", "party", f"{sf}/supplier.parquet"),
+                                  ("vendors", "place", f"{sf}/region.parquet")], "db_id string, table_name string, path string")
+
+
+DATABASE_PAIRS = [
+    ("clients", "SELECT COUNT(*) FROM party", "SELECT COUNT(c_custkey) FROM party"),
+    ("vendors", "SELECT COUNT(*) FROM party", "SELECT COUNT(s_suppkey) FROM party"),
+    ("clients", "SELECT n_name, c_custkey FROM party JOIN place ON c_nationkey = n_nationkey", "SELECT c_custkey, n_name FROM place, party WHERE n_nationkey = c_nationkey"),
+    ("vendors", "SELECT s_name, s_acctbal FROM party WHERE s_acctbal > 0", "SELECT s_name, s_acctbal FROM party"),
+    ("vendors", "SELECT c_name FROM party", "SELECT s_name FROM party"),
+    ("clients", "SELECT c_custkey FROM party ORDER BY c_acctbal, c_custkey", "SELECT c_custkey FROM party ORDER BY c_acctbal DESC, c_custkey"),
+    ("vendors", "SELECT r_name FROM place", "SELECT n_name FROM place"),
+]
+DATABASES_SQL = """SELECT 0 AS question_id, (SELECT COUNT(*) FROM customer) = (SELECT COUNT(c_custkey) FROM customer) AS match, '' AS error
+UNION ALL SELECT 1, (SELECT COUNT(*) FROM supplier) = (SELECT COUNT(s_suppkey) FROM supplier), ''
+UNION ALL SELECT 2, (SELECT COUNT(*) FROM customer WHERE c_nationkey IN (SELECT n_nationkey FROM nation)) = (SELECT COUNT(*) FROM nation JOIN customer ON n_nationkey = c_nationkey), ''
+UNION ALL SELECT 3, (SELECT COUNT(*) FROM supplier WHERE s_acctbal > 0) = (SELECT COUNT(*) FROM supplier), ''
+UNION ALL SELECT 4, false, 'Predicted SQL error'
+UNION ALL SELECT 5, (SELECT COUNT(DISTINCT c_acctbal) = 1 FROM customer), ''
+UNION ALL SELECT 6, false, 'Gold SQL error'"""
+
+
+def _kind(error):
+    return F.split_part(F.coalesce(error, F.lit("")), F.lit(":"), F.lit(1))
+
+
+@query("e12_databases", DATABASES_SQL)
+def e12b(spark, sf):
+    pairs = spark.createDataFrame([(i, *p) for i, p in enumerate(DATABASE_PAIRS)], "question_id int, db_id string, predicted string, gold string")
+    return A.compare_databases(spark, pairs, A.located(spark, _located(spark, sf)), limit=600).select("question_id", "match", _kind(F.col("error")).alias("error"))
+
+
+ENDLESS = "SELECT COUNT(*) FROM range(10000000000000) r JOIN party ON r.id % 97 = s_suppkey"
+
+
+@query("e12_time_limit", "SELECT 'endless' AS name, false AS match, 'Predicted SQL error: Query timed out' AS error UNION ALL SELECT 'short', (SELECT COUNT(*) FROM supplier) = (SELECT COUNT(s_suppkey) FROM supplier), ''")
+def e12c(spark, sf):
+    """A text that looks suppliers up 10^13 times is cut after its limit; the one that runs beside it is not touched."""
+    pairs = spark.createDataFrame([("endless", "vendors", ENDLESS, "SELECT COUNT(*) FROM party"), ("short", "vendors", "SELECT COUNT(s_suppkey) FROM party", "SELECT COUNT(*) FROM party")],
+                                  "question_id string, db_id string, predicted string, gold string")
+    out = A.compare_databases(spark, pairs, A.located(spark, _located(spark, sf)), limit=20)
+    return out.select(F.col("question_id").alias("name"), "match", F.coalesce("error", F.lit("")).alias("error"))
+
+
+RUN_SQL = """WITH k AS (SELECT DISTINCT n_regionkey AS k FROM nation), q AS (
+  SELECT k, 'clients' AS db_id, (SELECT COUNT(*) FROM customer WHERE c_nationkey % 5 = k) AS gold FROM k UNION ALL SELECT k, 'vendors', (SELECT COUNT(*) FROM supplier WHERE s_nationkey % 5 = k) FROM k),
+r AS (SELECT q.*, p.provider, CASE provider WHEN 'late' THEN gold + k % 2 ELSE gold END AS predicted FROM q, (VALUES ('late'), ('right'), ('shaky')) p(provider))
+SELECT provider, COUNT(*) AS total, COUNT(CASE WHEN gold = predicted AND NOT (provider = 'shaky' AND k IN (0, 1)) OR provider = 'right' AND k = 4 THEN 1 END) AS correct,
+  COUNT(CASE WHEN provider = 'shaky' AND k IN (0, 1) THEN 1 END) AS errors FROM r GROUP BY provider"""
+
+
+@query("e16_run_evaluation", RUN_SQL)
+def e16b(spark, sf):
+    """The whole run: replies with fences, failures at the provider and in the text, results from an earlier run, a database without schema."""
+    regions = table(spark, sf, "nation").select(F.col("n_regionkey").alias("k")).distinct()
+    side = F.explode(F.array(*[F.struct(F.lit(d).alias("db_id"), F.lit(c).alias("key")) for d, c in (("clients", "c_nationkey"), ("vendors", "s_nationkey"), ("unknown", "x"))])).alias("s")
+    questions = regions.select("k", side).select("k", F.concat_ws("-", "s.db_id", "k").alias("question_id"), "s.db_id", F.concat(F.lit("How many of "), "k").alias("question"),
+                                                 F.concat(F.lit("SELECT COUNT(*) AS n FROM party WHERE "), "s.key", F.lit(" % 5 = "), "k").alias("gold_sql"))
+    provider = F.explode(F.array(*map(F.lit, ("late", "right", "shaky")))).alias("provider")
+    text = F.when(F.col("provider") == "late", F.regexp_replace("gold_sql", r"COUNT\(\*\)", F.concat(F.lit("COUNT(*) + "), (F.col("k") % 2).cast("string")))).when(
+        (F.col("provider") == "shaky") & (F.col("k") == 1), F.lit("SELEC 1")).otherwise(F.col("gold_sql"))
+    replies = questions.select("question_id", "k", "gold_sql", provider).select(
+        "provider", "question_id", F.concat(F.lit("```sql\n"), text, F.lit("\n```")).alias("reply"),
+        F.when((F.col("provider") == "shaky") & (F.col("k") == 0), F.lit("no connection")).alias("error"), F.lit(5.0).alias("latency_ms"))
+    schemas = _located(spark, sf).select("db_id").distinct()
+    earlier = questions.filter("k = 4 and db_id <> 'unknown'").select(F.lit("right").alias("provider"), "question_id", "db_id", "question", "gold_sql", F.lit("").alias("predicted_sql"),
+                                                                     F.lit(True).alias("match"), F.lit(None).cast("string").alias("error"), F.lit(1.0).alias("latency_ms"))
+    results = A.run_evaluation(spark, questions.drop("k"), replies, schemas, A.located(spark, _located(spark, sf)), earlier, limit=600)
+    return C.metrics(results, ["provider"]).drop("accuracy")
 
 
 E16_SQL = """SELECT o_custkey AS question_id, NOT bool_or(o_orderpriority = '1-URGENT' AND o_orderstatus = 'F') AND (c_acctbal >= 0 OR COUNT(*) = 1) AS match, '' AS error

@@ -7,14 +7,12 @@ and the one join on the question alone is salted.
 
 from __future__ import annotations
 
-from collections.abc import Iterable
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from semaspark.functions.normalize import normalize
-from semaspark.operators.compare import (GOLD, PRED, _tagged, execute, fingerprint, order_matters, union_all, with_positions)
+from semaspark.operators.compare import GOLD, PRED, _tagged, fingerprint
 from semaspark.session import cut_lineage, sized
 
 SALTS = 32
@@ -175,48 +173,3 @@ def headers_of_cells(cells: DataFrame, ordered: Column) -> DataFrame:
     return cells.groupBy("question_id", "side").agg(
         F.count_distinct("row_no").alias("n_rows"), F.count_distinct("col_no").alias("n_cols"),
         F.lit(None).cast("string").alias("error"), F.bool_or(ordered).alias("ordered"))
-
-
-def compare_pairs(spark: SparkSession, pairs: Iterable[tuple[int, str, str]], strict_order: bool = False) -> DataFrame:
-    """Run (question_id, predicted, gold) texts and judge all answers in one job.
-
-    The texts are separate queries, so they run one after the other and a failing one
-    cannot stop the rest; their answers stay in the shared folder."""
-    pairs = list(pairs)
-    flags = spark.createDataFrame([(q, g) for q, _, g in pairs], "question_id int, gold string").select(
-        "question_id", order_matters(F.col("gold"), strict_order).alias("ordered")).collect()
-    ordered = {r["question_id"]: r["ordered"] for r in flags}
-    empty = "question_id int, side string, pos bigint, vals array<string>"
-    frames, heads = [spark.createDataFrame([], empty)], []
-    for q, predicted, gold in pairs:
-        for side, text in ((PRED, predicted), (GOLD, gold)):
-            answer, error = execute(spark, text)
-            n_cols = len(answer.columns) if answer is not None else 0
-            heads.append((q, side, n_cols, error, ordered[q]))
-            if answer is not None:
-                if ordered[q]:
-                    answer = with_positions(answer)
-                else:
-                    answer = answer.withColumn("pos", F.monotonically_increasing_id())
-                vals = F.array(*[_tagged(F.col(f"c{i}")) for i in range(n_cols)])
-                frames.append(answer.select(F.lit(q).alias("question_id"), F.lit(side).alias("side"), "pos", vals.alias("vals")))
-    rows = union_all(frames)
-    sizes = rows.groupBy("question_id", "side").agg(F.count("*").alias("n_rows"))
-    heads_df = spark.createDataFrame(heads, "question_id int, side string, n_cols int, error string, ordered boolean")
-    headers = heads_df.join(sizes, ["question_id", "side"], "left").withColumn(
-        "n_rows", F.when(F.col("error").isNull(), F.coalesce("n_rows", F.lit(0))))
-    return compare_rows(headers, rows)
-
-
-def self_check(spark: SparkSession, queries: Iterable[tuple[int, str]]) -> DataFrame:
-    """``question_id, case, match``: each query against itself must match and against a
-    broken version of itself must not."""
-    from semaspark.operators.compare import broken, query_only
-
-    queries = list(queries)
-    texts = spark.createDataFrame([(q, s, query_only(spark, s).isEmpty()) for q, s in queries], "question_id int, sql string, is_empty boolean")
-    spoiled = {r["question_id"]: r["b"] for r in texts.select("question_id", broken(F.col("sql"), F.col("is_empty")).alias("b")).collect()}
-    pairs = [(2 * q, s, s) for q, s in queries] + [(2 * q + 1, spoiled[q], s) for q, s in queries]
-    return compare_pairs(spark, pairs).select(
-        F.expr("question_id div 2").cast("int").alias("question_id"),
-        F.when(F.col("question_id") % 2 == 0, "same").otherwise("broken").alias("case"), "match")

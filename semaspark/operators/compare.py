@@ -8,7 +8,6 @@ shuffle. A verdict is never left to a hash: a match is confirmed by counting row
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -288,7 +287,3 @@ def broken(sql: Column, is_empty: Column) -> Column:
     has_limit = sql.rlike(r"(?i)\blimit\s+\d+")
     none = F.when(has_limit, F.regexp_replace(sql, r"(?i)\blimit\s+\d+", "LIMIT 0")).otherwise(F.concat(sql, F.lit(" LIMIT 0")))
     return F.when(is_empty, F.lit("SELECT 'forced' AS c1")).otherwise(none)
-
-
-def union_all(frames: Sequence[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, frames)

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from semaspark.functions.normalize import normalize_frame
+from semaspark.operators import answers as A
 from semaspark.operators import batch_compare as B
 from semaspark.operators import compare as C
 
@@ -182,14 +183,14 @@ def test_only_queries_run(spark, text):
 
 
 def test_compare_pairs_is_the_same(spark, people):
-    got = {r["question_id"]: r["match"] for r in B.compare_pairs(spark, [(i, p, g) for i, (p, g, _) in enumerate(PAIRS)]).collect()}
+    got = {r["question_id"]: r["match"] for r in A.compare_pairs(spark, [(i, p, g) for i, (p, g, _) in enumerate(PAIRS)]).collect()}
     assert [got[i] for i in range(len(PAIRS))] == [m for *_, m in PAIRS]
 
 
 def test_self_check(spark, people):
     texts = ["SELECT name FROM users", "SELECT * FROM users ORDER BY age LIMIT 2", "SELECT name FROM users WHERE age > 99",
              "SELECT user_id, sum(amount) FROM payments GROUP BY user_id"]
-    rows = B.self_check(spark, list(enumerate(texts))).collect()
+    rows = A.self_check(spark, spark.createDataFrame([(i, "", t) for i, t in enumerate(texts)], "question_id int, db_id string, sql string"), A.one_session(spark)).collect()
     assert len(rows) == 8
     assert all(r["match"] == (r["case"] == "same") for r in rows)
 
