@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from checks.registry import query, table, xavg, xsum
@@ -361,3 +362,60 @@ def q8d(spark, sf):
 def m9(spark, sf):
     src = Source.of("supplier", table(spark, sf, "supplier")).extend(measures=numeric_measures("s_acctbal", 2))
     return run(Model.build(src), "supplier", group_by=["s_nationkey"], aggregate=[m.name for m in src.measures])
+
+
+FULL = "(SELECT * FROM customer LEFT JOIN orders ON c_custkey = o_custkey LEFT JOIN lineitem ON o_orderkey = l_orderkey)"
+
+
+@query("q8_two_levels", f"""WITH f AS (SELECT * FROM {FULL} x),
+a AS (SELECT c_mktsegment AS segment, l_returnflag AS flag, COUNT(DISTINCT c_custkey) AS customers, COUNT(l_orderkey) AS n_items, {xsum('l_quantity')} AS total_l_quantity,
+  COUNT(DISTINCT l_suppkey) AS n_suppliers FROM f GROUP BY 1, 2),
+b AS (SELECT segment, flag, COUNT(o_orderkey) AS n_orders, {xsum('o_totalprice')} AS total_o_totalprice FROM (SELECT DISTINCT c_mktsegment AS segment, l_returnflag AS flag, o_orderkey, o_totalprice FROM f) GROUP BY 1, 2),
+c AS (SELECT segment, flag, {xsum('p_retailprice')} AS total_p_retailprice FROM (SELECT DISTINCT c_mktsegment AS segment, l_returnflag AS flag, p_partkey, p_retailprice FROM f LEFT JOIN part ON l_partkey = p_partkey) GROUP BY 1, 2)
+SELECT a.*, n_orders, total_o_totalprice, total_p_retailprice FROM a JOIN b ON a.segment = b.segment AND a.flag IS NOT DISTINCT FROM b.flag JOIN c ON a.segment = c.segment AND a.flag IS NOT DISTINCT FROM c.flag""")
+def q8_two_levels(spark, sf):
+    base = sales_model(spark, sf)
+    lineitem = base.source("lineitem").extend(measures=[Measure("n_suppliers", "count_distinct", "l_suppkey")])
+    return run(Model({**base.sources, "lineitem": lineitem}), "customer", group_by=["segment", ("flag", "orders.items.return_flag")], aggregate=[
+        ("customers", "row_count"), ("n_orders", "orders.row_count"), "orders.total_o_totalprice", ("n_items", "orders.items.row_count"), "orders.items.total_l_quantity",
+        "orders.items.n_suppliers", "orders.items.part.total_p_retailprice"])
+
+
+@query("q4_mixed_condition", f"""WITH f AS (SELECT * FROM {FULL} x WHERE l_quantity * 100 < c_acctbal AND l_extendedprice * 3 > o_totalprice AND o_orderstatus <> 'P')
+SELECT c_mktsegment AS segment, COUNT(DISTINCT c_custkey) AS row_count, COUNT(*) AS n_items, {xsum('l_quantity')} AS total_l_quantity,
+  (SELECT {xsum('o_totalprice')} FROM (SELECT DISTINCT o_orderkey, o_totalprice FROM f g WHERE g.c_mktsegment = f.c_mktsegment)) AS total_o_totalprice FROM f GROUP BY 1""")
+def q4_mixed_condition(spark, sf):
+    return run(sales_model(spark, sf), "customer", group_by=["segment"], aggregate=["row_count", ("n_items", "orders.items.row_count"), "orders.items.total_l_quantity", "orders.total_o_totalprice"],
+               where=["orders.items.l_quantity * 100 < c_acctbal", "orders.items.l_extendedprice * 3 > orders.o_totalprice", "orders.status <> 'P'"])
+
+
+@query("q8_many_one_side_measures", f"""WITH f AS (SELECT l_returnflag, o_orderkey, o_totalprice, c_custkey, c_acctbal FROM lineitem LEFT JOIN orders ON l_orderkey = o_orderkey LEFT JOIN customer ON o_custkey = c_custkey),
+c AS (SELECT l_returnflag, COUNT(c_custkey) AS customers, {xsum('c_acctbal')} AS total_c_acctbal, MIN(c_acctbal) AS min_c_acctbal,
+  COALESCE(SUM((SELECT COUNT(*) FROM events WHERE user_id = c_custkey)), 0)::BIGINT AS n_events FROM (SELECT DISTINCT l_returnflag, c_custkey, c_acctbal FROM f) GROUP BY 1),
+o AS (SELECT l_returnflag, COUNT(o_orderkey) AS orders, {xsum('o_totalprice')} AS total_o_totalprice FROM (SELECT DISTINCT l_returnflag, o_orderkey, o_totalprice FROM f) GROUP BY 1)
+SELECT l_returnflag AS return_flag, customers, total_c_acctbal, min_c_acctbal, n_events, orders, total_o_totalprice, (SELECT COUNT(*) FROM lineitem l WHERE l.l_returnflag = c.l_returnflag) AS row_count FROM c JOIN o USING (l_returnflag)""")
+def q8_many_one_side(spark, sf):
+    base = sales_model(spark, sf)
+    customer = base.source("customer").extend(joins=[join_many("events", [("c_custkey", "user_id")])])
+    return run(Model({**base.sources, "customer": customer}), "lineitem", group_by=["return_flag"], aggregate=[
+        "row_count", ("customers", "orders.customer.row_count"), "orders.customer.total_c_acctbal", "orders.customer.min_c_acctbal", ("n_events", "orders.customer.events.row_count"),
+        ("orders", "orders.row_count"), "orders.total_o_totalprice"])
+
+
+@query("m12_default_policy", "SELECT 'declared' AS name, (SELECT COUNT(*) FROM customer) AS rows UNION ALL SELECT 'other', CASE WHEN (SELECT COUNT(*) FROM nation) > (SELECT COUNT(DISTINCT n_regionkey) FROM nation) "
+       "THEN -1 ELSE (SELECT COUNT(*) FROM region) END UNION ALL SELECT 'other, one row each', (SELECT COUNT(*) FROM region)")
+def m12_default_policy(spark, sf):
+    """A target is trusted by its declared key; by other columns the join stops at a second row."""
+    base = sales_model(spark, sf)
+    first = Source.of("first", table(spark, sf, "nation").groupBy("n_regionkey").agg(F.min("n_name").alias("n_name")))
+    region = base.source("region").extend(joins=[join_one("some", [("r_regionkey", "n_regionkey")], of="nation"), join_one("first", [("r_regionkey", "n_regionkey")])])
+    model = Model({**base.sources, "region": region, "first": first})
+
+    def count(source, field):
+        try:
+            return run(model, source, group_by=[field], aggregate=["row_count"]).agg(F.sum("row_count")).first()[0]
+        except PySparkException as error:
+            return -1 if "two rows for key" in str(error) else -2
+
+    found = [("declared", count("customer", "nation.n_name")), ("other", count("region", "some.n_name")), ("other, one row each", count("region", "first.n_name"))]
+    return spark.createDataFrame(found, "name string, rows bigint")

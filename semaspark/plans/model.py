@@ -75,9 +75,13 @@ class Measure:
         parts = {"sum": F.sum(col)} if self.scale is None else exact_parts(col, self.scale)
         return parts if self.op == "sum" else {**parts, "n": F.count(col)}
 
-    def combine(self, parts: dict[str, Column]) -> Column:
+    def merged(self, parts: dict[str, Column]) -> dict[str, Column]:
+        """Partial results of several groups as those of all their rows."""
         again = {"n": lambda c: F.sum(F.coalesce(c, F.lit(0))), "min": F.min, "max": F.max}
-        return self.merge({k: again.get(k, F.sum)(c) for k, c in parts.items()})
+        return {k: again.get(k, F.sum)(c) for k, c in parts.items()}
+
+    def combine(self, parts: dict[str, Column]) -> Column:
+        return self.merge(self.merged(parts))
 
     def merge(self, parts: dict[str, Column]) -> Column:
         if self.op in ("count", "min", "max"):

@@ -1,12 +1,15 @@
 """Turn a question over a model into one DataFrame plan.
 
 Only the joins a question mentions are added. A one-to-many join never multiplies the
-rows a root measure sees: its side is aggregated per join key first, so each side is
-shuffled once, after map-side combining, and the join is one row to one row.
+rows a measure above it sees: its side is reduced to one row per join key and grouped fields first, from the
+deepest side upwards, so each side is shuffled once, after map-side combining, and sides next to each other meet as partial
+results, not as rows. Measures of a source behind a many-to-one join count each of its rows once per group; all of one
+path share a plan.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable
 from dataclasses import dataclass, field
 from functools import reduce
@@ -49,15 +52,29 @@ def _want(model: Model, root: _Need, path: tuple[str, ...], name: str) -> None:
         _want_all(model, need, declared.expr)
 
 
-def _want_all(model: Model, need: _Need, expr: str) -> None:
+def _want_all(model: Model, need: _Need, expr: str, over_many: bool = False) -> None:
     """Everything an expression of this source reads through joins."""
     for used in resolve_paths(need.source, expr)[1]:
+        if not over_many and _many_level(model, need.source, used[:-1]):
+            raise ModelError(f"source {need.source.name}: {expr} reaches through a one-to-many join")
         _want(model, need, used[:-1], used[-1])
     for name in mentioned(need.source, expr):
         if name not in need.fields:
             _want(model, need, (), name)
 
 
+def _many_level(model: Model, source: Source, path: tuple[str, ...]) -> tuple[str, ...]:
+    """The path up to its last one-to-many join; empty if there is none."""
+    level: tuple[str, ...] = ()
+    for i, name in enumerate(path, 1):
+        join = source.join(name)
+        if join is None:
+            raise ModelError(f"source {source.name} has no join {name}")
+        level = path[:i] if join.many else level
+        source = model.source(join.target)
+    return level
+
+
 def _input_name(measure: Measure) -> str:
     return f"__in_{measure.name}"
 
@@ -71,7 +88,8 @@ def _local_fields(source: Source) -> DataFrame:
 
 
 def _prefixed(df: DataFrame, name: str) -> DataFrame:
-    return df.toDF(*[f"{name}.{c}" for c in df.columns])
+    """Columns under the name of their join; partial results and carried fields keep theirs."""
+    return df.toDF(*[c if c.startswith(("__p", "__up")) else f"{name}.{c}" for c in df.columns])
 
 
 def _condition(pairs: Iterable[tuple[str, str]], prefix: str) -> Column:
@@ -93,32 +111,6 @@ def one_row_per_key(df: DataFrame, keys: list[str], policy: str) -> DataFrame:
     return kept.select("__row.*")
 
 
-def _frame(model: Model, need: _Need, policy: str, skip: set[str] = frozenset()) -> DataFrame:
-    """The source with its dimensions, and every needed join as ``join.field`` columns.
-    A joined source brings its own joins along, so dimension chains collapse before they
-    meet the larger side."""
-    source = need.source
-    df = _local_fields(source)
-    for name, below in need.joins.items():
-        if name in skip:
-            continue
-        join = source.join(name)
-        if join.many:
-            raise ModelError(f"join_many {name} can only be used from the root source of a query")
-        pairs = model.join_keys(source, join)
-        child = _frame(model, below, policy)
-        if policy != "trust":
-            child = one_row_per_key(child, [r for _, r in pairs], policy)
-        df = df.join(_prefixed(child, name), _condition(pairs, name), "left")
-    late = [d for d in source.dimensions if d.name in need.fields and resolve_paths(source, d.expr)[1]]
-    if late:
-        df = df.select("*", *[F.expr(resolve_paths(source, d.expr)[0]).alias(d.name) for d in late])
-    if need.measures:
-        df = df.select("*", *[(F.lit(1) if m.expr is None else F.expr(resolve_paths(source, m.expr)[0])).alias(_input_name(m))
-                              for m in need.measures.values()])
-    return df
-
-
 def _aliased(item) -> tuple[str, tuple[str, ...], str]:
     alias, path = item if isinstance(item, tuple) else (None, item)
     joins, name = split_path(path)
@@ -140,20 +132,31 @@ def _conjuncts(where) -> list[str]:
     return [where] if isinstance(where, str) else list(where)
 
 
+def _inside(path: tuple[str, ...], top: tuple[str, ...]) -> bool:
+    return path[:len(top)] == top
+
+
+@dataclass
+class _Plan:
+    """What one plan takes up through its many sides: fields by their full names, partial results of measures, and whole
+    rows if ``raw``. Up to ``head`` the partial results of a row are fields of it; above the sides below ``head`` they are merged."""
+
+    fields: set[str] = field(default_factory=set)
+    measures: list[tuple[int, tuple[str, ...], Measure]] = field(default_factory=list)
+    head: tuple[str, ...] = ()
+    raw: bool = False
+
+
 class _Question:
-    def __init__(self, model: Model, source: str, policy: str) -> None:
-        if policy not in ("trust", "dedupe", "error"):
+    def __init__(self, model: Model, source: str, policy: str | None) -> None:
+        if policy not in (None, "trust", "dedupe", "error"):
             raise ModelError("on_violation is trust, dedupe or error")
         self.model, self.policy = model, policy
         self.root = _Need(model.source(source))
         self.fields: list[tuple[str, tuple[str, ...], str]] = []
         self.measures: list[tuple[str, tuple[str, ...], Measure]] = []
-        self.root_filters: list[str] = []
-        self.many_filters: dict[str, list[str]] = {}
-
-    def many(self, path: tuple[str, ...]) -> str | None:
-        join = self.root.source.join(path[0]) if path else None
-        return path[0] if join is not None and join.many else None
+        # Condition, the fields it names, and the path of the side whose rows it decides on.
+        self.filters: list[tuple[str, set[tuple[str, ...]], tuple[str, ...]]] = []
 
     def add_field(self, item) -> None:
         alias, path, name = _aliased(item)
@@ -171,49 +174,108 @@ class _Question:
 
     def add_filter(self, text: str) -> None:
         rewritten, used = resolve_paths(self.root.source, text)
-        _want_all(self.model, self.root, text)
-        manys = {self.many(p[:-1]) for p in used} - {None}
-        if not manys:
-            self.root_filters.append(rewritten)
-        elif len(manys) == 1:
-            self.many_filters.setdefault(manys.pop(), []).append(rewritten)
-        else:
+        _want_all(self.model, self.root, text, over_many=True)
+        levels = sorted({_many_level(self.model, self.root.source, p[:-1]) for p in used}, key=len)
+        level = levels[-1] if levels else ()
+        if not all(_inside(level, other) for other in levels):
             raise ModelError(f"give one condition per one-to-many join: {text}")
+        # Names without a path are fields of the root.
+        bare = {(name,) for name in self.root.source.field_names() if _names(rewritten, name)} if level else set()
+        self.filters.append((rewritten, used | bare, level))
+
+    def _decides(self, path: tuple[str, ...]) -> bool:
+        return any(level and _inside(level, path) for _, _, level in self.filters)
+
+    def _frame(self, need: _Need, path: tuple[str, ...], plan: _Plan, keys: list[str] = (), down: DataFrame | None = None) -> DataFrame:
+        """The source at ``path`` with its dimensions and its joins as ``join.field`` columns. A joined source brings its own
+        joins along, so dimension chains collapse before they meet the larger side. ``down`` has fields of the sources above
+        that conditions here compare with, by the ``keys`` of the join."""
+        source = need.source
+        df = _local_fields(source)
+        for name, below in need.joins.items():
+            join = source.join(name)
+            if not join.many:
+                pairs = self.model.join_keys(source, join)
+                child = self._frame(below, (*path, name), plan, [r for _, r in pairs])
+                df = df.join(_prefixed(child, name), _condition(pairs, name), "inner" if self._decides((*path, name)) else "left")
+        late = [d for d in source.dimensions if d.name in need.fields and resolve_paths(source, d.expr)[1]]
+        if late:
+            df = df.select("*", *[F.expr(resolve_paths(source, d.expr)[0]).alias(d.name) for d in late])
+        if need.measures:
+            df = df.select("*", *[(F.lit(1) if m.expr is None else F.expr(resolve_paths(source, m.expr)[0])).alias(_input_name(m))
+                                  for m in need.measures.values()])
+        many = bool(path) and self._join(path).many
+        if path and not many:
+            declared = set(keys) == set(source.primary_key)
+            policy = self.policy or ("trust" if declared else "error")
+            if policy != "trust":
+                df = one_row_per_key(df, list(keys), policy)
+        if down is not None:
+            same = reduce(lambda a, b: a & b, [F.col(quoted(k)) == F.col(f"__k{i}") for i, k in enumerate(keys)])
+            df = df.join(down, same).drop(*[f"__k{i}" for i in range(len(keys))])
+        df = self._filtered(df, path, many)
+        for name, below in need.joins.items():
+            join = source.join(name)
+            if join.many:
+                df = self._with_side(df, join, below, (*path, name), plan)
+        return df
 
-    def many_names(self) -> list[str]:
-        return [n for n in self.root.joins if self.root.source.join(n).many]
-
-    def _many_side(self, join: Join, raw: bool) -> DataFrame:
-        """The many side, filtered; unless ``raw``, one row per key and grouped field."""
-        child = _prefixed(_frame(self.model, self.root.joins[join.name], self.policy), join.name)
-        for condition in self.many_filters.get(join.name, []):
-            if _keeps_unmatched(child, condition):
-                raise ModelError(f"condition also holds without a match, use where_not_in: {condition}")
-            child = child.filter(F.expr(condition))
-        if raw:
-            return child
-        keys = [_flat((join.name,), right) for _, right in join.on]
-        dims = [_flat(p, n) for _, p, n in self.fields if p and p[0] == join.name]
-        parts = []
-        for i, (_, path, m) in enumerate(self.measures):
-            if path == (join.name,) and m.op != "count_distinct":
-                col = F.col(quoted(_flat(path, _input_name(m))))
-                parts += [c.alias(f"__p{i}_{k}") for k, c in m.partials(col).items()]
-        grouped = child.groupBy(*[F.col(quoted(c)) for c in dict.fromkeys(keys + dims)])
-        return grouped.agg(*parts) if parts else grouped.agg(F.lit(1).alias(f"__{join.name}"))
-
-    def joined(self, raw: Iterable[str] = ()) -> DataFrame:
-        names = self.many_names()
-        df = _frame(self.model, self.root, self.policy, skip=set(names))
-        for text in self.root_filters:
-            df = df.filter(F.expr(text))
-        for name in names:
-            join = self.root.source.join(name)
-            side = self._many_side(join, name in raw)
-            how = "inner" if name in self.many_filters else "left"
-            df = df.join(side, _condition(join.on, name), how)
+    def _join(self, path: tuple[str, ...]) -> Join:
+        source = self.root.source
+        for name in path[:-1]:
+            source = self.model.source(source.join(name).target)
+        return source.join(path[-1])
+
+    def _filtered(self, df: DataFrame, path: tuple[str, ...], many: bool) -> DataFrame:
+        if path and not many:
+            return df
+        names = df.columns
+        full = [c.removeprefix("__up:") if c.startswith("__up:") else _flat(path, c) for c in names]
+        for text, _, level in self.filters:
+            if level != path:
+                continue
+            if path and _keeps_unmatched(df.toDF(*full), text):
+                raise ModelError(f"condition also holds without a match, use where_not_in: {text}")
+            df = df.toDF(*full).filter(F.expr(text)).toDF(*names)
         return df
 
+    def _with_side(self, df: DataFrame, join: Join, below: _Need, path: tuple[str, ...], plan: _Plan) -> DataFrame:
+        """``df`` with its many side, reduced to one row per key and field that is needed above."""
+        above = sorted({_flat(u[:-1], u[-1]) for _, used, level in self.filters if _inside(level, path) for u in used if not _inside(u[:-1], path)})
+        carried = {}
+        for name in above:
+            mine = name.removeprefix(".".join(path[:-1]) + ".") if len(path) > 1 else name
+            have = mine if mine in df.columns else f"__up:{name}"
+            if have not in df.columns:
+                raise ModelError(f"a condition on {'.'.join(path)} cannot reach {name}")
+            carried[f"__up:{name}"] = F.col(quoted(have))
+        left, right = [a for a, _ in join.on], [b for _, b in join.on]
+        down = None
+        if carried:
+            down = df.select(*[F.col(quoted(k)).alias(f"__k{i}") for i, k in enumerate(left)], *[c.alias(n) for n, c in carried.items()]).distinct()
+        side = self._frame(below, path, plan, right, down)
+        if not plan.raw:
+            side = self._reduced(side, [*right, *carried], path, plan)
+        matched = _condition(join.on, path[-1])
+        for i, (name, c) in enumerate(carried.items()):
+            side = side.withColumnRenamed(name, f"__up{i}")
+            matched &= c.eqNullSafe(F.col(f"__up{i}"))
+        return df.join(_prefixed(side, path[-1]), matched, "inner" if self._decides(path) else "left").drop(*[f"__up{i}" for i in range(len(carried))])
+
+    def _reduced(self, side: DataFrame, keys: list[str], path: tuple[str, ...], plan: _Plan) -> DataFrame:
+        start = ".".join(path) + "."
+        fields = [n.removeprefix(start) for n in sorted(plan.fields) if n.startswith(start)]
+        mine = [(i, p, m) for i, p, m in plan.measures if _inside(p, path)]
+        if plan.head and _inside(plan.head, path):
+            fields += [c for i, _, m in mine for c in _part_names(i, m)]
+            mine = []
+        parts = []
+        for i, p, m in mine:
+            made = m.partials(F.col(quoted(_input_name(m)))) if p == path else m.merged({k: F.col(f"__p{i}_{k}") for k in m.partials(F.lit(None))})
+            parts += [c.alias(f"__p{i}_{k}") for k, c in made.items()]
+        grouped = side.groupBy(*[F.col(quoted(c)) for c in dict.fromkeys([*keys, *fields])])
+        return grouped.agg(*parts) if parts else grouped.agg(F.lit(1).alias("__found")).drop("__found")
+
     def check_names(self) -> None:
         names = [a.lower() for a, _, _ in self.fields + self.measures]
         if len(set(names)) != len(names):
@@ -222,22 +284,28 @@ class _Question:
     def groups(self) -> list[Column]:
         return [F.col(quoted(_flat(p, n))).alias(alias) for alias, p, n in self.fields]
 
+    def rows(self) -> DataFrame:
+        return self._frame(self.root, (), _Plan(raw=True)).select(*self.groups())
+
     def answer(self) -> DataFrame:
-        """Measures of the root and of pre-aggregated sides come from one plan; the rest,
-        which no partial result can express, from one branch each, merged per group."""
-        main, branches = [], []
+        """Measures of the root and of sides below one-to-many joins come from one plan; those behind a many-to-one
+        join, and distinct counts of a many side, from one plan per path, merged per group."""
+        asked = {_flat(p, n) for _, p, n in self.fields}
+        main, others = [], {}
         for i, (alias, path, m) in enumerate(self.measures):
-            if not path:
-                main.append(m.aggregate(F.col(quoted(_input_name(m)))).alias(alias))
-            elif self.many(path) and len(path) == 1 and m.op != "count_distinct":
-                parts = {k: F.col(f"__p{i}_{k}") for k in m.partials(F.lit(None))}
-                main.append(m.combine(parts).alias(alias))
+            head = self._head(path)
+            if m.op == "count_distinct" and path:
+                others.setdefault((path, True), []).append((i, alias, path, m))
+            elif head:
+                others.setdefault((head, False), []).append((i, alias, path, m))
             else:
-                branches.append(self._branch(alias, path, m))
-        frames = list(branches)
-        if main or not branches:
-            grouped = self.joined().groupBy(*self.groups())
-            frames.insert(0, grouped.agg(*main) if main else self.joined().select(*self.groups()).distinct())
+                main.append((i, alias, path, m))
+        frames = [self._branch(head, distinct, found, asked) for (head, distinct), found in others.items()]
+        if main or not others:
+            plan = _Plan(asked, [(i, p, m) for i, _, p, m in main if p])
+            joined = self._frame(self.root, (), plan)
+            made = [(m.combine(_parts(i, m)) if p else m.aggregate(F.col(quoted(_input_name(m))))).alias(alias) for i, alias, p, m in main]
+            frames.insert(0, joined.groupBy(*self.groups()).agg(*made) if made else joined.select(*self.groups()).distinct())
         if len(frames) == 1:
             return frames[0]
         names = [alias for alias, _, _ in self.fields]
@@ -245,23 +313,45 @@ class _Question:
         return (merged.groupBy(*[F.col(quoted(n)) for n in names])
                 .agg(*[F.max(F.col(quoted(alias))).alias(alias) for alias, _, _ in self.measures]))
 
-    def _branch(self, alias: str, path: tuple[str, ...], m: Measure) -> DataFrame:
-        many = self.many(path)
-        if many and len(path) > 1:
-            raise ModelError(f"measure {m.name}: a path beyond a one-to-many join has no one-row-per-key form")
-        value = F.col(quoted(_flat(path, _input_name(m)))).alias("__value")
+    def _head(self, path: tuple[str, ...]) -> tuple[str, ...]:
+        """The path up to its last many-to-one join."""
+        return next((path[:i] for i in range(len(path), 0, -1) if not self._join(path[:i]).many), ())
+
+    def _branch(self, head: tuple[str, ...], distinct: bool, found: list, asked: set[str]) -> DataFrame:
+        """All measures of one path. Distinct counts need their values; others each row of the source at ``head`` once per group,
+        with its own values and the partial results of the many sides below it."""
         names = [F.col(quoted(a)) for a, _, _ in self.fields]
-        if many:
-            rows = self.joined(raw=[many]).select(*self.groups(), value)
-        else:
-            keys = _below(self.model, self.root, path).source.primary_key
-            if not keys:
-                raise ModelError(f"measure {'.'.join(path)}.{m.name} needs a primary key to count each row once")
-            idents = [F.col(quoted(_flat(path, k))).alias(f"__k{i}") for i, k in enumerate(keys)]
-            every = [f"__k{i}" for i in range(len(keys))]
-            rows = self.joined().select(*self.groups(), *idents, value).dropDuplicates([a for a, _, _ in self.fields] + every)
-            rows = rows.withColumn("__value", F.when(F.col("__k0").isNotNull(), F.col("__value")))
-        return rows.groupBy(*names).agg(m.aggregate(F.col("__value")).alias(alias))
+        values = {f"__v{i}": _flat(path, _input_name(m)) for i, _, path, m in found if distinct or path == head}
+        if distinct:
+            joined = self._frame(self.root, (), _Plan(asked | set(values.values()), head=head))
+            rows = joined.select(*self.groups(), *[F.col(quoted(c)).alias(v) for v, c in values.items()])
+            return rows.groupBy(*names).agg(*[m.aggregate(F.col(f"__v{i}")).alias(alias) for i, alias, _, m in found])
+        keys = _below(self.model, self.root, head).source.primary_key
+        if not keys:
+            raise ModelError(f"measure {'.'.join(head)}.{found[0][3].name} needs a primary key to count each row once")
+        idents = {f"__id{j}": _flat(head, k) for j, k in enumerate(keys)}
+        below = [(i, path, m) for i, _, path, m in found if path != head]
+        joined = self._frame(self.root, (), _Plan(asked | set(values.values()) | set(idents.values()), below, head))
+        parts = [c for i, _, m in below for c in _part_names(i, m)]
+        kept = [F.col(quoted(c)).alias(v) for v, c in {**idents, **values}.items()]
+        rows = joined.select(*self.groups(), *kept, *parts).dropDuplicates([a for a, _, _ in self.fields] + list(idents))
+        there = F.col("__id0").isNotNull()
+        rows = rows.withColumns({c: F.when(there, F.col(c)) for c in [*values, *parts]})
+        return rows.groupBy(*names).agg(*[(m.aggregate(F.col(f"__v{i}")) if path == head else m.combine(_parts(i, m))).alias(alias) for i, alias, path, m in found])
+
+
+def _names(expr: str, name: str) -> bool:
+    """Whether the expression has ``name`` as a word outside texts and paths."""
+    bare = re.sub(r"""'(?:[^'\\]|\\.|'')*'|"(?:[^"\\]|\\.|"")*\"""", "", expr)
+    return re.search(rf"(?<![\w.`]){re.escape(name)}(?![\w.`(])|`{re.escape(name)}`", bare) is not None
+
+
+def _part_names(i: int, m: Measure) -> list[str]:
+    return [f"__p{i}_{k}" for k in m.partials(F.lit(None))]
+
+
+def _parts(i: int, m: Measure) -> dict[str, Column]:
+    return {k: F.col(f"__p{i}_{k}") for k in m.partials(F.lit(None))}
 
 
 def _sort(df: DataFrame, order_by, nulls: str) -> DataFrame:
@@ -280,12 +370,14 @@ def _sort(df: DataFrame, order_by, nulls: str) -> DataFrame:
 
 def run(model: Model, source: str, *, select=None, group_by=(), aggregate=(), where=None, having: str | None = None,
         order_by=(), limit: int | None = None, distinct: bool = False, nulls: str = "last",
-        on_violation: str = "trust") -> DataFrame:
+        on_violation: str | None = None) -> DataFrame:
     """Answer one question.
 
     Fields are ``'name'``, ``'join.path.name'`` or ``('alias', 'join.path.name')``.
     ``where`` is a condition or a list of conditions that all hold; ``having`` and
-    ``order_by`` (``'-name'`` for descending) speak of output names.
+    ``order_by`` (``'-name'`` for descending) speak of output names. A condition may compare a side with the sources above it.
+    ``on_violation`` says what a many-to-one join does with a second row for a key: ``trust``, ``dedupe`` or ``error``. By
+    default the declared key of a target is trusted, and a join by other columns stops at a second row.
     """
     if (select is None) == (not group_by and not aggregate):
         raise ModelError("give select=, or group_by= and/or aggregate=")
@@ -297,8 +389,7 @@ def run(model: Model, source: str, *, select=None, group_by=(), aggregate=(), wh
         for item in q.root.source.field_names() if select == "*" else select:
             q.add_field((item, quoted(item)) if select == "*" else item)
         q.check_names()
-        out = q.joined(raw=q.many_names()).select(*q.groups())
-        out = out.distinct() if distinct else out
+        out = q.rows().distinct() if distinct else q.rows()
     else:
         for item in group_by:
             q.add_field(item)
