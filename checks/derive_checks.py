@@ -9,9 +9,12 @@ from checks.derived import (CATALOG_SQL, LOG_SQL, catalogs, log_catalog, query_l
 from checks.registry import query, table
 from semaspark.functions import naming as N
 from semaspark.operators import audit as V
+from semaspark.operators import composite as K
 from semaspark.operators import coverage as C
 from semaspark.operators import derive as D
 from semaspark.operators import workload as W
+from semaspark.plans.model import Measure, Model, dim
+from semaspark.plans.query import run
 from semaspark.plans.tpch import TABLES, sales_model
 from semaspark.session import staging_path
 from semaspark.sources.catalog import catalog_from_frames, read_catalog
@@ -170,6 +173,44 @@ def a10(spark, sf):
     return D.derive_joins(catalogs(spark, sf))
 
 
+ONE_LINE = "(SELECT l_orderkey, l_linenumber, MIN(l_returnflag) AS l_returnflag FROM lineitem GROUP BY 1, 2)"
+CLAIMS = """SELECT l_orderkey AS first_order, l_linenumber AS first_line, x.o AS last_order, x.n AS last_line, l_quantity AS amount FROM lineitem,
+  (SELECT l_orderkey AS o, l_linenumber AS n FROM lineitem ORDER BY l_orderkey DESC, l_linenumber DESC LIMIT 1) x"""
+
+
+def _claims(spark, sf):
+    """Claims refer to a line twice, each time by order and number; the catalog lists four single pairs."""
+    lines = table(spark, sf, "lineitem")
+    last = lines.agg(F.max(F.struct("l_orderkey", "l_linenumber")).alias("m")).first()["m"]
+    claims = lines.select(F.col("l_orderkey").alias("first_order"), F.col("l_linenumber").alias("first_line"), F.lit(last["l_orderkey"]).alias("last_order"),
+                          F.lit(last["l_linenumber"]).alias("last_line"), F.col("l_quantity").alias("amount"))
+    frames = {"line": lines.groupBy("l_orderkey", "l_linenumber").agg(F.min("l_returnflag").alias("l_returnflag")), "claim": claims}
+    refs = [("claim", a, "line", b) for a, b in (("first_order", "l_orderkey"), ("last_line", "l_linenumber"), ("last_order", "l_orderkey"), ("first_line", "l_linenumber"))]
+    catalog = catalog_from_frames(spark, frames, "db", {"line": ["l_linenumber"]}, refs)
+    return frames, catalog, K.composite_refs(spark, catalog, lambda db, name: frames[name])
+
+
+@query("a10_composite", f"WITH c AS ({CLAIMS}) SELECT CASE p WHEN 'first' THEN 'first_order_line' ELSE 'last_line_line' END AS join_name, p || '_order' AS one, p || '_line' AS two, COUNT(*) AS n_rows, COUNT(l.l_orderkey) AS n_found "
+       "FROM c CROSS JOIN (VALUES ('first'), ('last')) r(p) LEFT JOIN " + ONE_LINE + " l ON l.l_orderkey = CASE p WHEN 'first' THEN first_order ELSE last_order END "
+       "AND l.l_linenumber = CASE p WHEN 'first' THEN first_line ELSE last_line END GROUP BY p")
+def a10_composite(spark, sf):
+    _, catalog, found = _claims(spark, sf)
+    joins = D.derive_joins(catalog, composites=found)
+    field = F.array_sort(F.split("field", ","), lambda a, b: F.when(a.endswith("_order"), -1).otherwise(1))
+    return joins.join(found, F.col("ref_no") == F.array_min("refs")).select("join_name", field[0].alias("one"), field[1].alias("two"), "n_rows", "n_found")
+
+
+@query("m16_derived_composite", f"WITH c AS ({CLAIMS}) SELECT a.l_returnflag AS flag, COUNT(*) AS row_count, SUM(a.l_linenumber)::BIGINT AS numbers, SUM(b.l_linenumber)::BIGINT AS last_numbers FROM c "
+       f"LEFT JOIN {ONE_LINE} a ON first_order = a.l_orderkey AND first_line = a.l_linenumber LEFT JOIN {ONE_LINE} b ON last_order = b.l_orderkey AND last_line = b.l_linenumber GROUP BY 1")
+def m16_derived_composite(spark, sf):
+    """The derived joins bring one line per claim each; single-column ones would multiply the claims."""
+    frames, catalog, found = _claims(spark, sf)
+    model = D.build_model(D.derive_model(catalog, composites=found), "db", frames)
+    claim = model.source("claim").extend(dimensions=[dim("number", "first_order_line.l_linenumber"), dim("last_number", "last_line_line.l_linenumber")],
+                                         measures=[Measure("numbers", "sum", "number"), Measure("last_numbers", "sum", "last_number")])
+    return run(Model({**model.sources, "claim": claim}), "claim", group_by=[("flag", "first_order_line.l_returnflag")], aggregate=["row_count", "numbers", "last_numbers"])
+
+
 @query("a12_duplicate_refs", joins_sql("SELECT db_id, MIN(ref_no) AS ref_no, src_idx, src_table, src_column, dst_idx, dst_table, dst_column "
                                        "FROM cat_refs GROUP BY ALL"))
 def a12(spark, sf):

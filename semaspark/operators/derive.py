@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from semaspark.functions.naming import needs_quoting, snake_case, source_name
@@ -62,8 +62,9 @@ def derive_measures(catalog: Catalog, mode: str = "compat") -> DataFrame:
     return rows.unionByName(numeric)
 
 
-def derive_joins(catalog: Catalog, mode: str = "compat", drop_duplicates: bool = False) -> DataFrame:
-    """One join per reference; self references are skipped.
+def derive_joins(catalog: Catalog, mode: str = "compat", drop_duplicates: bool = False, composites: DataFrame | None = None) -> DataFrame:
+    """One join per reference; self references are skipped. ``composites``, as ``composite_refs`` finds them, make one
+    join of several pairs; its fields are joined by commas, which no field name has.
 
     A join takes the name of its target. It gets an alias from the referring column if the
     target is joined more than once, its name is taken by an earlier join, or by a column.
@@ -77,6 +78,8 @@ def derive_joins(catalog: Catalog, mode: str = "compat", drop_duplicates: bool =
         renamed = (F.lower(column) != F.lower(raw)) | needs_quoting(raw)
         refs = refs.withColumn(f"{side}_snake", column).withColumn(f"{side}_field", F.when(renamed, column).otherwise(raw)).withColumn(
             f"{side}_source", source_name(F.col(f"{side}_table"), mode))
+    if composites is not None:
+        refs = _together(refs, composites)
     names = named_columns(catalog.columns, mode).groupBy("db_id", F.col("table_idx").alias("src_idx")).agg(F.collect_set("dimension").alias("taken"))
     refs = refs.join(names, ["db_id", "src_idx"], "left").withColumn("taken", F.coalesce("taken", F.array().cast("array<string>")))
     table = Window.partitionBy("db_id", "src_idx")
@@ -101,6 +104,20 @@ def derive_joins(catalog: Catalog, mode: str = "compat", drop_duplicates: bool =
                        F.col("src_field").alias("field"), F.col("dst_field").alias("target_field"))
 
 
+def _together(refs: DataFrame, composites: DataFrame) -> DataFrame:
+    """One row per reference: the pairs of a composite one in the order of the catalog, named by the first."""
+    members = composites.select("db_id", F.array_min("refs").alias("lead"), F.explode("refs").alias("ref_no"))
+    whole = refs.join(members, ["db_id", "ref_no"], "left").withColumn("lead", F.coalesce("lead", "ref_no"))
+    pair = F.struct("ref_no", "src_snake", "src_field", "dst_field")
+    grouped = whole.groupBy("db_id", "src_idx", "src_source", "dst_idx", "dst_source", "lead").agg(F.sort_array(F.collect_list(pair)).alias("ps"))
+
+    def listed(name: str) -> Column:
+        return F.array_join(F.transform("ps", lambda p: p[name]), ",").alias(name)
+
+    return grouped.select("db_id", "src_idx", "src_source", "dst_idx", "dst_source", F.col("lead").alias("ref_no"), F.get("ps", F.lit(0))["src_snake"].alias("src_snake"),
+                          listed("src_field"), listed("dst_field"))
+
+
 def dependency_levels(tables: DataFrame, refs: DataFrame) -> DataFrame:
     """``db_id, table_idx, level, cyclic``: a table comes after every table it refers to.
 
@@ -134,9 +151,9 @@ def derive_sources(catalog: Catalog, mode: str = "compat") -> DataFrame:
                     F.coalesce("primary_key", F.array().cast("array<string>")).alias("primary_key"), "level", "cyclic"))
 
 
-def derive_model(catalog: Catalog, mode: str = "compat", drop_duplicates: bool = False) -> ModelTables:
+def derive_model(catalog: Catalog, mode: str = "compat", drop_duplicates: bool = False, composites: DataFrame | None = None) -> ModelTables:
     return ModelTables(derive_sources(catalog, mode), derive_dimensions(catalog.columns, mode),
-                       derive_measures(catalog, mode), derive_joins(catalog, mode, drop_duplicates))
+                       derive_measures(catalog, mode), derive_joins(catalog, mode, drop_duplicates, composites))
 
 
 def measure_warnings(catalog: Catalog, mode: str = "compat") -> DataFrame:
@@ -180,4 +197,4 @@ def build_model(tables: ModelTables, db_id: str, frames: dict[str, DataFrame]) -
         dimensions=[rename(d["dimension"], d["column_name"]) for d in of(dims, s["source"])],
         measures=[Measure(m["measure"], m["op"], None if m["column_name"] is None else quoted(m["column_name"])) for m in of(measures, s["source"])],
         primary_key=s["primary_key"],
-        joins=[Join(j["join_name"], j["target"], ((j["field"], j["target_field"]),)) for j in of(joins, s["source"])]) for s in sources])
+        joins=[Join(j["join_name"], j["target"], tuple(zip(j["field"].split(","), j["target_field"].split(",")))) for j in of(joins, s["source"])]) for s in sources])

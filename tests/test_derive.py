@@ -6,8 +6,11 @@ from pyspark.sql import functions as F
 
 from semaspark.functions import naming
 from semaspark.operators import derive as D
+from semaspark.operators.composite import composite_refs, smallest_keys
+from semaspark.operators.derive import build_model, derive_joins, derive_model
 from semaspark.plans.query import run
 from semaspark.sources import catalog as S
+from semaspark.sources.catalog import catalog_from_frames
 
 
 @pytest.fixture(scope="module")
@@ -145,3 +148,53 @@ def test_declared_model_as_tables(spark, sf):
     assert row["sources"] == len(model.sources) == 14
     assert row["joins"] == sum(len(s.joins) for s in model.sources.values())
     assert row["measures"] == sum(len(s.measures) for s in model.sources.values())
+
+
+def _catalog(spark, frames, keys, refs):
+    return catalog_from_frames(spark, frames, "db", keys, refs)
+
+
+def test_pairs_of_rooms_become_one_join(spark):
+    block = spark.createDataFrame([(f, c, f"{f}{c}") for f in (1, 2, 3) for c in (1, 2)], "BlockFloor int, BlockCode int, label string")
+    room = spark.createDataFrame([(10, 1, 1), (11, 1, 2), (12, 3, 2), (13, None, 1), (14, 9, 1)], "RoomNumber int, BlockFloor int, BlockCode int")
+    frames = {"Block": block, "Room": room}
+    catalog = _catalog(spark, frames, {"Block": ["BlockCode"], "Room": ["RoomNumber"]}, [("Room", "BlockFloor", "Block", "BlockFloor"), ("Room", "BlockCode", "Block", "BlockCode")])
+    found = composite_refs(spark, catalog, lambda db, t: frames.get(t))
+    assert [(r["refs"], r["n_rows"], r["n_found"]) for r in found.collect()] == [([0, 1], 4, 3)]
+    joins = derive_joins(catalog, composites=found).collect()
+    name = joins[0]["join_name"]
+    assert len(joins) == 1 and joins[0]["field"].split(",") == joins[0]["target_field"].split(",") and joins[0]["field"].count(",") == 1
+    assert derive_joins(catalog).count() == 2
+    model = build_model(derive_model(catalog, composites=found), "db", frames)
+    rows = run(model, "room", select=["RoomNumber", f"{name}.label"], order_by="RoomNumber").collect()
+    assert [tuple(r) for r in rows] == [(10, "11"), (11, "12"), (12, "32"), (13, None), (14, None)]
+
+
+def test_two_roles_are_told_apart_by_what_they_find(spark):
+    block = spark.createDataFrame([(f, c) for f in range(1, 6) for c in range(1, 6) if (f + c) % 3], "f int, c int")
+    calls = spark.createDataFrame([(1, 1, 5, 5), (2, 2, 4, 4), (1, 3, 2, 5), (5, 2, 1, 1), (4, 1, 2, 2)], "start_f int, end_c int, end_f int, start_c int").select("start_f", "end_c", "end_f", "start_c")
+    swapped = spark.createDataFrame([(1, 4, 3, 1), (2, 3, 4, 2), (4, 5, 3, 1)], "start_f int, end_c int, end_f int, start_c int")
+    refs = [("calls", "start_f", "block", "f"), ("calls", "end_c", "block", "c"), ("calls", "end_f", "block", "f"), ("calls", "start_c", "block", "c")]
+    for source in (calls, swapped):
+        frames = {"block": block, "calls": source}
+        found = composite_refs(spark, _catalog(spark, frames, {"block": ["f", "c"]}, refs), lambda db, t: frames[t]).collect()
+        there = {tuple(r) for r in block.collect()}
+        rows = source.collect()
+        hits = {(a, b): sum((r[a], r[b]) in there for r in rows) for a in ("start_f", "end_f") for b in ("start_c", "end_c")}
+        best = max(hits.values())
+        assert len(found) == 2 and found[0]["n_found"] == best
+        assert sorted(c for r in found for c in r["src_columns"]) == ["end_c", "end_f", "start_c", "start_f"]
+        for r in found:
+            pair = sorted(r["src_columns"], key=lambda c: c[-1], reverse=True)
+            assert hits[pair[0], pair[1]] == r["n_found"]
+
+
+def test_a_column_that_is_a_key_alone_keeps_its_reference(spark):
+    target = spark.createDataFrame([(1, 10), (2, 20)], "a int, b int")
+    source = spark.createDataFrame([(1, 10)], "x int, y int")
+    frames = {"t": target, "s": source}
+    catalog = _catalog(spark, frames, {"t": ["a"]}, [("s", "x", "t", "a"), ("s", "y", "t", "b")])
+    assert composite_refs(spark, catalog, lambda db, t: frames[t]).count() == 0
+    assert composite_refs(spark, catalog, lambda db, t: None).count() == 0
+    assert derive_joins(catalog, composites=composite_refs(spark, catalog, lambda db, t: frames[t])).count() == 2
+    assert smallest_keys(spark.createDataFrame([(1, 1, 1), (1, 2, 1), (2, 1, 1), (2, 1, None)], "a int, b int, c int"), ["a", "b", "c"]) == [("a", "b", "c")]
