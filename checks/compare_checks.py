@@ -132,6 +132,22 @@ def e6b(spark, sf):
     return B.compare_rows(heads, every).select("question_id", "match")
 
 
+@query("e6_twelve_alike_columns", "SELECT c_nationkey AS question_id, NOT bool_or(c_custkey % 50 = 7) AS match FROM customer GROUP BY 1")
+def e6c(spark, sf):
+    """Twelve columns with equal bags of values, which only pairs of columns tell apart; each customer brings 37 rows. In some nations one
+    column of one customer is turned round against the others."""
+    rows = table(spark, sf, "customer").select("c_custkey", F.col("c_nationkey").alias("question_id"), F.explode(F.sequence(F.lit(0), F.lit(36))).alias("r"))
+    turned = F.when((F.col("c_custkey") % 50 == 7), 1).otherwise(0)
+
+    def side(name, order, shift):
+        value = lambda c: (F.col("c_custkey") * 37 + (F.col("r") * (c + 1) + (shift if c == 4 else 0)) % 37).cast("string")
+        return rows.select("question_id", F.lit(name).alias("side"), F.array(*[value(c) for c in order]).alias("vals"))
+
+    every = side("gold", range(12), F.lit(0)).union(side("pred", [7, 3, 11, 0, 9, 5, 1, 10, 2, 8, 6, 4], turned)).withColumn("pos", F.xxhash64("vals"))
+    heads = every.groupBy("question_id", "side").agg(F.count("*").alias("n_rows"), F.lit(12).alias("n_cols"), F.lit(None).cast("string").alias("error"), F.lit(False).alias("ordered"))
+    return B.compare_rows(heads, every).select("question_id", "match")
+
+
 @query("e7_permute", "SELECT c_mktsegment, c_custkey, c_nationkey FROM customer")
 def e7(spark, sf):
     return C.permute(table(spark, sf, "customer"), [4, 0, 2])

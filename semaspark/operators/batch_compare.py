@@ -74,11 +74,10 @@ def compare_rows(headers: DataFrame, rows: DataFrame) -> DataFrame:
     equal = equal_bags(placed)
     done = comparable.select("question_id", "classes", "n_single", "ambiguous").join(equal, "question_id")
     done = cut_lineage(done)
-    unclear = done.filter("ambiguous and not equal").select(
-        "question_id", "classes", F.slice(F.sequence(F.lit(-1), F.col("n_single") - 1), F.lit(2), F.col("n_single")).alias("prefix"))
+    unclear = done.filter("ambiguous and not equal").select("question_id", "classes")
     verdict = done.select("question_id", "equal")
     if not unclear.isEmpty():
-        found = search_mappings(placed, unclear).select("question_id", F.lit(True).alias("found"))
+        found = resolve(placed, unclear).withColumn("found", F.lit(True))
         verdict = verdict.join(found, "question_id", "left").select(
             "question_id", (F.col("equal") | F.coalesce("found", F.lit(False))).alias("equal"))
     return early.join(verdict, "question_id", "left").select(
@@ -89,7 +88,11 @@ def _column_slots(rows: DataFrame) -> DataFrame:
     """Per question, the columns of each side in an order that fingerprints agree on: columns
     whose bag of values is unique come first, then groups of columns with equal bags."""
     cells = rows.select("question_id", "side", F.posexplode("vals").alias("col_no", "v"))
-    prints = cells.groupBy("question_id", "side", "col_no").agg(fingerprint(F.col("v")).alias("fp"))
+    return _slots(cells.groupBy("question_id", "side", "col_no").agg(fingerprint(F.col("v")).alias("fp")))
+
+
+def _slots(prints: DataFrame) -> DataFrame:
+    """Slots for columns (question_id, side, col_no, fp): columns may be paired if they have the same ``fp``."""
     sides = prints.groupBy("question_id", "side").agg(F.collect_list(F.struct("fp", "col_no")).alias("cs"))
     ranked = sides.select("question_id", "side", F.array_sort(F.transform("cs", lambda c: F.struct(
         F.size(F.filter("cs", lambda d: d["fp"] == c["fp"])).alias("copies"), c["fp"].alias("fp"), c["col_no"].alias("col_no")))).alias("cs"))
@@ -114,6 +117,64 @@ def equal_bags(placed: DataFrame) -> DataFrame:
     return balance.groupBy("question_id").agg((F.count_if(F.col("n") != 0) == 0).alias("equal"))
 
 
+def _pair_prints(rows: DataFrame) -> DataFrame:
+    """``question_id, side, i, j, fp, same`` for each two columns: a fingerprint of their pairs of values, and whether they are equal in
+    all rows. Two columns of a row are one row here, but pairs are summed in tasks first."""
+    n = F.size("vals")
+    later = lambda i: F.when(i + 1 < n, F.sequence(i + 1, n - 1)).otherwise(F.array().cast("array<int>"))
+    pairs = F.flatten(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.transform(
+        later(i), lambda j: F.struct(i.alias("i"), j.alias("j"), F.get("vals", i).alias("x"), F.get("vals", j).alias("y")))))
+    each = rows.select("question_id", "side", "pos", F.explode(pairs).alias("p")).select("question_id", "side", "pos", "p.*")
+    prints = each.groupBy("question_id", "side", "i", "j").agg(
+        fingerprint(F.col("pos"), F.col("x"), F.col("y")).alias("xy"), fingerprint(F.col("pos"), F.col("y"), F.col("x")).alias("yx"), F.bool_and(F.col("x") == F.col("y")).alias("same"))
+    both = F.explode(F.array(F.struct("i", "j", F.col("xy").alias("fp")), F.struct(F.col("j").alias("i"), F.col("i").alias("j"), F.col("yx").alias("fp")))).alias("p")
+    return prints.select("question_id", "side", "same", both).select("question_id", "side", "p.*", "same")
+
+
+def refine(rows: DataFrame, classes: DataFrame) -> tuple[DataFrame, int]:
+    """Colours ``question_id, side, col_no, fp`` of the columns that are left to pair, and how many rounds they took.
+
+    ``rows``: question_id, side, pos, vals; ``classes``: question_id, classes (the class of each column). Columns that are equal in all
+    rows are one, with their number in the colour. A column's colour then takes in, for every other column, the fingerprint of
+    the two together and the other's colour, until no class falls apart any more. A mapping of the results keeps
+    colours, so only columns of one colour have to be tried on each other."""
+    keys = ["question_id", "side"]
+    pairs = cut_lineage(_pair_prints(rows))
+    first = pairs.filter("same").groupBy(*keys, "i").agg(F.min("j").alias("least"), F.count("*").alias("n"))
+    sides = F.explode(F.array(F.lit(GOLD), F.lit(PRED))).alias("side")
+    columns = classes.select("question_id", sides, F.posexplode("classes").alias("i", "class")).join(first, [*keys, "i"], "left")
+    columns = columns.filter(F.coalesce(F.col("least") > F.col("i"), F.lit(True)))
+    colours = cut_lineage(columns.select(*keys, "i", F.xxhash64("class", F.coalesce("n", F.lit(0))).alias("fp")))
+    kept = colours.select(*keys, "i")
+    pairs = cut_lineage(pairs.join(kept, [*keys, "i"], "left_semi").join(kept.withColumnRenamed("i", "j"), [*keys, "j"], "left_semi"))
+    rounds, parts = 0, 0
+    while True:
+        now = colours.groupBy(*keys).agg(F.count_distinct("fp").alias("n")).agg(F.sum("n")).first()[0] or 0
+        if now == parts:
+            return colours.withColumnRenamed("i", "col_no"), rounds
+        parts, rounds = now, rounds + 1
+        seen = pairs.join(colours.select(*keys, F.col("i").alias("j"), F.col("fp").alias("colour")), [*keys, "j"])
+        around = seen.groupBy(*keys, "i").agg(F.xxhash64(F.sort_array(F.collect_list(F.struct("fp", "colour")))).alias("around"))
+        colours = cut_lineage(colours.join(around, [*keys, "i"], "left").select(*keys, "i", F.xxhash64("fp", "around").alias("fp")))
+
+
+def resolve(placed: DataFrame, unclear: DataFrame) -> DataFrame:
+    """``question_id`` of the questions for which some column mapping makes both sides equal.
+
+    ``placed``: question_id, side, pos, vals; ``unclear``: question_id, classes. Colours settle what they can: different
+    colours on the two sides mean no mapping, and a colour for each column leaves one to confirm. What is left is searched inside
+    its colours."""
+    rows = cut_lineage(_salted_join(placed, unclear.select("question_id"), F.xxhash64("side", "pos", "vals")))
+    slots = cut_lineage(_slots(refine(rows, unclear)[0]).filter("comparable"))
+    ordered = _salted_join(rows, slots, F.xxhash64("side", "pos", "vals")).select("question_id", "side", "pos", F.transform(
+        F.when(F.col("side") == GOLD, F.col("gold_cols")).otherwise(F.col("pred_cols")), lambda i: F.get("vals", i)).alias("vals"))
+    done = cut_lineage(slots.join(equal_bags(ordered), "question_id"))
+    found = done.filter("equal").select("question_id")
+    left = done.filter("ambiguous and not equal").select(
+        "question_id", "classes", F.slice(F.sequence(F.lit(-1), F.col("n_single") - 1), F.lit(2), F.col("n_single")).alias("prefix"))
+    return found if left.isEmpty() else found.union(search_mappings(ordered, left))
+
+
 def search_mappings(rows: DataFrame, start: DataFrame) -> DataFrame:
     """Questions for which some column mapping makes both sides equal.
 

@@ -170,22 +170,21 @@ def result_equal(a: DataFrame, b: DataFrame, ordered: bool = False, digits: int
 
 
 def _search_one(first: DataFrame, second: DataFrame, fps: list, ordered: bool) -> bool:
-    """Columns with equal value bags, differently paired: leave it to the exact search."""
-    from semaspark.operators.batch_compare import search_mappings
+    """Columns with equal value bags, differently paired: leave it to colours and the exact search."""
+    from semaspark.operators.batch_compare import resolve
 
     spark = first.sparkSession
     k = len(fps)
     order = sorted(range(k), key=lambda i: (fps.count(fps[i]), fps[i]))
     classes = [fps.index(fps[i]) for i in order]
-    single = sum(1 for i in order if fps.count(fps[i]) == 1)
 
     def rows(df: DataFrame, side: str) -> DataFrame:
         vals = F.array(*[_tagged(F.col(df.columns[i])) for i in order])
         return df.select(F.lit(0).alias("question_id"), F.lit(side).alias("side"),
                          (F.col("pos") if ordered else F.lit(None).cast("bigint")).alias("pos"), vals.alias("vals"))
 
-    start = spark.createDataFrame([(0, classes, list(range(single)))], "question_id int, classes array<int>, prefix array<int>")
-    return not search_mappings(rows(first, GOLD).union(rows(second, PRED)), start).isEmpty()
+    start = spark.createDataFrame([(0, classes)], "question_id int, classes array<int>")
+    return not resolve(rows(first, GOLD).union(rows(second, PRED)), start).isEmpty()
 
 
 def diff_frames(a: DataFrame, b: DataFrame, key: Sequence[str] | None = None) -> DataFrame:

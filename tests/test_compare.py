@@ -214,3 +214,44 @@ def test_candidates(spark):
     assert sorted(tuple(r) for r in C.column_candidates(a, b).collect()) == [(0, 2), (1, 0), (2, 1)]
     assert C.column_mapping(a, b) == [2, 0, 1]
     assert C.quick_reject(a, b.limit(1)) and not C.quick_reject(a, b)
+
+
+def _sides(spark, gold, pred):
+    rows = [(1, side, None, [str(v) for v in r]) for side, found in (("gold", gold), ("pred", pred)) for r in found]
+    return spark.createDataFrame(rows, "question_id int, side string, pos long, vals array<string>")
+
+
+def _alike(spark, n):
+    return spark.createDataFrame([(1, [0] * n)], "question_id int, classes array<int>")
+
+
+def test_colours_settle_twelve_alike_columns_in_one_round(spark):
+    gold = [[(r * (c + 1)) % 37 for c in range(12)] for r in range(37)]
+    order = [7, 3, 11, 0, 9, 5, 1, 10, 2, 8, 6, 4]
+    rows = _sides(spark, gold, [[r[c] for c in order] for r in gold])
+    colours, rounds = B.refine(rows, _alike(spark, 12))
+    assert rounds == 2  # one that tells all columns apart, and one that changes nothing
+    by = {(r["side"], r["col_no"]): r["fp"] for r in colours.collect()}
+    assert len({v for (s, _), v in by.items() if s == "gold"}) == 12
+    assert all(by["pred", i] == by["gold", c] for i, c in enumerate(order))
+    assert B.resolve(rows, _alike(spark, 12)).count() == 1
+    turned = [[(v + (c == 4)) % 37 for c, v in enumerate(r)] for r in gold]
+    assert B.resolve(_sides(spark, gold, [[r[c] for c in order] for r in turned]), _alike(spark, 12)).count() == 0
+
+
+def test_equal_columns_are_one_and_symmetric_ones_are_searched(spark):
+    # All columns can stand for each other: colours stay, one choice settles the rest.
+    gold = [[(r * c) % 5 for c in (1, 2, 3, 4)] for r in range(5)]
+    pred = [[r[c] for c in (2, 0, 3, 1)] for r in gold]
+    assert B.refine(_sides(spark, gold, pred), _alike(spark, 4))[0].select("fp").distinct().count() == 1
+    assert B.resolve(_sides(spark, gold, pred), _alike(spark, 4)).count() == 1
+    shifted = [[(v + (c == 0)) % 5 for c, v in enumerate(r)] for r in pred]
+    assert B.resolve(_sides(spark, gold, shifted), _alike(spark, 4)).count() == 0
+    # Nine equal columns beside two others: without merging, 9! orders are alike.
+    gold = [[v] * 9 + [(v * 2) % 7, (v * 3) % 7] for v in range(7)]
+    pred = [[r[10], *r[:4], r[9], *r[4:9]] for r in gold]
+    colours, _ = B.refine(_sides(spark, gold, pred), _alike(spark, 11))
+    assert colours.count() == 6
+    assert B.resolve(_sides(spark, gold, pred), _alike(spark, 11)).count() == 1
+    fewer = [[v] * 8 + [(v * 2) % 7] * 2 + [(v * 3) % 7] for v in range(7)]
+    assert B.resolve(_sides(spark, gold, fewer), _alike(spark, 11)).count() == 0
