@@ -295,6 +295,31 @@ def w6(spark, sf):
     return W.joins_used(*_log(spark, sf), resolve_aliases=True)
 
 
+SCOPED = (
+    ("SELECT a.o_orderkey FROM orders a, customer AS b WHERE a.o_custkey = b.c_custkey AND a.o_orderkey > ", [("customer", "c_custkey", "orders", "o_custkey")]),
+    ("SELECT t.n_name FROM nation t WHERE t.n_regionkey IN (SELECT t.r_regionkey FROM region t JOIN supplier s ON t.r_regionkey = s.s_suppkey) AND t.n_regionkey < ",
+     [("region", "r_regionkey", "supplier", "s_suppkey")]),
+    ("SELECT 1 FROM orders x JOIN customer y ON x.o_custkey = y.c_custkey UNION SELECT 2 FROM nation x JOIN region y ON x.n_regionkey = y.r_regionkey LIMIT ",
+     [("customer", "c_custkey", "orders", "o_custkey"), ("nation", "n_regionkey", "region", "r_regionkey")]),
+    ("SELECT p.p_partkey FROM part p WHERE EXISTS (SELECT 1 FROM lineitem l, (SELECT s_suppkey AS k FROM supplier) s WHERE l.l_partkey = p.p_partkey AND s.k = l.l_suppkey) AND p.p_retailprice > ",
+     [("lineitem", "l_partkey", "part", "p_partkey")]),
+    ("SELECT COUNT(*) FROM (orders o JOIN customer c ON o.o_custkey = c.c_custkey) LEFT JOIN nation n ON c.c_custkey = n.n_regionkey, region r WHERE r.r_regionkey = n.n_regionkey AND o.o_orderkey = ",
+     [("customer", "c_custkey", "nation", "n_regionkey"), ("customer", "c_custkey", "orders", "o_custkey"), ("nation", "n_regionkey", "region", "r_regionkey")]),
+)
+
+
+@query("w6_aliases_by_scope", LOG_SQL + ", e(kind, left_table, left_col, right_table, right_col) AS (VALUES " + ", ".join(
+    f"({k}, '{a}', '{b}', '{c}', '{d}')" for k, (_, found) in enumerate(SCOPED) for a, b, c, d in found) + f""")
+SELECT DISTINCT k.db_id, left_table, left_col, right_table, right_col FROM lineitem JOIN known k ON k.db_id = 'db_' || l_suppkey JOIN e ON e.kind = l_partkey % {len(SCOPED)}""")
+def w6b(spark, sf):
+    """Comma joins, subqueries and unions that use one alias for several tables."""
+    texts = F.array(*[F.lit(t) for t, _ in SCOPED])
+    log = table(spark, sf, "lineitem").select(F.concat(F.lit("db_"), "l_suppkey").alias("db_id"), F.concat(
+        F.get(texts, (F.col("l_partkey") % len(SCOPED)).cast("int")), F.col("l_quantity").cast("int").cast("string")).alias("query"))
+    catalog = log_catalog(spark, sf)
+    return W.joins_used(W.distinct_queries(log.join(catalog.tables.select("db_id").distinct(), "db_id", "left_semi")), catalog, resolve_aliases=True)
+
+
 @query("w7_analysis_report", LOG_SQL + PIECES_SQL + f""", j AS ({SIDES.format('m')}),
 n AS (SELECT db_id, COUNT(*) AS query_count FROM log SEMI JOIN known USING (db_id) GROUP BY 1),
 t AS (SELECT db_id, string_agg(table_name, ',' ORDER BY table_name) AS tables_used FROM (SELECT DISTINCT db_id, table_name FROM th) GROUP BY 1),

@@ -12,16 +12,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from semaspark.functions.scopes import equalities
 from semaspark.session import sized
 from semaspark.sources.catalog import Catalog
 
 # The aggregates a log is searched for.
 AGGREGATES = ("count", "sum", "avg", "min", "max")
 
-# Words that may follow a table name without being its alias.
-CLAUSE_WORDS = ("join", "on", "where", "group", "order", "having", "limit", "left", "right", "inner", "outer", "full", "cross",
-                "natural", "union", "intersect", "except", "using", "as", "set", "offset")
-
 _WORD = r"(?U)\w+"
 
 
@@ -120,23 +117,15 @@ def joins_used(queries: DataFrame, catalog: Catalog, resolve_aliases: bool = Fal
     """``db_id, left_table, left_col, right_table, right_col``: equalities between two tables,
     smaller table name first. Without alias resolution both sides must be table names.
 
-    Aliases are looked up among those of the same text, so this stays inside the row."""
-    pattern = F.lit(r"(?U)(\w+)\s*\.\s*(\w+)\s*=\s*(\w+)\s*\.\s*(\w+)")
-    pieces = F.explode(F.arrays_zip(*[F.regexp_extract_all("sql", pattern, i).alias(n) for i, n in
-                                      enumerate(("t1", "c1", "t2", "c2"), 1)]))
+    Aliases mean what the nearest scope of the same text binds them to, so this stays inside the row."""
     if resolve_aliases:
-        words = "|".join(CLAUSE_WORDS)
-        named = F.lit(rf"(?U)\b(?:from|join)\s+(\w+)(?:\s+as\s+(\w+)|\s+(?!(?:{words})\b)(\w+))?")
-        bound = F.arrays_zip(*[F.regexp_extract_all("sql", named, i).alias(n) for i, n in enumerate(("t", "a", "b"), 1)])
-        found = queries.select("db_id", bound.alias("bound"), pieces.alias("m"))
-
-        def tables_of(name: str) -> Column:
-            hits = F.filter("bound", lambda x: (x["t"] == F.col(name)) | (x["a"] == F.col(name)) | (x["b"] == F.col(name)))
-            return F.explode(F.array_distinct(F.array_append(F.transform(hits, lambda x: x["t"]), F.col(name))))
-
-        found = found.select("db_id", "bound", "m.c1", "m.c2", tables_of("m.t1").alias("t1"), F.col("m.t2").alias("x2"))
-        found = found.select("db_id", "t1", "c1", tables_of("x2").alias("t2"), "c2")
+        found = queries.select("db_id", F.explode(equalities(F.col("sql"))).alias("m"))
+        found = found.select("db_id", F.explode("m.t1").alias("t1"), "m.c1", F.col("m.t2").alias("others"), "m.c2")
+        found = found.select("db_id", "t1", "c1", F.explode("others").alias("t2"), "c2")
     else:
+        pattern = F.lit(r"(?U)(\w+)\s*\.\s*(\w+)\s*=\s*(\w+)\s*\.\s*(\w+)")
+        pieces = F.explode(F.arrays_zip(*[F.regexp_extract_all("sql", pattern, i).alias(n) for i, n in
+                                          enumerate(("t1", "c1", "t2", "c2"), 1)]))
         found = queries.select("db_id", pieces.alias("m")).select("db_id", "m.*")
     swap = F.col("t1") > F.col("t2")
     sides = found.select("db_id", *[F.when(swap, F.col(y)).otherwise(F.col(x)).alias(n) for x, y, n in (

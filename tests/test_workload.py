@@ -92,3 +92,34 @@ def test_names_of_any_shape(spark):
                                 "column_types array<string>, primary_keys array<int>, foreign_keys array<struct<fk:int,pk:int>>")
     got = rows(W.columns_used(W.distinct_queries(log), S.load_catalog(raw)))
     assert [r[2] for r in got] == ["%", "%y", "a\\eb"]
+
+
+SCOPES = [
+    ("select * from a x, b y where x.i = y.j", [("a", "i", "b", "j")]),
+    ("select * from a, b as y, c where a.i = y.j and c.k = a.i", [("a", "i", "b", "j"), ("c", "k", "a", "i")]),
+    ("select * from a t join b u on t.i = u.j where t.i in (select t.k from c t join d u on t.k = u.l)", [("a", "i", "b", "j"), ("c", "k", "d", "l")]),
+    ("select * from a t where exists (select 1 from b u where u.j = t.i)", [("b", "j", "a", "i")]),
+    ("select t.i from a t join b u on t.i = u.j union all select t.k from c t join d u on t.k = u.l", [("a", "i", "b", "j"), ("c", "k", "d", "l")]),
+    ("select * from (select i from a) t join b u on t.i = u.j", [("", "i", "b", "j")]),
+    ("select * from (a t join b u on t.i = u.j) left join c on u.j = c.k", [("a", "i", "b", "j"), ("b", "j", "c", "k")]),
+    ("select (select max(u.j) from b u where u.j = t.i) from a t", [("b", "j", "a", "i")]),
+    ("select 'from x t, y' , \"from z t\" from a t /* join q u */ join b u -- on t.z = u.z\n on t.i = u.j", [("a", "i", "b", "j")]),
+    ("with w as (select t.i from a t join b u on t.i = u.j) select * from w t join c u on t.i = u.k", [("a", "i", "b", "j"), ("w", "i", "c", "k")]),
+    ("select count(t.i, t.j) from a t natural join b where t.i >= b.j and t.i != b.j and t.i == b.j group by t.i, b.j", [("a", "i", "b", "j")]),
+    ("select * from main.a t cross join other.b where t.i = b.j order by t.i, b.j limit 3, 4", [("a", "i", "b", "j")]),
+    ("select x.i = y.j from nothing", [("x", "i", "y", "j")]),
+    ("select ) ) from a t where t.i = t.j", [("a", "i", "a", "j")]),
+    ("", []),
+]
+
+
+def test_aliases_mean_the_nearest_scope(spark):
+    from pyspark.sql import functions as F
+
+    from semaspark.functions.scopes import equalities
+
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(SCOPES)] + [(-1, None)], "i int, sql string")
+    got = {r["i"]: r["e"] for r in df.select("i", equalities(F.col("sql")).alias("e")).collect()}
+    assert got[-1] is None
+    for i, (text, want) in enumerate(SCOPES):
+        assert [(e["t1"], e["c1"], e["t2"], e["c2"]) for e in got[i]] == [([a], b, [c], d) for a, b, c, d in want], text
