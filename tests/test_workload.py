@@ -123,3 +123,19 @@ def test_aliases_mean_the_nearest_scope(spark):
     assert got[-1] is None
     for i, (text, want) in enumerate(SCOPES):
         assert [(e["t1"], e["c1"], e["t2"], e["c2"]) for e in got[i]] == [([a], b, [c], d) for a, b, c, d in want], text
+
+
+def test_a_report_reads_the_log_once(inputs):
+    log, catalog = inputs
+    plan = W.analysis_report(log, catalog)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("[db_id#") and plan.count("query#") >= 1
+    assert plan.count("LogicalRDD") + plan.count("LocalRelation") == 2  # the log and the staged names
+    assert plan.count("Join") == 1
+
+
+def test_names_that_are_too_many_to_send_are_salted(inputs, monkeypatch):
+    log, catalog = inputs
+    q = W.distinct_queries(log)
+    sent = rows(W.columns_used(q, catalog)), rows(W.aggregates_used(q, catalog))
+    monkeypatch.setattr(W, "BROADCAST_ROWS", 0)
+    assert (rows(W.columns_used(q, catalog)), rows(W.aggregates_used(q, catalog))) == sent
