@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from checks.derived import LOG_TEXT, query_log, results
 from checks.derived import RESULTS_SQL
 from checks.registry import query, table
-from semaspark.functions.normalize import normalize_frame
+from semaspark.functions.normalize import normalize, normalize_frame
 from semaspark.operators import answers as A
 from semaspark.operators import batch_compare as B
 from semaspark.operators import compare as C
@@ -38,6 +39,38 @@ def e1(spark, sf):
     return _flags(spark, same=C.bag_equal(a, a.repartition(5)), changed=C.bag_equal(a, _changed(a)), twice=C.bag_equal(a, a.union(a)))
 
 
+TYPED = "SELECT o_orderkey, o_custkey, o_totalprice FROM orders"
+LATER = "SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN o_custkey + 1 ELSE o_custkey END, o_totalprice FROM orders"
+
+
+@query("e1_unlike_types", f"SELECT 'retyped' AS name, NOT {_differ(TYPED, TYPED)} AS match UNION ALL SELECT 'retyped and changed', NOT {_differ(TYPED, LATER)} "
+       f"UNION ALL SELECT 'maps', NOT {_differ(TYPED, TYPED)} UNION ALL SELECT 'changed maps', NOT {_differ(TYPED, LATER)}")
+def e1b(spark, sf):
+    a = table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderstatus")
+    later = a.withColumn("o_custkey", F.when(F.col("o_orderstatus") == "F", F.col("o_custkey") + 1).otherwise(F.col("o_custkey")))
+    plain = a.drop("o_orderstatus")
+
+    def retyped(df):
+        return df.select(F.concat(F.lit(" "), "o_orderkey"), F.col("o_custkey").cast("double"), F.col("o_totalprice").cast("string"))
+
+    def mapped(df, *names):
+        return df.select(F.create_map(*[x for n in names for x in (F.lit(n), F.col(n).cast("double"))]).alias("m"))
+
+    names = ("o_orderkey", "o_custkey", "o_totalprice")
+    found = {"retyped": C.bag_equal(plain, retyped(a)), "retyped and changed": C.bag_equal(plain, retyped(later)), "maps": C.bag_equal(mapped(a, *names), mapped(a, *names[::-1])),
+             "changed maps": C.bag_equal(mapped(a, *names), mapped(later, *names[::-1]))}
+    return _flags(spark, **found)
+
+
+@query("e2_numbers_of_any_size", "SELECT o_orderkey, 'n:' || format('{:.0f}', o_totalprice * 1e40::DOUBLE) AS c0, 'n:' || format('{:.0f}', -o_totalprice * 1e60::DOUBLE) AS c1, true AS same FROM orders")
+def e2b(spark, sf):
+    """Doubles far beyond the widest decimal, and the texts of their digits, have one form."""
+    prices = table(spark, sf, "orders").select((F.col("o_totalprice") * F.lit(1e40)).alias("c0"), (-F.col("o_totalprice") * F.lit(1e60)).alias("c1"), "o_orderkey")
+    forms = normalize_frame(prices).select(F.substring("c2", 3, 30).cast("bigint").alias("o_orderkey"), "c0", "c1")
+    again = normalize(F.concat(F.lit(" "), F.substring("c1", 3, 400)), T.StringType())
+    return forms.select("o_orderkey", "c0", "c1", (again == F.col("c1")).alias("same"))
+
+
 VALUES = ("l_orderkey AS a, l_quantity AS b, l_extendedprice AS c, lpad(CAST(l_partkey AS {t}), 9, '0') AS d, CAST(l_tax AS {t}) AS e, l_returnflag AS f, "
           "' ' || l_suppkey || ' ' AS g, 'x' || l_suppkey AS h, l_quantity > 25 AS i, CAST(l_discount AS DECIMAL(9,4)) AS j, l_shipdate AS k, "
           "CASE WHEN l_linenumber > 3 THEN '-' || l_partkey || '.50' END AS l, l_linenumber || 'e2' AS m")
@@ -230,6 +263,19 @@ def e13(spark, sf):
     return out.select(*cols, F.col("n_left").cast("bigint"), F.col("n_right").cast("bigint"))
 
 
+@query("e13_unlike_types", "SELECT CAST(o_orderkey AS VARCHAR) AS o_orderkey, 'changed' AS status, 'o_custkey,m' AS changed FROM orders WHERE o_orderstatus = 'F' AND o_orderpriority = '1-URGENT' "
+       "UNION ALL SELECT CAST(o_orderkey AS VARCHAR), 'left_only', '' FROM orders WHERE o_orderstatus = 'P'")
+def e13c(spark, sf):
+    """One side has numbers where the other has texts, and both have a map whose entries come in another order."""
+    a = _orders(spark, sf).select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority")
+    entries = lambda df, *names: F.create_map(*[x for n in names for x in (F.lit(n), F.col(n).cast("string"))]).alias("m")
+    hit = (F.col("o_orderstatus") == "F") & (F.col("o_orderpriority") == "1-URGENT")
+    b = a.filter("o_orderstatus <> 'P'").withColumn("o_custkey", F.when(hit, F.col("o_custkey") + 1).otherwise(F.col("o_custkey")))
+    left = a.select("o_orderkey", "o_custkey", entries(a, "o_custkey", "o_orderstatus"))
+    right = b.select(F.col("o_orderkey").cast("string"), F.col("o_custkey").cast("double"), entries(b, "o_orderstatus", "o_custkey"))
+    return C.diff_frames(left, right, ["o_orderkey"])
+
+
 @query("e13_diff_by_key", "SELECT o_orderkey, CASE WHEN o_orderstatus = 'P' AND o_orderpriority = '5-LOW' THEN 'left_only' WHEN o_orderstatus = 'F' AND o_orderpriority = '1-URGENT' "
        "THEN 'changed' ELSE 'duplicate_key' END AS status, CASE WHEN o_orderstatus = 'F' AND o_orderpriority = '1-URGENT' THEN 'o_totalprice' ELSE '' END AS changed FROM orders "
        "WHERE (o_orderstatus = 'P' AND o_orderpriority = '5-LOW') OR (o_orderstatus = 'F' AND o_orderpriority = '1-URGENT') OR (o_orderstatus = 'O' AND o_orderpriority = '2-HIGH')")

@@ -1,7 +1,7 @@
 """One canonical text per value, so that 1, 1.0 and '1' are the same value.
 
 The form is ``n:<number>`` for anything numeric, ``s:<text>`` for other values,
-``b:<hex>`` for binary and NULL for NULL. It is what results are grouped and hashed by:
+``b:<hex>`` for binary, ``j:<JSON>`` of such texts for nested values, and NULL for NULL. It is what results are grouped and hashed by:
 Spark hashes 1, 1L and 1.0 differently, but equal canonical texts hash alike.
 """
 
@@ -42,11 +42,35 @@ def _digits_of(d: Column) -> Column:
     return F.concat(F.when(d < 0, "-").otherwise(""), whole.cast("decimal(38,0)").cast("string"))
 
 
+def _big_digits_of(d: Column) -> Column:
+    """All digits of a double from 10^38 on. It is a whole number below 2^54 times a power of two; that product is made in limbs
+    of nine digits, 29 bits at a time, so no limb leaves 64 bits."""
+    size, limb = F.abs(d), F.lit(10**9).cast("bigint")
+    power = (F.floor(F.log2(size)) - 53).cast("int")
+    whole = (size / F.pow(F.lit(2.0), power)).cast("bigint")
+    div = lambda a, b: F.call_function("div", a, b)
+    start = F.array(whole % limb, div(whole, limb) % limb, div(div(whole, limb), limb))
+    times = F.concat(F.array_repeat(F.lit(29), div(power, F.lit(29)).cast("int")), F.array(power % 29))
+
+    def multiplied(limbs: Column, bits: Column) -> Column:
+        def step(acc: Column, x: Column) -> Column:
+            v = x * F.call_function("shiftleft", F.lit(1).cast("bigint"), bits) + acc["carry"]
+            return F.struct(div(v, limb).alias("carry"), F.array_append(acc["out"], v % limb).alias("out"))
+
+        zero = F.struct(F.lit(0).cast("bigint").alias("carry"), F.array().cast("array<bigint>").alias("out"))
+        return F.aggregate(limbs, zero, step, lambda acc: F.when(acc["carry"] > 0, F.array_append(acc["out"], acc["carry"])).otherwise(acc["out"]))
+
+    limbs = F.aggregate(times, start, multiplied)
+    digits = F.array_join(F.reverse(F.transform(limbs, lambda x: F.lpad(x.cast("string"), 9, "0"))), "")
+    return F.concat(F.when(d < 0, "-").otherwise(""), F.ltrim(digits, F.lit("0")))
+
+
 def _from_double(d: Column) -> Column:
-    """Whole doubles print like integers, with all digits; beyond decimal(38,0) they keep their own form."""
+    """Whole doubles print like integers, with all digits."""
     whole = F.rint(d) == d
     return (F.when(whole & (F.abs(d) < F.lit(2.0**63)), d.cast("bigint").cast("string"))
             .when(whole & (F.abs(d) < F.lit(1e38)), _digits_of(d))
+            .when(whole & (F.abs(d) < F.lit(float("inf"))), _big_digits_of(d))
             .otherwise(d.cast("string")))
 
 
@@ -75,6 +99,17 @@ def _from_decimal(c: Column, dtype: T.DecimalType, digits: int | None) -> Column
             .otherwise(exact))
 
 
+def _nested(col: Column, dtype: T.DataType, digits: int | None) -> Column:
+    """Arrays in their order, structs by their field names, maps by sorted keys: equal values have equal texts."""
+    if isinstance(dtype, T.ArrayType):
+        return F.to_json(F.transform(col, lambda x: normalize(x, dtype.elementType, digits)))
+    if isinstance(dtype, T.MapType):
+        entry = lambda e: F.array(normalize(e["key"], dtype.keyType, digits), normalize(e["value"], dtype.valueType, digits))
+        return F.to_json(F.array_sort(F.transform(F.map_entries(col), entry)))
+    fields = [x for f in dtype.fields for x in (F.lit(f.name), normalize(col.getField(f.name), f.dataType, digits))]
+    return F.when(col.isNotNull(), F.to_json(F.array(*fields) if fields else F.array().cast("array<string>")))
+
+
 def normalize(col: Column, dtype: T.DataType, digits: int | None = None) -> Column:
     """Canonical text of ``col``; ``digits`` rounds numbers first, for comparison with tolerance."""
     if isinstance(dtype, (T.StringType, T.CharType, T.VarcharType)):
@@ -90,7 +125,9 @@ def normalize(col: Column, dtype: T.DataType, digits: int | None = None) -> Colu
         return F.concat(F.lit("n:"), col.cast("string"))
     if isinstance(dtype, T.BinaryType):
         return F.concat(F.lit("b:"), F.hex(col))
-    if isinstance(dtype, (T.ArrayType, T.MapType, T.StructType, T.VariantType)):
+    if isinstance(dtype, (T.ArrayType, T.MapType, T.StructType)):
+        return F.concat(F.lit("j:"), _nested(col, dtype, digits))
+    if isinstance(dtype, T.VariantType):
         return F.concat(F.lit("s:"), F.to_json(col))
     return F.concat(F.lit("s:"), col.cast("string"))
 

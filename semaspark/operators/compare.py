@@ -12,16 +12,38 @@ from collections.abc import Sequence
 from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from semaspark.functions.normalize import normalize_frame
+from semaspark.functions.normalize import normalize, normalize_frame
+from semaspark.plans.model import quoted
 from semaspark.session import cut_lineage
 
 GOLD, PRED = "gold", "pred"
 
 
-def _signed(a: DataFrame, b: DataFrame) -> DataFrame:
+def _groups(dtype: T.DataType) -> bool:
+    """Whether Spark can group by the type."""
+    if isinstance(dtype, T.StructType):
+        return all(_groups(f.dataType) for f in dtype.fields)
+    return _groups(dtype.elementType) if isinstance(dtype, T.ArrayType) else not isinstance(dtype, (T.MapType, T.VariantType))
+
+
+def aligned(a: DataFrame, b: DataFrame) -> tuple[DataFrame, DataFrame, list[bool]]:
+    """Both sides with columns c0, c1, … of one type each, and which of them are as they were. Columns of unlike types, and
+    those that hold maps, become canonical text: nothing is cast, so no value can stop the job or be changed."""
     names = [f"c{i}" for i in range(len(a.columns))]
-    return a.toDF(*names).withColumn("__n", F.lit(1)).union(b.toDF(*names).withColumn("__n", F.lit(-1)))
+    left, right = a.toDF(*names), b.toDF(*names)
+    kept = [f.dataType.simpleString() == g.dataType.simpleString() and _groups(f.dataType) for f, g in zip(left.schema.fields, right.schema.fields)]
+
+    def side(df: DataFrame) -> DataFrame:
+        return df.select(*[F.col(f.name) if plain else normalize(F.col(f.name), f.dataType).alias(f.name) for f, plain in zip(df.schema.fields, kept)])
+
+    return side(left), side(right), kept
+
+
+def _signed(a: DataFrame, b: DataFrame) -> DataFrame:
+    left, right, _ = aligned(a, b)
+    return left.withColumn("__n", F.lit(1)).union(right.withColumn("__n", F.lit(-1)))
 
 
 def bag_equal(a: DataFrame, b: DataFrame) -> bool:
@@ -29,7 +51,8 @@ def bag_equal(a: DataFrame, b: DataFrame) -> bool:
 
     A fingerprint of each side, one scan without a shuffle, settles most differences. Equal
     fingerprints are confirmed by counting: one shuffle, after map-side combining, so rows
-    repeated any number of times travel once per task."""
+    repeated any number of times travel once per task. Columns of unlike types are compared by canonical text (1, 1.0 and
+    '1' are one value), maps by their entries in any order."""
     if len(a.columns) != len(b.columns):
         return False
     signed = _signed(a, b)
@@ -194,26 +217,32 @@ def diff_frames(a: DataFrame, b: DataFrame, key: Sequence[str] | None = None) ->
     differing key, its ``status`` (left_only, right_only, changed, duplicate_key) and the
     names of the changed columns. Either way rows are grouped, never paired."""
     names = a.columns
+    if len(names) != len(b.columns):
+        raise ValueError(f"{len(names)} columns on the left, {len(b.columns)} on the right")
+    left, right, kept = aligned(a, b if key is None else b.select(*[F.col(quoted(c)) for c in names]))
+    # A canonical text loses its tag where it is shown.
+    shown = [F.col(f"c{i}") if plain else F.regexp_replace(f"c{i}", r"\A[a-z]:", "") for i, plain in enumerate(kept)]
     if key is None:
-        both = a.withColumn("__l", F.lit(1)).withColumn("__r", F.lit(0)).union(
-            b.toDF(*names).withColumn("__l", F.lit(0)).withColumn("__r", F.lit(1)))
-        counted = both.groupBy(*names).agg(F.sum("__l").alias("n_left"), F.sum("__r").alias("n_right"))
-        return counted.filter("n_left <> n_right")
-    rest = [c for c in names if c not in key]
+        both = left.withColumn("__l", F.lit(1)).withColumn("__r", F.lit(0)).union(right.withColumn("__l", F.lit(0)).withColumn("__r", F.lit(1)))
+        counted = both.groupBy(*left.columns).agg(F.sum("__l").alias("n_left"), F.sum("__r").alias("n_right")).filter("n_left <> n_right")
+        return counted.select(*[c.alias(n) for c, n in zip(shown, names)], "n_left", "n_right")
+    at = {n: f"c{i}" for i, n in enumerate(names)}
+    shown_keys = [shown[names.index(k)].alias(k) for k in key]
+    left, right, rest = left.withColumnsRenamed({at[c]: c for c in names}), right.withColumnsRenamed({at[c]: c for c in names}), [c for c in names if c not in key]
 
     def side(df: DataFrame, tag: str) -> DataFrame:
-        packed = F.struct(*[F.col(c) for c in rest])
+        packed = F.struct(*[F.col(quoted(c)) for c in rest])
         other = F.lit(None).cast(df.select(packed.alias("s")).schema["s"].dataType)
-        left, right = (packed, other) if tag == "l" else (other, packed)
-        return df.select(*key, left.alias("l"), right.alias("r"), F.lit(int(tag == "l")).alias("nl"), F.lit(int(tag == "r")).alias("nr"))
+        mine, theirs = (packed, other) if tag == "l" else (other, packed)
+        return df.select(*[F.col(quoted(k)) for k in key], mine.alias("l"), theirs.alias("r"), F.lit(int(tag == "l")).alias("nl"), F.lit(int(tag == "r")).alias("nr"))
 
-    both = side(a, "l").union(side(b.select(*names), "r"))
-    grouped = both.groupBy(*key).agg(F.max("l").alias("l"), F.max("r").alias("r"), F.sum("nl").alias("nl"), F.sum("nr").alias("nr"))
-    changed = F.concat_ws(",", *[F.when(~F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")), F.lit(c)) for c in rest])
+    both = side(left, "l").union(side(right, "r"))
+    grouped = both.groupBy(*[F.col(quoted(k)) for k in key]).agg(F.max("l").alias("l"), F.max("r").alias("r"), F.sum("nl").alias("nl"), F.sum("nr").alias("nr"))
+    changed = F.concat_ws(",", *[F.when(~F.col("l").getField(c).eqNullSafe(F.col("r").getField(c)), F.lit(c)) for c in rest])
     status = (F.when((F.col("nl") > 1) | (F.col("nr") > 1), "duplicate_key").when(F.col("nr") == 0, "left_only")
               .when(F.col("nl") == 0, "right_only").when(changed != "", "changed"))
-    return (grouped.select(*key, status.alias("status"), F.when(status == "changed", changed).otherwise("").alias("changed"))
-            .filter("status is not null"))
+    grouped = grouped.withColumns({"status": status, "changed": F.when(status == "changed", changed).otherwise("")}).filter("status is not null")
+    return grouped.withColumnsRenamed({k: at[k] for k in key}).select(*shown_keys, "status", "changed")
 
 
 def metrics(results: DataFrame, by: Sequence[str] = ()) -> DataFrame:

@@ -255,3 +255,33 @@ def test_equal_columns_are_one_and_symmetric_ones_are_searched(spark):
     assert B.resolve(_sides(spark, gold, pred), _alike(spark, 11)).count() == 1
     fewer = [[v] * 8 + [(v * 2) % 7] * 2 + [(v * 3) % 7] for v in range(7)]
     assert B.resolve(_sides(spark, gold, fewer), _alike(spark, 11)).count() == 0
+
+
+def test_bags_and_diffs_of_unlike_types_and_maps(spark):
+    numbers = spark.createDataFrame([(1, 5), (2, None), (3, 7)], "k int, v long")
+    texts = spark.createDataFrame([("1", "5.0"), (" 2", None), ("3", "x")], "k string, v string")
+    assert not C.bag_equal(numbers, texts)
+    assert C.bag_equal(numbers.filter("k < 3"), texts.filter("v is null or v <> 'x'")) and not C.bag_equal(numbers, spark.createDataFrame([("x", "y")], "a string, b string"))
+    assert sorted(map(tuple, C.diff_frames(numbers, texts).collect())) == [("3", "7", 1, 0), ("3", "x", 0, 1)]
+    assert [tuple(r) for r in C.diff_frames(numbers, texts, ["k"]).collect()] == [("3", "changed", "v")]
+
+    nested = "k int, m map<string,array<int>>, s struct<a: int, b: map<int,string>>"
+    a = spark.createDataFrame([(1, {"x": [1, 2], "y": []}, (1, {1: "p", 2: None})), (2, None, None), (3, {"z": None}, (None, {}))], nested)
+    b = spark.createDataFrame([(3, {"z": None}, (None, {})), (1, {"y": [], "x": [1, 2]}, (1, {2: None, 1: "p"})), (2, None, None)], nested)
+    assert C.bag_equal(a, b) and C.diff_frames(a, b).count() == 0 and C.diff_frames(a, b, ["k"]).count() == 0 and C.result_equal(a, b)
+    c = spark.createDataFrame([(1, {"y": [], "x": [2, 1]}, (1, {2: None, 1: "p"})), (2, {}, None), (3, {"z": None}, (None, {3: "q"}))], nested)
+    assert not C.bag_equal(a, c) and not C.result_equal(a, c)
+    assert sorted(map(tuple, C.diff_frames(a, c, ["k"]).collect())) == [(1, "changed", "m"), (2, "changed", "m"), (3, "changed", "s")]
+    assert C.diff_frames(a, c).count() == 6
+    with pytest.raises(ValueError, match="columns"):
+        C.diff_frames(a, numbers)
+
+
+def test_doubles_of_any_size_have_all_their_digits(spark):
+    values = [1e38, 1e39, -1e39, 1e300, 1.7976931348623157e308, 2.0**127, 2.0**128 - 2.0**75, 3e200, 123456789e50]
+    df = spark.createDataFrame([(v, str(int(v)), "  +" + str(int(v)) if v > 0 else str(int(v)), repr(v)) for v in values], "d double, t string, u string, e string")
+    for row in normalize_frame(df).collect():
+        assert len(set(row)) == 1 and row[0].startswith("n:") and "E" not in row[0]
+    odd = spark.createDataFrame([(float("inf"),), (float("nan"),), (float("-inf"),)], "d double")
+    assert [r[0] for r in normalize_frame(odd).collect()] == ["n:Infinity", "n:NaN", "n:-Infinity"]
+    assert C.result_equal(df.select("d"), df.select("t")) and not C.result_equal(df.select("d"), df.select((F.col("d") * 2).alias("t")))
