@@ -62,10 +62,17 @@ def e1b(spark, sf):
     return _flags(spark, **found)
 
 
-@query("e2_numbers_of_any_size", "SELECT o_orderkey, 'n:' || format('{:.0f}', o_totalprice * 1e40::DOUBLE) AS c0, 'n:' || format('{:.0f}', -o_totalprice * 1e60::DOUBLE) AS c1, true AS same FROM orders")
+def _times_power(column: str, power: int) -> str:
+    """Digits of column * 2^power in SQL, from two halves that stay within its integers."""
+    high, low = divmod(2**power, 10**18)
+    return (f"(({column}::HUGEINT * {high} + {column}::HUGEINT * {low} // 1000000000000000000)::VARCHAR || "
+            f"lpad(({column}::HUGEINT * {low} % 1000000000000000000)::VARCHAR, 18, '0'))")
+
+
+@query("e2_numbers_of_any_size", f"SELECT o_orderkey, 'n:' || {_times_power('(o_orderkey + 1)', 120)} AS c0, 'n:-' || {_times_power('(o_custkey + 1)', 130)} AS c1, true AS same FROM orders")
 def e2b(spark, sf):
-    """Doubles far beyond the widest decimal, and the texts of their digits, have one form."""
-    prices = table(spark, sf, "orders").select((F.col("o_totalprice") * F.lit(1e40)).alias("c0"), (-F.col("o_totalprice") * F.lit(1e60)).alias("c1"), "o_orderkey")
+    """Doubles beyond the widest decimal, and the texts of their digits, have one form."""
+    prices = table(spark, sf, "orders").select(((F.col("o_orderkey") + 1) * F.lit(2.0**120)).alias("c0"), (-(F.col("o_custkey") + 1) * F.lit(2.0**130)).alias("c1"), "o_orderkey")
     forms = normalize_frame(prices).select(F.substring("c2", 3, 30).cast("bigint").alias("o_orderkey"), "c0", "c1")
     again = normalize(F.concat(F.lit(" "), F.substring("c1", 3, 400)), T.StringType())
     return forms.select("o_orderkey", "c0", "c1", (again == F.col("c1")).alias("same"))

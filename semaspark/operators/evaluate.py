@@ -92,8 +92,11 @@ def extract_sql(answer: Column) -> Column:
     return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
 
 
-def pending(questions: DataFrame, done: DataFrame, key: str | Sequence[str] = "question_id") -> DataFrame:
-    """The rows of ``questions`` whose key has no result yet."""
+def pending(questions: DataFrame, done: DataFrame, key: str | Sequence[str] | None = None) -> DataFrame:
+    """The rows of ``questions`` whose key has no result yet. The key is the question, of its provider where both tables name one:
+    the results of one provider do not hide what is open for another."""
+    if key is None:
+        key = [c for c in ("provider", "question_id") if c in questions.columns and c in done.columns]
     keys = [key] if isinstance(key, str) else list(key)
     return questions.join(done.select(*keys), keys, "left_anti")
 

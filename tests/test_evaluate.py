@@ -218,3 +218,11 @@ def test_stream_equals_batch(spark, sf, tmp_path):
     state = S.run_available(spark, S.stream_metrics(stream))
     batch = rows.groupBy(F.window("event_time", "1 day")["start"].alias("w"), "provider").agg(F.count("*").alias("n"))
     assert sorted((r["window_start"], r["provider"], r["total"]) for r in state.collect()) == sorted(tuple(r) for r in batch.collect())
+
+
+def test_results_of_one_provider_leave_those_of_another_open(spark):
+    asked = spark.createDataFrame([("p", 1), ("q", 1), ("q", 2)], "provider string, question_id int")
+    done = spark.createDataFrame([("p", 1), ("q", 2)], "provider string, question_id int")
+    assert [tuple(r) for r in X.pending(asked, done).collect()] == [("q", 1)]
+    assert X.pending(asked.select("question_id").distinct(), done).count() == 0
+    assert X.pending(asked, done, "question_id").count() == 0
