@@ -3,7 +3,7 @@
 Every database gets a session of its own, so tables of one name in two databases never meet. Equal texts over
 one database run once, however many questions and providers ask them. A bounded number of texts runs at a
 time; each has a job tag, and one that passes its time limit is interrupted by that tag until it ends, while the others
-go on. Jobs are interrupted, not the analysis of a text; the tag is one of the Spark context, as those of a session are
+go on; it gets a second run when nothing else runs. Jobs are interrupted, not the analysis of a text; the tag is one of the Spark context, as those of a session are
 known to their own thread only. A task that never looks whether it was killed is left to ``spark.task.reaper``.
 
 Answers are normalised and appended to one folder of the shared storage, a subfolder each, and read back as one
@@ -115,7 +115,7 @@ def _run_one(open_: Open, answer: int, db_id: str, sql: str, folder: str, limit:
         found = normalize_frame(query_only(session, sql))
         n_cols = len(found.columns)
         vals = F.array(*[_tagged(F.col(c)) for c in found.columns])
-        found.select(F.monotonically_increasing_id().alias("pos"), vals.alias("vals")).write.parquet(f"{folder}/answer={answer}")
+        found.select(F.monotonically_increasing_id().alias("pos"), vals.alias("vals")).write.mode("overwrite").parquet(f"{folder}/answer={answer}")
 
     try:
         session = open_(db_id)
@@ -138,19 +138,33 @@ def _pooled(jobs: Iterable[Callable[[], tuple]], workers: int) -> Iterator[tuple
 
 
 def run_texts(spark: SparkSession, texts: DataFrame, open_: Open, limit: float = 30, workers: int = 4) -> Answers:
-    """Run each distinct (db_id, sql) of ``texts`` once, for at most ``limit`` seconds."""
+    """Run each distinct (db_id, sql) of ``texts`` for at most ``limit`` seconds. A text that was cut beside others may only have waited
+    for them: it runs again alone, so the limit is its own."""
     distinct = texts.select("db_id", "sql").distinct().repartitionByRange("db_id", "sql").sortWithinPartitions("db_id", "sql")
     numbered = cut_lineage(distinct.withColumn("answer", F.monotonically_increasing_id()))
     folder, heads = staging_path(spark, "answers"), staging_path(spark, "headers")
-    jobs = ((lambda r=r: _run_one(open_, r["answer"], r["db_id"], r["sql"], folder, limit)) for r in numbered.toLocalIterator())
     batch: list[tuple] = []
+    late: list[tuple[int]] = []
+
+    def jobs(rows: DataFrame) -> Iterator[Callable[[], tuple]]:
+        return ((lambda r=r: _run_one(open_, r["answer"], r["db_id"], r["sql"], folder, limit)) for r in rows.toLocalIterator())
+
+    def heads_of() -> Iterator[tuple]:
+        for head in _pooled(jobs(numbered), workers):
+            if head[2] == TIMED_OUT and workers > 1:
+                late.append((head[0],))
+            else:
+                yield head
+        if late:
+            alone = numbered.join(spark.createDataFrame(late, "answer long"), "answer", "left_semi")
+            yield from (job() for job in jobs(alone))
 
     def flush() -> None:
         spark.createDataFrame(batch, HEADERS).coalesce(1).write.mode("append").parquet(heads)
         batch.clear()
 
     any_rows = False
-    for head in _pooled(jobs, workers):
+    for head in heads_of():
         any_rows |= head[2] is None
         batch.append(head)
         if len(batch) == HEADS:
