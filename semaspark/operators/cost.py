@@ -8,7 +8,7 @@ from decimal import Decimal
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from semaspark.operators.selection import exact_percentiles, first_per_group, pareto
+from semaspark.operators.selection import exact_percentiles, first_per_group, join_groups, pareto
 
 __all__ = ["token_stats", "size_buckets", "run_cost", "stepwise_cost", "hybrid_cost", "budget", "project_cost", "apply_discounts",
            "pareto", "early_stop", "request_cost"]
@@ -17,7 +17,7 @@ __all__ = ["token_stats", "size_buckets", "run_cost", "stepwise_cost", "hybrid_c
 def token_stats(df: DataFrame, by: Sequence[str], tokens: str) -> DataFrame:
     """``min, median, mean, max, p95`` of a token count per component."""
     base = df.groupBy(*by).agg(F.min(tokens).alias("min"), F.avg(F.col(tokens).cast("bigint")).alias("mean"), F.max(tokens).alias("max"))
-    return base.join(exact_percentiles(df, by, tokens, {"median": 0.5, "p95": 0.95}), list(by))
+    return join_groups(base, exact_percentiles(df, by, tokens, {"median": 0.5, "p95": 0.95}), by, "left")
 
 
 def size_buckets(df: DataFrame, tokens: str, edges: Sequence[int] = (100, 300, 500)) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from semaspark.functions.exact import exact_avg
 from semaspark.functions.normalize import let
 from semaspark.operators.compare import metrics, with_positions
-from semaspark.operators.selection import exact_percentiles, first_per_group
+from semaspark.operators.selection import exact_percentiles, first_per_group, join_groups
 
 
 def difficulty(ast: Column) -> Column:
@@ -138,7 +138,7 @@ def latency_stats(results: DataFrame, approximate: bool = False, scale: int | No
         marks = results.groupBy("provider").agg(*[F.percentile_approx("latency_ms", p).alias(n) for n, p in (("median", 0.5), ("p95", 0.95))])
     else:
         marks = exact_percentiles(results, ["provider"], "latency_ms", {"median": 0.5, "p95": 0.95})
-    return base.join(marks, "provider", "left")
+    return join_groups(base, marks, ["provider"], "left")
 
 
 def attribute_errors(full: DataFrame, minimal: DataFrame) -> DataFrame:

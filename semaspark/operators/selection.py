@@ -29,21 +29,26 @@ def first_per_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column],
 
 def exact_percentiles(df: DataFrame, keys: Sequence[str], value: str, fractions: dict[str, float], bins: int = 4096,
                       gather: int = 100_000) -> DataFrame:
-    """Exact interpolated percentiles per group, without sorting or gathering a group.
-
-    A histogram over the value range, combined on the map side, tells in which bin each wanted
-    rank lies; only rows of that bin go on, with ``bins`` times narrower bounds. Rounds end when
-    what is left per wanted rank fits into one small task, or is a single value. Only finite values
-    are binned: the infinities and NaN, the greatest of all, are bins of their own.
-    ``keys`` may be empty. NULLs are ignored, as in any aggregate."""
+    """Exact interpolated percentiles per group, without sorting, gathering or shuffling a group.
+
+    A histogram over the value range of a group, combined on the map side, tells in which bin each
+    wanted rank lies; only values of that bin go on, with ``bins`` times narrower bounds, read once
+    for all ranks that share them. Rounds end when what is left per wanted rank fits into one small
+    task, or is a single value; its equal values are counted, again on the map side first. So the
+    input is read again each round, and what is shuffled are bins and the values of the bins hit.
+    Only finite values are binned: the infinities and NaN, the greatest of all, are bins of their
+    own. Where there are more groups than may be sent to every executor, equal values are counted
+    once and then joined by group with salts.
+    ``keys`` may be empty; NULL is a group like any other. NULL values are ignored, as in any aggregate."""
     keys = list(keys)
-    data = df.select(*keys, F.col(value).cast("double").alias("v")).filter("v is not null")
-    data = data.groupBy(*keys, "v").agg(F.count("*").alias("n"))
+    data = df.select(*keys, F.col(value).cast("double").alias("v")).filter("v is not null").withColumn("n", F.lit(1).cast("bigint"))
     finite = F.col("v").between(-sys.float_info.max, sys.float_info.max)
     odd = {"low_n": F.col("v") == float("-inf"), "high_n": F.col("v") == float("inf"), "nan_n": F.isnan("v")}
-    groups = cut_lineage(data.groupBy(*keys).agg(
+    groups, small = sized(data.groupBy(*keys).agg(
         F.sum("n").alias("total"), F.min(F.when(finite, F.col("v"))).alias("lo"), F.max(F.when(finite, F.col("v"))).alias("hi"),
         *(F.sum(F.when(test, F.col("n")).otherwise(0)).alias(c) for c, test in odd.items())))
+    if not small:
+        data = cut_lineage(data.groupBy(*keys, "v").agg(F.sum("n").alias("n")))
     ranks = F.explode(F.array(*[F.struct(F.lit(name).alias("stat"), F.lit(p).alias("p"), F.lit(up).alias("up"))
                                 for name, p in fractions.items() for up in (0, 1)]))
     wanted = groups.select("*", ranks.alias("w")).select(
@@ -61,13 +66,11 @@ def exact_percentiles(df: DataFrame, keys: Sequence[str], value: str, fractions:
     unsettled = (F.col("inside") > gather) & (F.col("lo") < F.col("hi")) & ~F.col("stuck")
     while not (open_ := wanted.filter(unsettled)).isEmpty():
         # Bounds that no longer move hold few distinct values; only such a rank leaves the loop.
-        before = open_.select(*keys, "stat", "up", F.col("lo").alias("lo0"), F.col("hi").alias("hi0"))
-        finer = _narrow(data, open_, keys, bins).join(before, [*keys, "stat", "up"]).withColumn("stuck", F.expr("lo = lo0 and hi = hi0")).drop("lo0", "hi0")
-        wanted = cut_lineage(wanted.filter(~unsettled).unionByName(finer))
+        wanted = cut_lineage(wanted.filter(~unsettled).unionByName(_narrow(_histogram(data, open_, keys, bins), open_, keys)))
     # What is left of each wanted rank is small: its cumulative counts give the value.
-    inside = _join_groups(data, wanted, keys).filter("v >= lo and v <= hi")
+    left = _inside(data, wanted, keys).groupBy(*keys, "lo", "hi", "v").agg(F.sum("n").alias("n"))
     window = Window.partitionBy(*keys, "stat", "up").orderBy("v")
-    at = inside.withColumn("seen", F.col("below") + F.sum("n").over(window)).filter("seen > rank")
+    at = _same(left, wanted, [*keys, "lo", "hi"]).withColumn("seen", F.col("below") + F.sum("n").over(window)).filter("seen > rank")
     values = at.groupBy(*keys, "stat", "up").agg(F.min("v").alias("v"), F.first("p").alias("p"), F.first("total").alias("total"))
     both = values.groupBy(*keys, "stat").agg(
         F.max(F.when(F.col("up") == 0, F.col("v"))).alias("a"), F.max(F.when(F.col("up") == 1, F.col("v"))).alias("b"),
@@ -82,31 +85,48 @@ def exact_percentiles(df: DataFrame, keys: Sequence[str], value: str, fractions:
     return result.groupBy(*keys).agg(*[F.max(F.when(F.col("stat") == n, F.col("x"))).alias(n) for n in fractions])
 
 
-def _join_groups(data: DataFrame, wanted: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows with the ranks wanted of their group. The list of ranks is sent to the rows if it is
-    short; a long one is spread over salts, so that a hot group is not one task."""
-    wanted, small = sized(wanted)
-    if small and keys:
-        return data.join(wanted, keys)
-    left = data.withColumn("__s", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int"))
-    right = wanted.withColumn("__s", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return left.join(right, [*keys, "__s"]).drop("__s")
+def join_groups(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Rows of equal groups; NULL is equal to NULL."""
+    named = right.withColumnsRenamed({k: f"__{k}" for k in keys})
+    same = [left[k].eqNullSafe(named[f"__{k}"]) for k in keys]
+    return left.join(named, same, how).drop(*[f"__{k}" for k in keys])
+
+
+def _same(left: DataFrame, wanted: DataFrame, columns: list[str]) -> DataFrame:
+    """Counted values or bins with the ranks that look into them."""
+    wanted, _ = sized(wanted)
+    return join_groups(left, wanted, columns)
+
 
+def _inside(data: DataFrame, wanted: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows inside the bounds of a wanted rank of their group, once for all ranks with these bounds. A short
+    list of bounds is sent to the rows; a long one is spread over salts, so that a hot group is not one task."""
+    bounds, small = sized(wanted.select(*keys, "lo", "hi").distinct())
+    if not (small and keys):
+        salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+        bounds = bounds.withColumn("__s", salts)
+        bounds, keys = F.broadcast(bounds) if small else bounds, [*keys, "__s"]
+        data = data.withColumn("__s", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int"))
+    return join_groups(data, bounds, keys).filter("v >= lo and v <= hi").drop("__s")
 
-def _narrow(data: DataFrame, wanted: DataFrame, keys: list[str], bins: int) -> DataFrame:
+
+def _histogram(data: DataFrame, wanted: DataFrame, keys: list[str], bins: int) -> DataFrame:
+    """Count, least and greatest value of each bin between each two bounds that are wanted."""
     # halves first: hi - lo may overflow at the ends of the double range
     width = (F.col("hi") / bins - F.col("lo") / bins)
     number = F.least(F.floor(F.try_divide(F.col("v") - F.col("lo"), width)), F.lit(bins - 1))
-    inside = _join_groups(data, wanted, keys).filter("v >= lo and v <= hi").withColumn("bin", number)
-    ident = [*keys, "stat", "up"]
-    hist = inside.groupBy(*ident, "bin").agg(
-        F.sum("n").alias("count"), F.min("v").alias("blo"), F.max("v").alias("bhi"),
-        *[F.first(c).alias(c) for c in ("p", "total", "below", "rank")])
-    window = Window.partitionBy(*ident).orderBy("bin")  # at most ``bins`` rows each
-    seen = hist.withColumn("seen", F.sum("count").over(window))
-    hit = seen.filter((F.col("below") + F.col("seen") > F.col("rank")) & (F.col("below") + F.col("seen") - F.col("count") <= F.col("rank")))
+    return _inside(data, wanted, keys).withColumn("bin", number).groupBy(*keys, "lo", "hi", "bin").agg(
+        F.sum("n").alias("count"), F.min("v").alias("blo"), F.max("v").alias("bhi"))
+
+
+def _narrow(histogram: DataFrame, wanted: DataFrame, keys: list[str]) -> DataFrame:
+    """The wanted ranks with the bounds of the bin that holds them."""
+    window = Window.partitionBy(*keys, "stat", "up").orderBy("bin")  # at most ``bins`` rows each
+    seen = _same(histogram, wanted, [*keys, "lo", "hi"]).withColumn("seen", F.col("below") + F.sum("count").over(window))
+    hit = seen.filter((F.col("seen") > F.col("rank")) & (F.col("seen") - F.col("count") <= F.col("rank")))
     return hit.select(*keys, "stat", "p", "up", "total", F.col("blo").alias("lo"), F.col("bhi").alias("hi"),
-                      (F.col("below") + F.col("seen") - F.col("count")).alias("below"), F.col("count").alias("inside"), "rank")
+                      (F.col("seen") - F.col("count")).alias("below"), F.col("count").alias("inside"), "rank",
+                      ((F.col("lo") == F.col("blo")) & (F.col("hi") == F.col("bhi"))).alias("stuck"))
 
 
 def pareto(df: DataFrame, cost: str, gain: str, bins: int = 256) -> DataFrame:

@@ -1,15 +1,21 @@
+import datetime as dt
 import json
+import os
 import random
 import statistics
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from semaspark.operators import audit as V
+from semaspark.operators import cost as P
 from semaspark.operators import coverage as C
 from semaspark.operators import evaluate as X
+from semaspark.operators import selection
 from semaspark.operators.selection import exact_percentiles, first_per_group, pareto
 from semaspark.plans.model import Model, Source, row_count
+from semaspark.session import sized
 from semaspark.sources import records as R
 from semaspark.streaming import metrics as S
 
@@ -226,3 +232,64 @@ def test_results_of_one_provider_leave_those_of_another_open(spark):
     assert [tuple(r) for r in X.pending(asked, done).collect()] == [("q", 1)]
     assert X.pending(asked.select("question_id").distinct(), done).count() == 0
     assert X.pending(asked, done, "question_id").count() == 0
+
+
+def _arrivals(spark, path, files):
+    """One file per list of (question, day), in the order they are read."""
+    for n, rows in enumerate(files):
+        df = spark.createDataFrame([(q, "p", True, None, dt.datetime(2024, 1, 1) + dt.timedelta(days=d)) for q, d in rows], S.RESULT_SCHEMA)
+        df.coalesce(1).write.mode("append").parquet(path)
+        time.sleep(1.1)  # files are read in the order of their times
+
+
+def test_stream_state_does_not_pile_up_and_late_rows_are_counted(spark, tmp_path):
+    path, folder = str(tmp_path / "in"), str(tmp_path / "run")
+    _arrivals(spark, path, [[(1, 0), (2, 0)], [(3, 100)], [(4, 101), (11, 100)], [(5, 1), (6, 2), (7, 101)]])
+    stream = lambda: S.stream_metrics(spark.readStream.schema(S.RESULT_SCHEMA).option("maxFilesPerTrigger", 1).parquet(path))
+    state, late = S.run_counted(spark, stream(), folder)
+    days = lambda df: {r["window_start"].timetuple().tm_yday - 1: r["total"] for r in df.collect()}
+    assert sum(r["late"] for r in late.collect()) == 2
+    assert days(state) == {0: 2, 100: 2, 101: 2}
+    assert len(S.generations(spark, f"{folder}/updates")) == 2
+    # A later run goes on from the state; what is read stays one generation.
+    _arrivals(spark, path, [[(8, 101)], [(9, 102), (10, 3)]])
+    state, late = S.run_counted(spark, stream(), folder)
+    assert days(state) == {0: 2, 100: 2, 101: 3, 102: 1} and sum(r["late"] for r in late.collect()) == 1
+    done = S.generations(spark, f"{folder}/updates")
+    assert len(done) == 2 and {f.split("/")[-2] for f in state.inputFiles()} == {f"state-{done[-1]}"}
+
+
+def test_state_that_was_not_written_whole_is_not_read(spark, tmp_path):
+    base = str(tmp_path)
+    assert S.generations(spark, f"{base}/none") == [] and S.latest(spark, f"{base}/none").count() == 0
+    one = spark.createDataFrame([(dt.datetime(2024, 1, 1), None, 3, 2, 1)], S.STATE_SCHEMA)
+    one.write.parquet(f"{base}/state-9")
+    one.unionByName(one).write.parquet(f"{base}/state-10")
+    os.remove(f"{base}/state-10/_SUCCESS")
+    assert S.generations(spark, base) == [9] and S.latest(spark, base).count() == 1
+
+
+def test_percentiles_shuffle_bins_and_not_values(spark):
+    df = spark.range(20_000).select((F.col("id") % 3).alias("g"), F.col("id").cast("double").alias("v"), F.lit(1).cast("bigint").alias("n"))
+    wanted = spark.createDataFrame([(g, 0.0, 19_999.0) for g in range(3)], "g bigint, lo double, hi double")
+    histogram = selection._histogram(df, wanted, ["g"], 64)
+    plan = histogram._jdf.queryExecution().executedPlan().toString()
+    exchanges = [line for line in plan.splitlines() if " Exchange hashpartitioning" in line]
+    assert exchanges and all("bin#" in line and " v#" not in line and "(v#" not in line for line in exchanges)
+    rows = histogram.collect()
+    assert len(rows) == 3 * 64 and sum(r["count"] for r in rows) == 20_000
+
+
+def test_percentiles_of_many_groups_and_of_null(spark, monkeypatch):
+    rows = [(None if g == 0 else g, float(i * i % 97)) for g in range(6) for i in range(50)]
+    df = spark.createDataFrame(rows, "g int, v double")
+    want = statistics.median(float(i * i % 97) for i in range(50))
+    for limit in (200_000, 1):
+        monkeypatch.setattr(selection, "sized", lambda x, limit=limit: sized(x, limit))
+        got = {r["g"]: r["median"] for r in exact_percentiles(df, ["g"], "v", {"median": 0.5}, bins=8, gather=5).collect()}
+        assert got == {g: want for g in (None, 1, 2, 3, 4, 5)}
+        assert exact_percentiles(df, [], "v", {"median": 0.5}, bins=8, gather=5).head()["median"] == want
+    none = df.filter("g > 99")
+    assert exact_percentiles(none, ["g"], "v", {"median": 0.5}).count() == 0 and exact_percentiles(none, [], "v", {"median": 0.5}).head()["median"] is None
+    stats = {r["lang"]: r["median"] for r in P.token_stats(df.withColumnsRenamed({"g": "lang"}), ["lang"], "v").collect()}
+    assert stats[None] == want and len(stats) == 6
