@@ -12,10 +12,10 @@ Empty tables give no rows; other columns are kept by ``drop_repeats`` and not re
 
 from __future__ import annotations
 
-import pyarrow as pa
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from semaspark.llm.frames import free_name, stage, table
 
@@ -54,22 +54,28 @@ def keys(doc_id: str, text: str) -> list[Column]:
     return [F.coalesce(F.col(doc_id), F.lit(2**63 - 1)).cast("long").alias("doc_key"), F.xxhash64(F.col(text)).alias("text_key")]
 
 
-LEFT_OVER = T.StructType([T.StructField("text", T.StringType()), T.StructField("n_lines", T.LongType()), T.StructField("n_removed", T.LongType())])
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once for a row, however often lambdas inside look at it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _left_over(text: Column, gone: Column) -> Column:
+    """A struct of the text that stays, its lines before and how many went. A text that loses none is not taken apart;
+    in others counted lines are found by place and lost ones by hash, so long texts take time in proportion."""
+    def places(lines: Column) -> Column:
+        return F.filter(_numbers(lines), lambda i: F.btrim(F.get(lines, i), F.lit(TRIM)) != "")
+
+    def stay(lines: Column) -> Column:
+        return _once(places(lines), lambda at: F.array_except(_numbers(lines), F.transform(gone, lambda g: F.get(at, g))))
+
+    kept = _once(_lines(text), lambda lines: F.array_join(F.transform(stay(lines), lambda i: F.get(lines, i)), "\n"))
+    return F.struct(F.when(gone.isNull(), text).otherwise(kept).alias("text"),
+                    F.when(text.isNull(), 0).otherwise(F.size(_lines(text))).cast("long").alias("n_lines"),
+                    F.when(gone.isNull(), 0).otherwise(F.size(gone)).cast("long").alias("n_removed"))
 
 
-@F.arrow_udf(LEFT_OVER)
-def _without(texts: pa.Array, gone: pa.Array) -> pa.Array:
-    out, lines_of, removed = [], [], []
-    for text, places in zip(texts.to_pylist(), gone.to_pylist()):
-        lines = text.split("\n") if text is not None else []
-        lines_of.append(len(lines))
-        removed.append(len(places or ()))
-        if places:
-            counted = [i for i, x in enumerate(lines) if x.strip(TRIM)]
-            lost = {counted[p] for p in places}
-            text = "\n".join(x for i, x in enumerate(lines) if i not in lost)
-        out.append(text)
-    return pa.StructArray.from_arrays([pa.array(out, pa.string()), pa.array(lines_of, pa.int64()), pa.array(removed, pa.int64())], ["text", "n_lines", "n_removed"])
+def _numbers(lines: Column) -> Column:
+    return F.sequence(F.lit(0), F.size(lines) - 1)
 
 
 def _joined(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, str]:
@@ -77,7 +83,7 @@ def _joined(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, str]:
     lost, names = covered(docs, doc_id, text), [free_name(docs, n) for n in ("doc_key", "text_key", "gone", "left_over")]
     lost = lost.select(F.col("doc_key").alias("k1"), F.col("text_key").alias("k2"), F.col("gone").alias("k3")).toDF(*names[:3])
     keyed = docs.withColumns(dict(zip(names[:2], keys(doc_id, text))))
-    return keyed.join(lost, names[:2], "left").withColumn(names[3], _without(F.col(text), F.col(names[2]))).drop(*names[:3]), names[3]
+    return keyed.join(lost, names[:2], "left").withColumn(names[3], _left_over(F.col(text), F.col(names[2]))).drop(*names[:3]), names[3]
 
 
 def line_report(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

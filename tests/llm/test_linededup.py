@@ -1,3 +1,5 @@
+import time
+
 import duckdb
 
 from conftest import make
@@ -27,3 +29,16 @@ def test_odd_rows(odd, empty):
     kept = linededup.drop_repeats(odd)
     assert kept.columns == odd.columns and kept.count() == odd.count() - 1
     assert linededup.line_report(empty).count() == 0 and linededup.drop_repeats(empty).count() == 0
+
+
+def test_no_python_worker_and_time_in_proportion(spark):
+    docs = make(spark, [(1, "a\nb\nc", "en", "s")])
+    plan = linededup.drop_repeats(docs)._jdf.queryExecution().toString()
+    assert "Python" not in plan and "Arrow" not in plan
+    block = "\n".join(f"line {i}\n" for i in range(40_000))
+    rows = [(1, block, "en", "s"), (2, "x\n" + block + "y é", "en", "s")]
+    start = time.monotonic()
+    got = {r["doc_id"]: (r["text"], r["n_lines"], r["n_removed"]) for r in linededup.line_report(make(spark, rows)).collect()}
+    assert got[1] == (block, 80_000, 0)
+    assert got[2] == ("x\n" + "\n" * 39_999 + "y é", 80_001, 40_000)
+    assert time.monotonic() - start < 60
