@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from semaspark.llm.words import Texts, chunks, gather, mix
+from semaspark.llm.words import SMALL_CHUNK, Texts, chunks, gather, mix
 
 SYMBOLS = 64
 MAX_LANGS = 63
@@ -81,7 +81,7 @@ def count_grams(docs: DataFrame, text: str, lang: str, slots: dict[str, int]) ->
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             codes = _codes(batch.column(1), slots)
-            for part in chunks(batch.column(0)):
+            for part in chunks(batch.column(0), SMALL_CHUNK):
                 start, end, of, n, _, _ = distinct_words(part, codes[part.first : part.last])
                 gram, word = word_symbols(part.data, start, end)
                 for slot in np.unique(of):

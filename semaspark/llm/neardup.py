@@ -31,7 +31,7 @@ from pyspark.sql import types as T
 
 from semaspark.llm.components import components
 from semaspark.llm.frames import free_name, salted_join, stage, table
-from semaspark.llm.words import Texts, chunks, in_row, mix, whole_windows, windows
+from semaspark.llm.words import SMALL_CHUNK, Texts, chunks, in_row, mix, whole_windows, windows
 
 SHINGLE = 5
 SKETCHES = 24
@@ -96,7 +96,7 @@ def _sketch(part: Texts) -> tuple[np.ndarray, np.ndarray]:
 
 @F.arrow_udf(SKETCH)
 def sketch(texts: pa.Array) -> pa.Array:
-    made = [_sketch(p) for p in chunks(texts)]
+    made = [_sketch(p) for p in chunks(texts, SMALL_CHUNK)]
     n = np.concatenate([m[0] for m in made]) if made else np.zeros(0, np.int64)
     values = np.concatenate([m[1] for m in made]) if made else np.zeros((0, SKETCHES), np.uint64)
     lists = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * SKETCHES), pa.array(values.view(np.int64).ravel()))
@@ -107,7 +107,7 @@ def sketch(texts: pa.Array) -> pa.Array:
 def word_codes(texts: pa.Array) -> pa.Array:
     """32-bit word hashes of each text, as bytes."""
     out: list[bytes] = []
-    for part in chunks(texts):
+    for part in chunks(texts, SMALL_CHUNK):
         start, end, row = part.words()
         code = (part.hashes(start, end) >> np.uint64(32)).astype("<u4")
         upto = np.searchsorted(row, np.arange(part.rows + 1))

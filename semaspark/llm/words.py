@@ -14,6 +14,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 CHUNK_BYTES = 2 << 20
+SMALL_CHUNK = 256 << 10  # for steps that keep many numbers a byte
 _P = np.uint64(0x9E3779B97F4A7C55)
 _Q = np.uint64(0xD6E8FEB86659FD93)
 _IS_SPACE = np.zeros(256, bool)
@@ -33,9 +34,11 @@ def mix(h: np.ndarray) -> np.ndarray:
 def _power(name: str, base: np.uint64, n: int) -> np.ndarray:
     have = _powers.get(name)
     if have is None or len(have) < n:
-        steps = np.full(max(n, CHUNK_BYTES + 1), base, np.uint64)
+        steps = np.full(max(n, SMALL_CHUNK + 2), base, np.uint64)
         steps[0] = 1
-        have = _powers[name] = np.cumprod(steps, dtype=np.uint64)
+        have = np.cumprod(steps, dtype=np.uint64)
+        if n <= CHUNK_BYTES + 1:  # those of one very long text are not kept in the worker
+            _powers[name] = have
     return have[:n]
 
 
