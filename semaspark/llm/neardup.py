@@ -12,7 +12,8 @@ Exact copies are collapsed before anything is compared. The texts that share one
 is compared with the others. Groups of copies thus become one class at one comparison a member. What shares a tuple across
 classes, such as texts with a common passage, is dealt anew by pairs of tuples; in the buckets that still hold several
 classes, growing random sets of leaders are compared with the members of other classes, until all members were leaders
-or one class is left. So no bucket is expanded into all pairs, and no candidate pair of different classes is left out.
+or one class is left. So no candidate pair of different classes is left out; the price is that a
+bucket of many texts that share a long passage without being near has about all its pairs compared, and some of them in several rounds.
 
 A class id is the least doc_id of its class. Texts without words (null, empty, blank) are each their own class. A row with
 a null doc_id gets the class of its exact copies, else null. Rows with equal doc_id count as one document. Empty tables
