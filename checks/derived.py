@@ -10,7 +10,7 @@ import json
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from checks.registry import table
+from checks.registry import spread, table
 from semaspark.functions.naming import INTERNAL_TABLES, RESERVED_WORDS
 from semaspark.sources.catalog import RAW_SCHEMA, Catalog, load_catalog, raw_catalog
 
@@ -83,7 +83,7 @@ def raw_catalogs(spark, sf) -> DataFrame:
     shape = "array<struct<" + RAW_SCHEMA.replace("db_id string, ", "").replace(" array", ": array") + ">>"
     shapes = F.from_json(F.lit(json.dumps(CATALOGS)), shape)
     at = (F.col("c_nationkey") % len(CATALOGS)).cast("int")
-    return table(spark, sf, "customer").select(
+    return spread(table(spark, sf, "customer").select("c_custkey", "c_nationkey")).select(
         F.concat(F.lit("db_"), "c_custkey").alias("db_id"), F.get(shapes, at).alias("s")).select("db_id", "s.*")
 
 
@@ -146,7 +146,7 @@ def log_catalog(spark, sf) -> Catalog:
     """Suppliers in debt have no catalog."""
     names = F.array(*[F.lit(t) for t in LOG_TABLES])
     columns = F.array(*[F.struct(F.lit(i).alias("table_idx"), F.lit(c).alias("name")) for i, _, c, _ in _LOG_COLUMNS])
-    return load_catalog(table(spark, sf, "supplier").filter("s_acctbal >= 0").select(
+    return load_catalog(spread(table(spark, sf, "supplier").filter("s_acctbal >= 0").select("s_suppkey")).select(
         F.concat(F.lit("db_"), "s_suppkey").alias("db_id"), names.alias("table_names_original"), columns.alias("column_names_original"),
         F.array(*[F.lit(x) for *_, x in _LOG_COLUMNS]).alias("column_types"), F.array().cast("array<int>").alias("primary_keys"),
         F.array().cast("array<struct<fk: int, pk: int>>").alias("foreign_keys")))

@@ -33,3 +33,9 @@ def xavg(expr: str, scale: int = 2) -> str:
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """The same rows over several tasks a core: a narrow table is a file of a few MB, which one task would read, and then all that
+    is made of its rows would stay in that task."""
+    return df.repartition(4 * df.sparkSession.sparkContext.defaultParallelism)

@@ -63,12 +63,14 @@ def name_tables(catalog: Catalog) -> tuple[DataFrame, bool]:
 
 def _with_names(queries: DataFrame, catalog: Catalog) -> DataFrame:
     """Each query with the names of its database; queries without a catalog drop out. Beyond what may be
-    sent to every executor, a busy database is dealt over ``SALTS`` tasks."""
+    sent to every executor, a busy database is dealt over ``SALTS`` tasks and both sides are sorted: the size that Spark
+    estimates knows nothing of the names in a row nor of the salts, so it would broadcast them all."""
     names, small = name_tables(catalog)
     if small:
         return queries.join(F.broadcast(names), "db_id")
     left = queries.withColumn("__salt", F.pmod(F.xxhash64("query_id"), F.lit(SALTS)).cast("int"))
-    return left.join(names.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["db_id", "__salt"]).drop("__salt")
+    salted = names.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return left.join(salted.hint("merge"), ["db_id", "__salt"]).drop("__salt")
 
 
 def _calls() -> Column:
@@ -115,7 +117,8 @@ def _equalities() -> Column:
 
 
 def _hits(queries: DataFrame, catalog: Catalog, what: str) -> DataFrame:
-    return mine(queries, catalog).select("db_id", F.explode(what).alias("x")).distinct()
+    # The outer form, because Spark tests beforehand whether a plain explode has anything, which decides all names of a text twice.
+    return mine(queries, catalog).select("db_id", F.explode_outer(what).alias("x")).filter("x is not null").distinct()
 
 
 def tables_used(queries: DataFrame, catalog: Catalog) -> DataFrame:
@@ -163,7 +166,7 @@ def facts(log: DataFrame, catalog: Catalog) -> DataFrame:
         F.array(fact("query")), F.transform("tables", lambda t: fact("table", t)), F.transform("columns", lambda c: fact("column", c["table_name"], c["column_name"])),
         F.transform("calls", lambda c: fact("call", c["table_name"], c["agg"], c["column_name"])),
         F.transform("joins", lambda j: fact("join", j["left_table"], j["left_col"], j["right_table"], j["right_col"])))
-    each = mine(distinct_queries(log), catalog).select("db_id", "copies", F.explode(said).alias("f")).select("db_id", "copies", "f.*")
+    each = mine(distinct_queries(log), catalog).select("db_id", "copies", F.explode_outer(said).alias("f")).filter("f is not null").select("db_id", "copies", "f.*")
     return each.groupBy("db_id", "kind", "a", "b", "c", "d").agg(F.sum("copies").alias("n"))
 
 

@@ -139,3 +139,20 @@ def test_names_that_are_too_many_to_send_are_salted(inputs, monkeypatch):
     sent = rows(W.columns_used(q, catalog)), rows(W.aggregates_used(q, catalog))
     monkeypatch.setattr(W, "BROADCAST_ROWS", 0)
     assert (rows(W.columns_used(q, catalog)), rows(W.aggregates_used(q, catalog))) == sent
+
+
+def test_many_names_are_not_broadcast(inputs, monkeypatch):
+    """Names beyond the limit meet the texts in a sorted join: with their salts they would not fit into the driver."""
+    log, catalog = inputs
+    few = rows(W.tables_used(W.distinct_queries(log), catalog))
+    monkeypatch.setattr(W, "BROADCAST_ROWS", 0)
+    many = W.tables_used(W.distinct_queries(log), catalog)
+    plan = many._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+    assert rows(many) == few
+
+
+def test_names_of_a_text_are_decided_once(inputs):
+    log, catalog = inputs
+    plan = W.tables_used(W.distinct_queries(log), catalog)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("size(transform") == 0 and plan.count("filter(names") == 1
