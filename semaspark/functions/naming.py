@@ -36,27 +36,30 @@ def _tidy(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(text, "_+", "_"), "^_|_$", "")
 
 
+def _bare(name: Column) -> Column:
+    plain = F.translate(F.regexp_replace(name, r"\([^)]*\)", ""), " -./\\'", "_____")
+    return F.regexp_replace(plain, "[^a-zA-Z0-9_]", "")
+
+
 def clean_identifier(name: Column) -> Column:
     """Letters, digits and single underscores only; parenthesised parts and quotes vanish."""
-    bare = F.translate(F.regexp_replace(name, r"\([^)]*\)", ""), " -./\\'", "_____")
-    return _tidy(F.regexp_replace(bare, "[^a-zA-Z0-9_]", ""))
+    return _tidy(_bare(name))
 
 
 def snake_case(name: Column, mode: str = "compat") -> Column:
     """``compat`` splits before every capital (``GNPOld`` -> ``g_n_p_old``), ``acronym`` keeps
     runs of capitals together (``gnp_old``)."""
-    clean = clean_identifier(name)
+    bare = _bare(name)
     if mode == "compat":
-        split = F.regexp_replace(clean, "([A-Z])", "_$1")
+        split = F.regexp_replace(bare, "([A-Z])", "_$1")
     elif mode == "acronym":
-        split = F.regexp_replace(F.regexp_replace(clean, "([A-Z]+)([A-Z][a-z])", "$1_$2"), "([a-z0-9])([A-Z])", "$1_$2")
+        split = F.regexp_replace(F.regexp_replace(bare, "([A-Z]+)([A-Z][a-z])", "$1_$2"), "([a-z0-9])([A-Z])", "$1_$2")
     else:
         raise ValueError("mode is compat or acronym")
     snake = _tidy(F.lower(split))
-    # Prefix and suffix are computed for every row, so the name itself is computed only once.
-    prefix = F.when(snake.rlike("^([0-9]|$)"), "col_").otherwise("")
-    suffix = F.when(is_reserved(snake), "_val").otherwise("")
-    return F.concat(prefix, snake, suffix)
+    # One chain of replacements: a condition on the name, repeated in a filter, would compute the name once per mention.
+    safe = F.regexp_replace(snake, rf"^({'|'.join(RESERVED_WORDS)})$", "$1_val")
+    return F.regexp_replace(safe, "^(?=[0-9]|$)", "col_")
 
 
 def source_name(table: Column, mode: str = "compat") -> Column:
