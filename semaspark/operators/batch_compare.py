@@ -27,7 +27,8 @@ def _salted_join(rows: DataFrame, per_question: DataFrame, spread: Column) -> Da
         return rows.join(per_question, keys)
     salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
     left = rows.withColumn("__salt", F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int"))
-    return left.join(per_question.withColumn("__salt", salts), [*keys, "__salt"]).drop("__salt")
+    # Sorted, because the size that Spark estimates knows nothing of the salts: it would broadcast them all.
+    return left.join(per_question.withColumn("__salt", salts).hint("merge"), [*keys, "__salt"]).drop("__salt")
 
 
 def early_verdicts(headers: DataFrame) -> DataFrame:
@@ -119,12 +120,12 @@ def equal_bags(placed: DataFrame) -> DataFrame:
 
 def _pair_prints(rows: DataFrame) -> DataFrame:
     """``question_id, side, i, j, fp, same`` for each two columns: a fingerprint of their pairs of values, and whether they are equal in
-    all rows. Two columns of a row are one row here, but pairs are summed in tasks first."""
-    n = F.size("vals")
-    later = lambda i: F.when(i + 1 < n, F.sequence(i + 1, n - 1)).otherwise(F.array().cast("array<int>"))
-    pairs = F.flatten(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.transform(
-        later(i), lambda j: F.struct(i.alias("i"), j.alias("j"), F.get("vals", i).alias("x"), F.get("vals", j).alias("y")))))
-    each = rows.select("question_id", "side", "pos", F.explode(pairs).alias("p")).select("question_id", "side", "pos", "p.*")
+    all rows. Two columns of a row are one row here, but pairs are summed in tasks first; what is unfolded are numbers of
+    pairs, so a row is not copied for them."""
+    n = F.size("vals").cast("bigint")
+    numbered = rows.filter("size(vals) > 1").select("question_id", "side", "pos", "vals", F.explode_outer(F.sequence(F.lit(0).cast("bigint"), n * n - 1)).alias("p"))
+    i, j = (F.col("p") / n).cast("int"), (F.col("p") % n).cast("int")
+    each = numbered.filter(i < j).select("question_id", "side", "pos", i.alias("i"), j.alias("j"), F.get("vals", i).alias("x"), F.get("vals", j).alias("y"))
     prints = each.groupBy("question_id", "side", "i", "j").agg(
         fingerprint(F.col("pos"), F.col("x"), F.col("y")).alias("xy"), fingerprint(F.col("pos"), F.col("y"), F.col("x")).alias("yx"), F.bool_and(F.col("x") == F.col("y")).alias("same"))
     both = F.explode(F.array(F.struct("i", "j", F.col("xy").alias("fp")), F.struct(F.col("j").alias("i"), F.col("i").alias("j"), F.col("yx").alias("fp")))).alias("p")
