@@ -21,18 +21,22 @@ _STATE = ("struct<stack: array<struct<scope: int, mode: string>>, n: int, pendin
 
 
 def _kind(t: Column) -> Column:
+    """What a token is. Its first character tells strings and comments from words, and of the words only pairs have a dot."""
     return (F.when(t == "(", "open").when(t == ")", "close").when(t == ",", "comma").when(t.isin("=", "=="), "equal").when(t == "select", "select")
             .when(t.isin("from", "join"), "from").when(t.isin("on", "using"), "on").when(t.isin(*ENDS), "end").when(t.isin(*HOW), "how")
-            .when(t.rlike(r"(?U)\A\w+\s*\.\s*\w+\z"), "pair").when(t.rlike(r"(?U)\A\w+\z"), "name").otherwise("other"))
+            .when(F.left(t, F.lit(1)).isin("'", '"', "-", "/", "<", ">", "!", "="), "other").when(t.contains("."), "pair").otherwise("name"))
 
 
 def _tokens(sql: Column) -> Column:
-    def parts(t: Column) -> Column:
-        kind = _kind(t)
-        return F.struct(kind.alias("kind"), F.when(kind == "pair", F.regexp_extract(t, r"(?U)\A\w+", 0)).otherwise(t).alias("a"),
-                        F.when(kind == "pair", F.regexp_extract(t, r"(?U)\w+\z", 0)).alias("b"))
+    # The kind in a step of its own: it is asked three times below.
+    kinds = F.transform(F.regexp_extract_all(sql, F.lit(_TOKENS), 0), lambda t: F.struct(_kind(t).alias("kind"), t.alias("t")))
 
-    return F.transform(F.regexp_extract_all(sql, F.lit(_TOKENS), 0), parts)
+    def parts(x: Column) -> Column:
+        pair = x["kind"] == "pair"
+        return F.struct(x["kind"].alias("kind"), F.when(pair, F.regexp_extract(x["t"], r"(?U)\A\w+", 0)).otherwise(x["t"]).alias("a"),
+                        F.when(pair, F.regexp_extract(x["t"], r"(?U)\w+\z", 0)).alias("b"))
+
+    return F.transform(kinds, parts)
 
 
 def _step(acc: Column, tok: Column) -> Column:
@@ -69,7 +73,7 @@ def _step(acc: Column, tok: Column) -> Column:
     left = F.when(kind == "pair", F.struct(tok["a"].alias("a"), tok["b"].alias("b"))).when(kind == "equal", acc["left"])
     return F.struct(after.alias("stack"), (acc["n"] + (kind == "select").cast("int")).alias("n"), pending.alias("pending"),
                     F.when(names | alias, F.array_append(acc["binds"], bound)).otherwise(acc["binds"]).alias("binds"),
-                    F.when(met, F.array_append(acc["refs"], ref)).otherwise(acc["refs"]).alias("refs"), left.alias("left"), (kind == "equal").alias("equal")).cast(_STATE)
+                    F.when(met, F.array_append(acc["refs"], ref)).otherwise(acc["refs"]).alias("refs"), left.alias("left"), (kind == "equal").alias("equal"))
 
 
 def _finish(acc: Column) -> Column:

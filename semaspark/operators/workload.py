@@ -140,7 +140,8 @@ def joins_used(queries: DataFrame, catalog: Catalog, resolve_aliases: bool = Fal
     Aliases mean what the nearest scope of the same text binds them to, so this stays inside the row."""
     if not resolve_aliases:
         return _hits(queries, catalog, "joins").select("db_id", "x.*")
-    found = queries.select("db_id", F.explode(equalities(F.col("sql"))).alias("m"))
+    # Only texts with both signs can have one. The outer form reads the tokens of a text once; a plain explode is tested beforehand.
+    found = queries.filter(F.col("sql").contains("=") & F.col("sql").contains(".")).select("db_id", F.explode_outer(equalities(F.col("sql"))).alias("m")).filter("m is not null")
     found = found.select("db_id", F.explode("m.t1").alias("t1"), "m.c1", F.col("m.t2").alias("others"), "m.c2")
     found = found.select("db_id", "t1", "c1", F.explode("others").alias("t2"), "c2")
     swap = F.col("t1") > F.col("t2")

@@ -1,6 +1,7 @@
 from pyspark.sql import functions as F
 
 from checks.derived import log_catalog, raw_catalogs
+from semaspark.sources.catalog import Catalog
 
 
 def test_databases_are_spread_over_tasks(spark, tmp_path):
@@ -19,3 +20,33 @@ def test_name_is_computed_once_in_a_filter(spark):
     plan = derive_dimensions(columns)._jdf.queryExecution().optimizedPlan().toString()
     condition = next(line for line in plan.split("\n") if "Filter" in line)
     assert condition.count("translate(") == 1
+
+
+def test_rows_are_dealt_over_more_tasks_where_there_are_more(spark):
+    from checks.compare_checks import _dealt
+
+    assert [_dealt(spark.range(0, 100, 1, n)).rdd.getNumPartitions() for n in (1, 20)] == [5, 40]
+
+
+def test_tokens_of_a_text_are_read_once(spark):
+    from semaspark.operators.workload import distinct_queries, joins_used
+
+    log = spark.createDataFrame([("db_1", "SELECT 1 FROM a x JOIN b y ON x.k = y.k")], "db_id string, query string")
+    tables = spark.createDataFrame([("db_1", 0, "a"), ("db_1", 1, "b")], "db_id string, table_idx int, table_name string")
+    found = joins_used(distinct_queries(log), Catalog(tables, tables, tables, tables), resolve_aliases=True)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("aggregate(transform(") == 1
+    assert [tuple(r) for r in found.collect()] == [("db_1", "a", "k", "b", "k")]
+
+
+def test_pairs_of_columns_unfold_numbers(spark):
+    from semaspark.operators.batch_compare import _pair_prints
+
+    data = [(1, side, None, vals) for side in ("gold", "pred") for vals in (["a", "b", "a"], ["c", "c", "c"])] + [(2, "gold", None, ["a"])]
+    rows = spark.createDataFrame(data, "question_id int, side string, pos bigint, vals array<string>")
+    prints = _pair_prints(rows)
+    assert "flatten" not in prints._jdf.queryExecution().optimizedPlan().toString()
+    found = {(r["question_id"], r["side"], r["i"], r["j"]): (r["same"], tuple(r["fp"])) for r in prints.collect()}
+    assert set(found) == {(1, side, i, j) for side in ("gold", "pred") for i in range(3) for j in range(3) if i != j}
+    assert {(i, j): same for (_, side, i, j), (same, _) in found.items() if side == "gold"} == {
+        (0, 1): False, (1, 0): False, (0, 2): True, (2, 0): True, (1, 2): False, (2, 1): False}
+    assert found[1, "gold", 0, 1] == found[1, "pred", 0, 1] == found[1, "gold", 2, 1] != found[1, "gold", 1, 0]
