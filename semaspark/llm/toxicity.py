@@ -21,6 +21,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 from hashlib import md5
 
@@ -91,6 +92,56 @@ def _symbols(text: str) -> tuple[int, ...]:
     return tuple(0 if c == " " else int(table_[min(ord(c), 65535)]) for c in text)
 
 
+@dataclass
+class Spellings:
+    """Distinct words in lower case without the signs of EDGE, as code points. Those of ``letters`` have letters only, none three times
+    in a row; ``plain`` ones have none twice in a row either."""
+
+    texts: list[str]
+    points: np.ndarray
+    start: np.ndarray
+    end: np.ndarray
+    letters: np.ndarray
+    plain: np.ndarray
+
+    @staticmethod
+    def of(words: list[str]) -> Spellings:
+        texts = [w.strip(EDGE) for w in "\n".join(words).lower().split("\n")] if words else []
+        points = np.frombuffer("\n".join([*texts, ""]).encode("utf-32-le"), np.uint32)
+        end = np.flatnonzero(points == 10)
+        start = np.concatenate(([0], end[:-1] + 1)) if len(end) else end
+        upto = np.concatenate(([0], np.cumsum(~_is_letter(points))))
+        same = np.concatenate((points[1:] == points[:-1], [False]))[: len(points)]
+        twice = np.concatenate(([0], np.cumsum(same)))
+        thrice = np.concatenate(([0], np.cumsum(same & np.concatenate((same[1:], [False]))[: len(same)])))
+        letters = (end > start) & (upto[end] == upto[start]) & (thrice[end] == thrice[start])
+        return Spellings(texts, points, start, end, letters, letters & (twice[end] == twice[start]))
+
+    def ends(self) -> tuple[np.ndarray, np.ndarray]:
+        """What Restorer._ends gives for words of letters, not doubled at their first or last place, and which these are."""
+        at, size = np.flatnonzero(self.letters), self.end - self.start
+        first, last = self.start[at], self.end[at] - 1
+        wide, one = size[at] > 1, np.minimum(1, size[at] - 1)
+        four = self.points[np.stack([first, first + one, last - one, last], 1)]
+        out, sure = np.zeros((len(size), 4), np.int64), np.zeros(len(size), bool)
+        out[at] = symbol_table()[np.minimum(four, 65535)]
+        out[at[~wide], 1:3] = 0
+        sure[at] = ~wide | ((four[:, 0] != four[:, 1]) & (four[:, 2] != four[:, 3]))
+        return out, sure
+
+
+_letters: list[np.ndarray] = []
+
+
+def _is_letter(points: np.ndarray) -> np.ndarray:
+    if not _letters:
+        _letters.append(np.array([chr(c).isalpha() for c in range(65536)], bool))
+    out = _letters[0][np.minimum(points, 65535)]
+    for i in np.flatnonzero(points > 65535).tolist():
+        out[i] = chr(points[i]).isalpha()
+    return out
+
+
 class Restorer:
     def __init__(self, log_p: np.ndarray) -> None:
         self.table = log_p.reshape(SYMBOLS, SYMBOLS, SYMBOLS)
@@ -102,10 +153,10 @@ class Restorer:
 
     def restore(self, word: str) -> str:
         """The likeliest spelling; several words are joined by spaces. Long words are decoded like others, but not remembered."""
-        return (self._remember if len(word) <= REMEMBERED else self._restore)(word)
-
-    def _restore(self, word: str) -> str:
         low = word.lower().strip(EDGE)
+        return (self._remember if len(low) <= REMEMBERED else self._restore)(low)
+
+    def _restore(self, low: str) -> str:
         if not low.isalpha():
             return self._decode(low, frozenset()) if low else low
         if not _TWICE.search(low):
@@ -114,8 +165,13 @@ class Restorer:
 
     def _undouble(self, word: str) -> str:
         """What _decode gives for letters with doubled ones: trigrams make each choice depend on the letters next to it only."""
+        symbol = self.symbol
+
         def single(m: re.Match) -> str:
-            y, c, z = (_symbols(x)[0] if x else 0 for x in (word[max(m.start() - 1, 0) : m.start()], m[1], word[m.end() : m.end() + 1]))
+            a, b = m.span()
+            y = symbol[min(ord(word[a - 1]), 65535)] if a else 0
+            c = symbol[min(ord(m[1]), 65535)]
+            z = symbol[min(ord(word[b]), 65535)] if b < len(word) else 0
             two = (y * SYMBOLS + c) * SYMBOLS
             gain = self.log_p[two + z] - self.log_p[two + c] - self.log_p[(c * SYMBOLS + c) * SYMBOLS + z]
             return m[1] if gain + TWICE_COST > 0 else m[0]
@@ -143,6 +199,10 @@ class Restorer:
         log_p = self.log_p
         paths: dict[int, tuple[float, tuple]] = {0: (0.0, ())}  # by 64 times the symbol before the last and the last one
         for options in pieces:
+            if len(options) == 1 and len(paths) == 1 and len(options[0][0]) == 1:  # one letter after one state: nothing to choose
+                (((s,), out, cost),), ((state, (score, before)),) = options, paths.items()
+                paths = {state % SYMBOLS * SYMBOLS + s if s else 0: (score + cost + log_p[state * SYMBOLS + s], (before, out) if out else before)}
+                continue
             after: dict[int, tuple[float, tuple]] = {}
             for symbols, out, cost in options:
                 for state, (score, before) in paths.items():
@@ -164,8 +224,8 @@ class Restorer:
     def readings(self, word: str) -> set[str]:
         """The words that a word stands for: as restored, as it is if it has letters only, and, where look-alike signs end it,
         with these as letters and as nothing."""
-        found = {self.restore(word)}
         low = word.lower().strip(EDGE)
+        found = {self.restore(low)}
         if low.isalpha():
             found.add(low)
         elif low:
@@ -177,7 +237,8 @@ class Restorer:
         return {x for w in found for x in w.split(" ")}
 
     def features(self, word: str) -> tuple[str, ...]:
-        return (self._remember_features if len(word) <= REMEMBERED else self._features)(word)
+        low = word.lower().strip(EDGE)
+        return (self._remember_features if len(low) <= REMEMBERED else self._features)(low)
 
     def _features(self, word: str) -> tuple[str, ...]:
         if _PLAIN.fullmatch(word) and not _TWICE.search(word):
@@ -192,15 +253,16 @@ class Restorer:
         s = [self.symbol[min(ord(c), 65535)] for c in text[:2] + text[-2:]]
         return (s[0], s[1], s[-2], s[-1]) if len(text) > 1 else (s[0], 0, 0, s[0])
 
-    def _all_ends(self, words: list[str], data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """_ends of all words, where the four characters are ASCII letters as they are written."""
+    def _all_ends(self, spelled: Spellings, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """_ends of all words: of four ASCII letters as they are written, of other words of letters as they are spelled."""
         wide = end - start > 1
         four = np.stack([data[start], data[np.where(wide, start + 1, start)], data[np.where(wide, end - 2, start)], data[end - 1]], 1)
         low = four | 32
-        plain = wide & ((low >= 97) & (low <= 122) & (four < 128)).all(1)
-        out = low.astype(np.int64) - 96
-        for i in np.flatnonzero(~plain).tolist():
-            out[i] = self._ends(words[i])
+        written = wide & ((low >= 97) & (low <= 122) & (four < 128)).all(1)
+        out, sure = spelled.ends()
+        out[written] = low[written].astype(np.int64) - 96
+        for i in np.flatnonzero(~(written | sure)).tolist():
+            out[i] = self._ends(spelled.texts[i])
         return out
 
     def _seams(self, ends: np.ndarray, row: np.ndarray, single: np.ndarray) -> np.ndarray:
@@ -214,13 +276,19 @@ class Restorer:
     def words(self, part: Texts) -> tuple[list[str], np.ndarray, np.ndarray]:
         """Distinct words of a chunk, which of them stand in the text, and their rows; what spaced words and parts of words
         may be together is added to both."""
+        return self._words(part)[:3]
+
+    def _words(self, part: Texts) -> tuple[list[str], np.ndarray, np.ndarray, Spellings]:
+        """``words``, and how those are spelled that stand in the text: they come first."""
         start, end, row = part.words()
         _, first, which = np.unique(part.hashes(start, end), return_index=True, return_inverse=True)
-        words = gather(part.data, start[first], end[first]).tobytes().decode("utf-8", "replace").split("\n")[:-1]
+        start, end = start[first], end[first]
+        words = gather(part.data, start, end).tobytes().decode("utf-8", "replace").split("\n")[:-1]
+        spelled = Spellings.of(words)
         if len(which) < 2:
-            return words, which, row
+            return words, which, row, spelled
         single = np.array([len(w) == 1 or len(w.strip(EDGE)) == 1 for w in words], bool)[which]
-        joins = self._seams(self._all_ends(words, part.data, start[first], end[first])[which], row, single)
+        joins = self._seams(self._all_ends(spelled, part.data, start, end)[which], row, single)
         edges = np.flatnonzero(np.diff(np.concatenate(([False], joins, [False])).astype(np.int8)))
         extra, rows = [], []
         for a, b in zip(edges[::2].tolist(), (edges[1::2] + 1).tolist()):
@@ -242,7 +310,7 @@ class Restorer:
             found.discard("")
             extra += found
             rows += [int(row[a])] * len(found)
-        return words + extra, np.concatenate((which, np.arange(len(words), len(words) + len(extra)))), np.concatenate((row, np.array(rows, row.dtype)))
+        return words + extra, np.concatenate((which, np.arange(len(words), len(words) + len(extra)))), np.concatenate((row, np.array(rows, row.dtype))), spelled
 
 
 _restorers: dict[bytes, Restorer] = {}
@@ -263,16 +331,70 @@ def character_model(docs: DataFrame, text: str = "text") -> np.ndarray:
     return models[0].score(np.arange(GRAMS)) if models else np.full(GRAMS, -np.log10(SYMBOLS))
 
 
-def _row_features(restorer: Restorer, part: Texts, wanted: dict[str, int] | None) -> tuple[np.ndarray, list | np.ndarray]:
+@dataclass
+class Wanted:
+    """Features by number, and sorted hashes of their letters: of whole words (0), and of beginnings by their length."""
+
+    names: dict[str, int]
+    hashed: dict[int, tuple[np.ndarray, np.ndarray]]
+
+    @staticmethod
+    def of(names: dict[str, int]) -> Wanted:
+        hashed = {}
+        for k in (0, *PREFIXES):
+            texts = [f for f in names if (len(f) == k + 1 and f.endswith("~") if k else not f.endswith("~"))]
+            spelled = [f[:-1] if k else f for f in texts]
+            points = np.frombuffer("".join(spelled).encode("utf-32-le"), np.uint32)
+            bounds = np.cumsum([0, *map(len, spelled)])
+            key = Texts(0, len(texts), points, bounds).hashes(bounds[:-1], bounds[1:])
+            order = np.argsort(key)
+            hashed[k] = key[order], np.array([names[f] for f in texts], np.int64)[order]
+        return Wanted(names, hashed)
+
+    def plain(self, spelled: Spellings) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs of a plain word and a feature of it, found by hashes."""
+        words, found = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        all_points = Texts(0, 1, spelled.points, np.array([0, len(spelled.points)]))
+        for k, (keys, numbers) in self.hashed.items():
+            at = np.flatnonzero(spelled.plain & (spelled.end - spelled.start > max(k, 2)))
+            if not len(keys) or not len(at):
+                continue
+            key = all_points.hashes(spelled.start[at], spelled.start[at] + k if k else spelled.end[at])
+            where = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+            hit = keys[where] == key
+            words.append(at[hit])
+            found.append(numbers[where[hit]])
+        return np.concatenate(words), np.concatenate(found)
+
+
+def _row_features(restorer: Restorer, part: Texts, wanted: Wanted | None) -> tuple[np.ndarray, list | np.ndarray]:
     """Distinct (row, feature) pairs; with ``wanted`` features are its numbers, else texts."""
-    words, which, row = restorer.words(part)
-    each = [restorer.features(w) for w in words]
+    words, which, row, spelled = restorer._words(part)
+    if wanted is None:
+        numbers: dict[str, int] = {}
+        each = [[numbers.setdefault(f, len(numbers)) for f in restorer.features(w)] for w in words]
+        word, feature = np.repeat(np.arange(len(each)), [len(f) for f in each]), np.array([f for fs in each for f in fs], np.int64)
+    else:
+        numbers = wanted.names
+        word, feature = wanted.plain(spelled)
+        rest = [*np.flatnonzero(~spelled.plain).tolist(), *range(len(spelled.plain), len(words))]
+        more = [(i, numbers[f]) for i in rest for f in restorer.features(words[i]) if f in numbers]
+        if more:
+            word, feature = (np.concatenate((x, y)) for x, y in zip((word, feature), np.array(more, np.int64).T))
+        order = np.argsort(word, kind="stable")
+        word, feature = word[order], feature[order]
+    count = np.bincount(word, minlength=len(words))
+    mine = count[which] > 0 if len(which) else np.zeros(0, bool)
+    places = np.unique(row[mine].astype(np.int64) * len(words) + which[mine])
+    rows, at = places // max(len(words), 1), places % max(len(words), 1)
+    begin, many = (np.cumsum(count) - count)[at], count[at]
+    got = feature[np.repeat(begin - np.cumsum(many) + many, many) + np.arange(many.sum())]
+    pairs = np.unique(np.repeat(rows, many) * max(len(numbers), 1) + got)
+    rows, got = pairs // max(len(numbers), 1), pairs % max(len(numbers), 1)
     if wanted is not None:
-        each = [[wanted[f] for f in fs if f in wanted] for fs in each]
-    has = np.array([bool(f) for f in each], bool)
-    mine = has[which] if len(has) else np.zeros(0, bool)
-    pairs = {(r, f) for r, w in set(zip(row[mine].tolist(), which[mine].tolist())) for f in each[w]}
-    return np.array([p[0] for p in pairs], np.int64), [p[1] for p in pairs]
+        return rows, got
+    names = list(numbers)
+    return rows, [names[f] for f in got.tolist()]
 
 
 def _count_features(sample: DataFrame, sent) -> DataFrame:
@@ -334,11 +456,11 @@ def fit(docs: DataFrame, labels: DataFrame, log_p: np.ndarray, doc_id: str = "do
     wanted = {f: i for i, f in enumerate(_best_features(_count_features(rows, sent), n_pos, n_neg, FEATURES))}
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        restorer = _restorer(sent)
+        restorer, names = _restorer(sent), Wanted.of(wanted)
         for batch in batches:
             found: list[list[int]] = [[] for _ in range(batch.num_rows)]
             for part in chunks(batch.column(0)):
-                for r, f in zip(*_row_features(restorer, part, wanted)):
+                for r, f in zip(*(x.tolist() for x in _row_features(restorer, part, names))):
                     found[r + part.first].append(f)
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(found, pa.list_(pa.int32()))], ["label", "features"])
 
@@ -356,10 +478,11 @@ def score(docs: DataFrame, log_p: np.ndarray, wanted: dict[str, int], weights: n
     @F.arrow_udf("double")
     def scored(texts: pa.Array) -> pa.Array:
         restorer, (names, w) = _restorer(sent), model.value
+        names = Wanted.of(names)
         out = np.full(len(texts), w[-1])
         for part in chunks(texts):
             row, feature = _row_features(restorer, part, names)
-            np.add.at(out, row + part.first, w[np.array(feature, np.int64)])
+            np.add.at(out, row + part.first, w[feature])
         return pa.array(1 / (1 + np.exp(-np.clip(out, -500, 500))))
 
     return scored(F.col(text))

@@ -60,3 +60,19 @@ def test_odd_rows(spark, odd, empty):
     log_p = toxicity.character_model(empty)
     wanted, weights = toxicity.fit(empty, labels, log_p)
     assert empty.select(toxicity.score(empty, log_p, wanted, weights)).count() == 0
+
+
+def test_plain_words_are_found_by_hash(restorer, monkeypatch):
+    texts = ["The Cat, (sat) on: 'été' a Straße. ÉLAN x", "stuupid l.o.s.e.r 1d10t coffee! b a d a$$ İ ⅷ", "", None, "The"]
+    part = next(toxicity.chunks(toxicity.pa.array(texts)))
+    words, which, row = restorer.words(part)
+    slow = {(r, f) for r, w in zip(row.tolist(), which.tolist()) for f in restorer.features(words[w])}
+    assert set(zip(*(list(x) for x in toxicity._row_features(restorer, part, None)))) == slow
+    names = {f: i for i, f in enumerate(sorted({f for _, f in slow}))}
+    rows, features = toxicity._row_features(restorer, part, toxicity.Wanted.of(names))
+    assert sorted(zip(rows.tolist(), features.tolist())) == sorted((r, names[f]) for r, f in slow)
+    asked = []
+    monkeypatch.setattr(restorer, "features", lambda w: asked.append(w) or ())
+    monkeypatch.setattr(restorer, "_ends", lambda w: asked.append(w) or (0, 0, 0, 0))
+    toxicity._row_features(restorer, next(toxicity.chunks(toxicity.pa.array(["The", "Cat,", "[sat]", "Straße.", "ÉLAN", "a"]))), toxicity.Wanted.of(names))
+    assert asked == []
