@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from semaspark.functions.normalize import normalize
-from semaspark.operators.compare import GOLD, PRED, _tagged, fingerprint
+from semaspark.operators.compare import GOLD, PRED, _tagged, fingerprint, hash_pair
 from semaspark.session import cut_lineage, sized
 
 SALTS = 32
@@ -67,13 +67,13 @@ def compare_rows(headers: DataFrame, rows: DataFrame) -> DataFrame:
     open_questions = early.filter("match is null").select("question_id", "ordered")
     rows = cut_lineage(_salted_join(rows, open_questions, F.xxhash64("side", "pos")))
     slots = _column_slots(rows)
-    comparable = slots.filter("comparable")
-    placed = _salted_join(rows, comparable, F.xxhash64("side", "pos")).select(
-        "question_id", "side", F.when(F.col("ordered"), F.col("pos")).alias("pos"),
-        F.transform(F.when(F.col("side") == GOLD, F.col("gold_cols")).otherwise(F.col("pred_cols")),
-                    lambda i: F.element_at("vals", i + 1)).alias("vals"))
-    equal = equal_bags(placed)
-    done = comparable.select("question_id", "classes", "n_single", "ambiguous").join(equal, "question_id")
+    comparable = cut_lineage(slots.filter("comparable"))
+    # Rows of a guessed order of columns are dealt by value only where fingerprints of the whole rows agree.
+    guessed = comparable.filter("ambiguous")
+    unlike = cut_lineage(_unlike(_placed(rows, guessed))) if not guessed.isEmpty() else guessed.select("question_id")
+    equal = equal_bags(_placed(rows, comparable.join(unlike, "question_id", "left_anti")))
+    placed = _placed(rows, guessed)
+    done = comparable.select("question_id", "classes", "n_single", "ambiguous").join(equal, "question_id", "left").withColumn("equal", F.coalesce("equal", F.lit(False)))
     done = cut_lineage(done)
     unclear = done.filter("ambiguous and not equal").select("question_id", "classes")
     verdict = done.select("question_id", "equal")
@@ -85,6 +85,20 @@ def compare_rows(headers: DataFrame, rows: DataFrame) -> DataFrame:
         "question_id", F.coalesce("match", "equal", F.lit(False)).alias("match"), "error")
 
 
+def _placed(rows: DataFrame, slots: DataFrame) -> DataFrame:
+    """Rows of the questions of ``slots`` with their columns in slot order."""
+    return _salted_join(rows, slots, F.xxhash64("side", "pos")).select(
+        "question_id", "side", F.when(F.col("ordered"), F.col("pos")).alias("pos"),
+        F.transform(F.when(F.col("side") == GOLD, F.col("gold_cols")).otherwise(F.col("pred_cols")),
+                    lambda i: F.element_at("vals", i + 1)).alias("vals"))
+
+
+def _unlike(placed: DataFrame) -> DataFrame:
+    """``question_id`` where the fingerprints of all rows of the two sides differ, so that their bags differ."""
+    one = [F.sum(F.when(F.col("side") == GOLD, x).otherwise(-x)) for x in (F.shiftright(h, 44) for h in hash_pair(F.col("pos"), F.col("vals")))]
+    return placed.groupBy("question_id").agg(((one[0] != 0) | (one[1] != 0)).alias("differ")).filter("differ").select("question_id")
+
+
 def _column_slots(rows: DataFrame) -> DataFrame:
     """Per question, the columns of each side in an order that fingerprints agree on: columns
     whose bag of values is unique come first, then groups of columns with equal bags."""
@@ -122,10 +136,12 @@ def _pair_prints(rows: DataFrame) -> DataFrame:
     """``question_id, side, i, j, fp, same`` for each two columns: a fingerprint of their pairs of values, and whether they are equal in
     all rows. Two columns of a row are one row here, but pairs are summed in tasks first; what is unfolded are numbers of
     pairs, so a row is not copied for them."""
-    n = F.size("vals").cast("bigint")
-    numbered = rows.filter("size(vals) > 1").select("question_id", "side", "pos", "vals", F.explode_outer(F.sequence(F.lit(0).cast("bigint"), n * n - 1)).alias("p"))
-    i, j = (F.col("p") / n).cast("int"), (F.col("p") % n).cast("int")
-    each = numbered.filter(i < j).select("question_id", "side", "pos", i.alias("i"), j.alias("j"), F.get("vals", i).alias("x"), F.get("vals", j).alias("y"))
+    n, p = F.size("vals").cast("bigint"), F.col("p")
+    pairs = F.floor(n * (n - 1) / 2)
+    numbered = rows.filter("size(vals) > 1").select("question_id", "side", "pos", "vals", F.explode_outer(F.sequence(F.lit(0).cast("bigint"), pairs - 1)).alias("p"))
+    j = F.floor((1 + F.sqrt(1 + 8 * p)) / 2).cast("int")  # pairs in the order (0, 1), (0, 2), (1, 2), (0, 3) and so on
+    i = (p - F.floor(j.cast("bigint") * (j - 1) / 2)).cast("int")
+    each = numbered.select("question_id", "side", "pos", i.alias("i"), j.alias("j"), F.get("vals", i).alias("x"), F.get("vals", j).alias("y"))
     prints = each.groupBy("question_id", "side", "i", "j").agg(
         fingerprint(F.col("pos"), F.col("x"), F.col("y")).alias("xy"), fingerprint(F.col("pos"), F.col("y"), F.col("x")).alias("yx"), F.bool_and(F.col("x") == F.col("y")).alias("same"))
     both = F.explode(F.array(F.struct("i", "j", F.col("xy").alias("fp")), F.struct(F.col("j").alias("i"), F.col("i").alias("j"), F.col("yx").alias("fp")))).alias("p")

@@ -285,3 +285,23 @@ def test_doubles_of_any_size_have_all_their_digits(spark):
     odd = spark.createDataFrame([(float("inf"),), (float("nan"),), (float("-inf"),)], "d double")
     assert [r[0] for r in normalize_frame(odd).collect()] == ["n:Infinity", "n:NaN", "n:-Infinity"]
     assert C.result_equal(df.select("d"), df.select("t")) and not C.result_equal(df.select("d"), df.select((F.col("d") * 2).alias("t")))
+
+
+def test_rows_of_a_wrong_guess_are_not_dealt_by_value(spark, monkeypatch):
+    from semaspark.operators import batch_compare as B
+
+    def side(q, name, rows):
+        return [(q, name, i, list(r)) for i, r in enumerate(rows)]
+
+    gold = [("x", "y", "0"), ("y", "x", "1"), ("u", "v", "0"), ("v", "u", "1")]
+    turned = [(b, a, c) for a, b, c in gold]
+    mixed = gold[:2] + turned[2:]
+    rows = spark.createDataFrame([r for q, pred in (("same", gold), ("turned", turned), ("mixed", mixed)) for r in side(q, "gold", gold) + side(q, "pred", pred)],
+                                 "question_id string, side string, pos long, vals array<string>").withColumn("pos", F.xxhash64("vals"))
+    heads = rows.groupBy("question_id", "side").agg(F.count("*").alias("n_rows"), F.lit(3).alias("n_cols"), F.lit(None).cast("string").alias("error"), F.lit(False).alias("ordered"))
+    dealt, real = [], B.equal_bags
+    monkeypatch.setattr(B, "equal_bags", lambda placed: dealt.append({r[0] for r in placed.select("question_id").distinct().collect()}) or real(placed))
+    assert {r["question_id"]: r["match"] for r in B.compare_rows(heads, rows).collect()} == {"same": True, "turned": True, "mixed": False}
+    assert len(dealt[0]) < 3 and "mixed" not in dealt[0]
+    made = B._pair_prints(rows.select("question_id", "side", "pos", F.concat("vals", "vals", "vals").alias("vals")))
+    assert {(r["i"], r["j"]) for r in made.select("i", "j").distinct().collect()} == {(i, j) for i in range(9) for j in range(9) if i != j}
