@@ -12,7 +12,9 @@ All sets of one size are counted in one pass over the target, all ways in one pa
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 from itertools import combinations, product
+from operator import and_
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,29 +33,48 @@ def candidate_pairs(catalog: Catalog) -> DataFrame:
     return grouped.filter(F.size(F.array_distinct(F.transform("pairs", lambda p: p["dst_column"]))) > 1)
 
 
+_WHOLE = ("tinyint", "smallint", "int", "bigint")
+
+
+def _kind(df: DataFrame, column: str) -> str:
+    """The type that values of a column are compared in: whole numbers as long, texts and dates as they are, others by their text."""
+    kind = df.select(F.col(quoted(column))).schema[0].dataType.simpleString()
+    return "bigint" if kind in _WHOLE else kind if kind in ("date", "boolean") else "string"
+
+
 def smallest_keys(df: DataFrame, columns: list[str]) -> list[tuple[str, ...]]:
     """The smallest sets of ``columns`` whose values, where none is null, are unique."""
     keys: list[tuple[str, ...]] = []
+    names = {c: f"c{i}" for i, c in enumerate(columns)}
+    values = df.select(*[F.col(quoted(c)).cast(_kind(df, c)).alias(n) for c, n in names.items()])
     for size in range(1, len(columns) + 1):
         sets = [s for s in combinations(columns, size) if not any(set(k) <= set(s) for k in keys)]
         if not sets:
             break
         # A row goes once per set; equal values meet after each task has counted its own.
-        tagged = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.array(*[F.col(quoted(c)).cast("string") for c in s]).alias("v")) for i, s in enumerate(sets)]))
-        values = df.select(tagged.alias("t")).select("t.i", "t.v").filter(~F.exists("v", lambda x: x.isNull()))
-        repeated = {r["i"] for r in values.groupBy("i", "v").count().filter("count > 1").select("i").distinct().collect()}
-        keys += [s for i, s in enumerate(sets) if i not in repeated]
+        each = values.groupingSets([[F.col(names[c]) for c in s] for s in sets], *names.values())
+        counted = each.agg(F.count("*").alias("n"), *[F.grouping(n).alias(f"{n}_out") for n in names.values()])
+        whole = reduce(and_, [F.col(n).isNotNull() | (F.col(f"{n}_out") == 1) for n in names.values()])
+        used = F.array_compact(F.array(*[F.when(F.col(f"{n}_out") == 0, F.lit(n)) for n in names.values()]))
+        repeated = {tuple(r["used"]) for r in counted.filter((F.col("n") > 1) & whole).select(used.alias("used")).distinct().collect()}
+        keys += [s for s in sets if tuple(sorted((names[c] for c in s), key=list(names.values()).index)) not in repeated]
     return keys
 
 
 def inclusion_counts(source: DataFrame, target: DataFrame, key: tuple[str, ...], ways: list[tuple[str, ...]]) -> list[tuple[int, int]]:
     """For each way to refer to ``key``: rows without a null in it, and how many of them are found in the target."""
-    tagged = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.array(*[F.col(quoted(c)).cast("string") for c in way]).alias("v")) for i, way in enumerate(ways)]))
-    asked = source.select(tagged.alias("t")).select("t.i", "t.v").filter(~F.exists("v", lambda x: x.isNull())).groupBy("i", "v").agg(F.count("*").alias("n"))
-    there = target.select(F.array(*[F.col(quoted(c)).cast("string") for c in key]).alias("v"), F.lit(True).alias("there")).distinct()
-    counts = asked.join(there, "v", "left").groupBy("i").agg(F.sum("n").alias("n"), F.coalesce(F.sum(F.when(F.col("there"), F.col("n"))), F.lit(0)).alias("found")).collect()
-    by = {r["i"]: (r["n"], r["found"]) for r in counts}
-    return [by.get(i, (0, 0)) for i in range(len(ways))]
+    kinds = []
+    for at, c in enumerate(key):
+        seen = {_kind(target, c), *(_kind(source, way[at]) for way in ways)}
+        kinds.append(seen.pop() if len(seen) == 1 else "string")
+    on = [f"v{at}" for at in range(len(key))]
+    tagged = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), *[F.col(quoted(c)).cast(k).alias(v) for c, k, v in zip(way, kinds, on)]) for i, way in enumerate(ways)]))
+    # One row per value with a count per way: the join finds both sides dealt by value already.
+    asked = source.select(tagged.alias("t")).select("t.*").dropna(subset=on).groupBy(*on).agg(*[F.count_if(F.col("i") == i).alias(f"n{i}") for i in range(len(ways))])
+    there = target.select(*[F.col(quoted(c)).cast(k).alias(v) for c, k, v in zip(key, kinds, on)]).distinct().withColumn("there", F.lit(True))
+    totals = [F.coalesce(F.sum(x), F.lit(0)) for i in range(len(ways)) for x in (F.col(f"n{i}"), F.when(F.col("there"), F.col(f"n{i}")))]
+    got = asked.join(there, on, "left").agg(*[t.alias(f"t{i}") for i, t in enumerate(totals)]).first()
+    return [(got[2 * i], got[2 * i + 1]) for i in range(len(ways))]
 
 
 def _covers(pairs: list, source: DataFrame, target: DataFrame) -> list[tuple[list, int, int]]:

@@ -198,3 +198,12 @@ def test_a_column_that_is_a_key_alone_keeps_its_reference(spark):
     assert composite_refs(spark, catalog, lambda db, t: None).count() == 0
     assert derive_joins(catalog, composites=composite_refs(spark, catalog, lambda db, t: frames[t])).count() == 2
     assert smallest_keys(spark.createDataFrame([(1, 1, 1), (1, 2, 1), (2, 1, 1), (2, 1, None)], "a int, b int, c int"), ["a", "b", "c"]) == [("a", "b", "c")]
+
+
+def test_keys_and_ways_are_counted_by_type(spark):
+    from semaspark.operators import composite
+    frame = spark.createDataFrame([(1, 1, "1", 1.0), (2, None, "01", -0.0), (2, 2, "2", 0.0), (None, 2, "2", 0.0)], "a int, b long, c string, d double")
+    assert [composite._kind(frame, c) for c in "abcd"] == ["bigint", "bigint", "string", "string"]
+    assert smallest_keys(frame, ["a", "b", "d"]) == [("a", "b"), ("a", "d")]
+    target = spark.createDataFrame([(1, "1"), (2, "2"), (2, "2")], "x short, y string")
+    assert composite.inclusion_counts(frame, target, ("x", "y"), [("a", "c"), ("b", "c"), ("c", "a"), ("d", "c")]) == [(3, 2), (3, 3), (3, 2), (4, 0)]
