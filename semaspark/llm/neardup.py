@@ -10,10 +10,12 @@ alignment matches are 0.8 of the longer text. Classes are the connected componen
 
 Exact copies are collapsed before anything is compared. The texts that share one tuple are a bucket; its least member
 is compared with the others. Groups of copies thus become one class at one comparison a member. What shares a tuple across
-classes, such as texts with a common passage, is dealt anew by pairs of tuples; in the buckets that still hold several
-classes, growing random sets of leaders are compared with the members of other classes, until all members were leaders
-or one class is left. So no candidate pair of different classes is left out; the price is that a
-bucket of many texts that share a long passage without being near has about all its pairs compared, and some of them in several rounds.
+classes, such as texts with a common passage, is dealt anew by rare shingles: with the shingles of each text ordered by the number
+of these texts that have them, two texts that share what the similarity asks for have their rarest common shingle where as many
+follow in both. A passage, however many texts have it, thus joins those only of which it is nearly all. In the buckets that still
+hold several classes, growing random sets of leaders are compared with the members of other classes, until all members were leaders
+or one class is left. So no candidate pair of different classes that can be near is left out; the price is that texts put together
+from frequent passages alone, without being near, are compared in pairs.
 
 A class id is the least doc_id of its class. Texts without words (null, empty, blank) are each their own class. A row with
 a null doc_id gets the class of its exact copies, else null. Rows with equal doc_id count as one document. Empty tables
@@ -22,11 +24,12 @@ give no rows; other columns are kept by ``keep_one`` and not read by ``classes``
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -40,6 +43,7 @@ SHARED = 3
 LEADERS = 32
 TUPLE = 3
 SIMILAR = 0.8
+SIZES = 1.1  # a size class ends where it is this many times its least
 _MOST = np.uint64(2**64 - 1)
 _SEEDS = mix(np.arange(1, 2 * SKETCHES + 1, dtype=np.uint64)).reshape(2, SKETCHES) | np.uint64(1)
 SKETCH = T.StructType([T.StructField("n", T.LongType()), T.StructField("buckets", T.ArrayType(T.LongType()))])
@@ -187,23 +191,23 @@ def near_links(nodes: DataFrame, docs: DataFrame) -> DataFrame:
     root = stage(components(_links(members.where((F.col("leader") != F.col("node")) & fits).select(a, b).distinct(), words)), "roots")
     # Buckets of several classes, and of those the pairs that a text is in.
     now = members.join(root, "node", "left").select("bucket", "node", "n", F.coalesce("root", "node").alias("root"))
-    text = stage(_mixed(now, "bucket").groupBy("node").agg(F.array_sort(F.collect_set("bucket")).alias("b"), F.first("n").alias("n"), F.first("root").alias("root")).where(F.size("b") >= SHARED), "mixed")
-    text = text.select("node", "n", "root", "b", F.posexplode("b").alias("i", "one"))
-    text = text.select("node", "n", "root", "b", "one", F.explode(F.slice("b", F.col("i") + 2, SKETCHES)).alias("two")).select("node", "n", "root", "b", F.xxhash64("one", "two").alias("bucket"))
+    text = stage(_mixed(now, "bucket").groupBy("node").agg(F.array_sort(F.collect_set("bucket")).alias("b"), F.first("root").alias("root")).where(F.size("b") >= SHARED), "mixed")
     spread = F.pmod(F.xxhash64("node", "bucket"), F.lit(1 << 30)) / float(1 << 30)
-    c = text.groupBy("bucket").agg(F.count("*").alias("c"), F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("bucket", "c")
-    now = stage(text.join(c, "bucket").withColumn("turn", spread * F.col("c")), "mixed")
+    now = stage(rare_buckets(text.select("node", "root"), words), "rare")
+    c = now.groupBy("bucket").agg(F.count("*").alias("c"), F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("bucket", "c")
+    now = stage(now.join(c, "bucket").withColumn("turn", spread * F.col("c")).join(text.select("node", "b"), "node"), "mixed")
     turn, leaders = 0.0, float(LEADERS)
     while True:
         lead = now.where((F.col("turn") >= turn) & (F.col("turn") < leaders))
         if lead.isEmpty():
             return root
-        lead = lead.select("bucket", F.col("node").alias("one"), F.col("n").alias("one_n"), F.col("root").alias("one_root"), F.col("turn").alias("one_turn"), F.col("b").alias("one_b"))
+        lead = lead.select("bucket", F.col("node").alias("one"), F.col("n").alias("one_n"), F.col("root").alias("one_root"), F.col("turn").alias("one_turn"), F.col("b").alias("one_b"), F.col("room").alias("one_room"), F.col("size").alias("one_size"))
         fits, a, b = _pairs("one", "node", "one_n", "n")
         fresh = (F.col("turn") > F.col("one_turn")) | ((F.col("turn") == F.col("one_turn")) & (F.col("node") > F.col("one")))
         # All tuples that two texts of different classes share are in both lists.
         shared = F.size(F.array_intersect("b", "one_b")) >= SHARED
-        todo = now.join(lead, "bucket").where((F.col("root") != F.col("one_root")) & fresh & fits & shared).select(a, b).distinct()
+        enough = (F.col("other") == F.col("one_size")) & (9 * F.least("room", "one_room") >= 4 * (F.col("n") + F.col("one_n")))
+        todo = now.join(lead, "bucket").where((F.col("root") != F.col("one_root")) & fresh & fits & enough & shared).select(a, b).distinct()
         found = stage(_links(todo, words), "near")
         if not found.isEmpty():
             root = stage(_merged(root, found), "roots")
@@ -213,6 +217,35 @@ def near_links(nodes: DataFrame, docs: DataFrame) -> DataFrame:
         turn, leaders = leaders, leaders * 4
 
 
+@F.arrow_udf(T.ArrayType(T.LongType()))
+def distinct_shingles(codes: pa.Array) -> pa.Array:
+    """The distinct shingles of each text, as ``similar`` counts them."""
+    out = []
+    for c in codes:
+        w = np.frombuffer(c.as_buffer(), "<u4")
+        out.append(np.unique(shingles(w.astype(np.uint64), np.zeros(len(w), np.int64), 1)[0]).view(np.int64))
+    at = np.cumsum([0, *map(len, out)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(out) if out else np.zeros(0, np.int64)))
+
+
+def rare_buckets(text: DataFrame, words: DataFrame) -> DataFrame:
+    """node, root, n, room, size, other, bucket: the places where a text can have its rarest shingle in common with a near one.
+
+    Shingles go from rare to frequent, ties by value. Similarity 0.8 means 9 * shared >= 4 * (sizes of both), and what two texts share lies
+    at their rarest common shingle or after it, where ``room`` shingles are left. So a place holds for partners of
+    sizes up to 9 / 4 * room - n; buckets are a shingle and the size classes of both. text: node, root; words: node, codes."""
+    each = text.join(words, "node").select("node", "root", distinct_shingles("codes").alias("items"))
+    each = each.select("node", "root", F.size("items").cast("long").alias("n"), F.explode("items").alias("item"))
+    seen = each.groupBy("item").agg(F.count("*").alias("seen")).where("seen > 1")
+    order = Window.partitionBy("node").orderBy(F.desc("seen"), F.desc("item"))
+    placed = each.join(seen, "item").withColumn("room", F.row_number().over(order).cast("long"))
+    least, most = F.expr("(4 * n + 4) div 5"), F.least(F.expr("5 * n div 4"), F.expr("9 * room div 4 - n"))
+    size = lambda n: F.floor(F.log(n.cast("double")) / math.log(SIZES))
+    placed = placed.where(least <= most).withColumn("size", size(F.col("n"))).withColumn("other", F.explode(F.sequence(size(least), size(most))))
+    bucket = F.xxhash64("item", F.least("size", "other"), F.greatest("size", "other"))
+    return placed.select("node", "root", "n", "room", "size", "other", bucket.alias("bucket"))
+
+
 def _mixed(rows: DataFrame, bucket: str) -> DataFrame:
     """The rows of buckets that hold more than one class."""
     several = rows.groupBy(bucket).agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select(bucket)

@@ -84,3 +84,33 @@ def test_components(spark):
     got = dict(components(spark.createDataFrame(links, "a long, b long")).collect())
     assert got == {**{i: 0 for i in range(51)}, 100: 100, 200: 100, 300: 100}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_a_common_passage_makes_no_pairs(spark, monkeypatch):
+    rng = random.Random(5)
+    own = lambda k: [f"u{rng.randrange(10**7)}" for _ in range(k)]
+    passage = own(150)
+    texts = {i: passage + own(60) for i in range(150)}
+    texts |= {1000 + i: texts[i][:-1] + own(1) for i in range(0, 150, 10)}  # near texts among them are still found
+    counted, links = [], neardup._links
+    monkeypatch.setattr(neardup, "_links", lambda pairs, words: counted.append(pairs.count()) or links(pairs, words))
+    rows = [(i, " ".join(w), "en", "a") for i, w in texts.items()]
+    got = {r["doc_id"]: r["class_id"] for r in neardup.classes(make(spark, rows)).collect()}
+    assert got == brute({r[0]: r[1] for r in rows}) and len(set(got.values())) == 150
+    assert sum(counted) < 10 * len(texts)
+
+
+def test_rare_buckets_lose_no_near_pair(spark):
+    rng = random.Random(7)
+    lines = [" ".join(f"l{rng.randrange(10**6)}" for _ in range(6)) for _ in range(12)]
+    texts = {i: " ".join(rng.choice(lines) for _ in range(rng.randrange(1, 25))) for i in range(150)}
+    texts |= {500 + i: " ".join(texts[i].split()[: rng.randrange(3, 400)]) for i in range(150)} | {900: "a b", 901: "a b", 902: "a"}
+    words = spark.createDataFrame(list(texts.items()), "node long, t string").select("node", neardup.word_codes("t").alias("codes"))
+    made = defaultdict(list)
+    for r in neardup.rare_buckets(words.selectExpr("node", "node as root"), words).collect():
+        made[r["bucket"]].append(r)
+    meet = {(x["node"], y["node"]) for b in made.values() for x in b for y in b
+            if x["node"] < y["node"] and x["other"] == y["size"] and 9 * min(x["room"], y["room"]) >= 4 * (x["n"] + y["n"])}
+    sets = {i: shingle_set(t) for i, t in texts.items()}
+    near = {(i, j) for i in sets for j in sets if i < j and 10 * len(sets[i] & sets[j]) >= 8 * len(sets[i] | sets[j])}
+    assert near and near <= meet and len(meet) < len(sets) * (len(sets) - 1) // 4
