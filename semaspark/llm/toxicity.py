@@ -48,6 +48,7 @@ EDGE = " \t.,;:?\"')[]{}<>#%&*=/\\-_~^`"
 REMEMBERED = 256
 WITHIN = max(PREFIXES) + 1
 _RUNS = re.compile(r"(.)\1*", re.S)
+_PIECES = re.compile(r"(?:([a-z])(?!\1))+|(.)\2*", re.S)  # a stretch of letters that stand for themselves, or a run
 _PLAIN = re.compile("[a-z]+")
 _DEALT = re.compile(rf"[^{re.escape(SEPARATORS)}](?:[{re.escape(SEPARATORS)}][^{re.escape(SEPARATORS)}])+")
 _THRICE = re.compile(r"(.)\1\1", re.S)
@@ -178,6 +179,20 @@ class Restorer:
 
         return _TWICE.sub(single, word)
 
+    def undoubled(self, spelled: Spellings) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Points, starts and ends of all words, those of letters as _undouble gives them."""
+        points = spelled.points
+        inside = np.repeat(spelled.letters & ~spelled.plain, spelled.end - spelled.start + 1)
+        at = np.flatnonzero(inside[:-1] & (points[1:] == points[:-1]))
+        symbol = np.where(points == 10, 0, symbol_table()[np.minimum(points, 65535)]).astype(np.int64)
+        y, c, z = np.where(at > 0, symbol[at - 1], 0), symbol[at], symbol[at + 2]
+        p = self.table
+        gain = p[y, c, z] - p[y, c, c] - p[c, c, z]
+        kept = np.ones(len(points), bool)
+        kept[at[gain + TWICE_COST > 0] + 1] = False
+        upto = np.concatenate(([0], np.cumsum(kept)))
+        return points[kept], upto[spelled.start], upto[spelled.end]
+
     def _restore_run(self, words: tuple[str, ...]) -> str:
         """The likeliest words of a run whose white space may stand inside of words."""
         low = [x for x in (w.lower().strip(EDGE) for w in words) if x]
@@ -189,16 +204,40 @@ class Restorer:
 
     def _decode(self, word: str, seams: set[int] | frozenset[int], kept: bool = False) -> str:
         """Viterbi search over the states of the character model: linear in the word's length. At ``seams`` a word may end."""
-        runs = [(m[1], m.start(), m.end()) for m in _RUNS.finditer(word)]
-        pieces = []
-        for i, (char, a, b) in enumerate(runs):
-            last = i == len(runs) - 1
-            pieces.append(_options(char, b - a, 0 < i and not last, last, b - a > 1 and any(x in seams for x in range(a + 1, b)), kept))
+        pieces: list[str | list] = []
+        for m in (_RUNS if seams else _PIECES).finditer(word):
+            a, b = m.span()
+            if m.lastindex == 1 and not seams:
+                pieces.append(m[0])
+                continue
+            last = b == len(word)
+            pieces.append(_options(word[a], b - a, 0 < a and not last, last, b - a > 1 and any(x in seams for x in range(a + 1, b)), kept))
             if b in seams and not last:
                 pieces.append(_SEAM)
-        log_p = self.log_p
+        log_p, symbol = self.log_p, self.symbol
         paths: dict[int, tuple[float, tuple]] = {0: (0.0, ())}  # by 64 times the symbol before the last and the last one
         for options in pieces:
+            if isinstance(options, str):  # nothing to choose; states meet after two letters
+                at = 0
+                while len(paths) > 1 and at < len(options):
+                    char, met = options[at], {}
+                    s = symbol[ord(char)]
+                    for state, (score, before) in paths.items():
+                        score += log_p[state * SYMBOLS + s]
+                        state = state % SYMBOLS * SYMBOLS + s
+                        has = met.get(state)
+                        if has is None or has[0] < score:
+                            met[state] = (score, (before, char))
+                    paths, at = met, at + 1
+                if at < len(options):
+                    ((state, (score, before)),) = paths.items()
+                    rest = options[at:]
+                    for char in rest:
+                        s = symbol[ord(char)]
+                        score += log_p[state * SYMBOLS + s]
+                        state = state % SYMBOLS * SYMBOLS + s
+                    paths = {state: (score, (before, rest))}
+                continue
             if len(options) == 1 and len(paths) == 1 and len(options[0][0]) == 1:  # one letter after one state: nothing to choose
                 (((s,), out, cost),), ((state, (score, before)),) = options, paths.items()
                 paths = {state % SYMBOLS * SYMBOLS + s if s else 0: (score + cost + log_p[state * SYMBOLS + s], (before, out) if out else before)}
@@ -290,26 +329,28 @@ class Restorer:
         single = np.array([len(w) == 1 or len(w.strip(EDGE)) == 1 for w in words], bool)[which]
         joins = self._seams(self._all_ends(spelled, part.data, start, end)[which], row, single)
         edges = np.flatnonzero(np.diff(np.concatenate(([False], joins, [False])).astype(np.int8)))
+        first, last = edges[::2], edges[1::2] + 1
+        upto, word_at = np.concatenate(([0], np.cumsum(single))), which.tolist()
         extra, rows = [], []
-        for a, b in zip(edges[::2].tolist(), (edges[1::2] + 1).tolist()):
-            run = tuple(words[i] for i in which[a:b].tolist())
-            alone = single[a:b]
-            found = set()
-            if alone.all() and len(run) < 3:
+        for a, b, alone, of in zip(first.tolist(), last.tolist(), (upto[last] - upto[first]).tolist(), row[first].tolist()):
+            if b - a == 2:
+                if alone < 2:
+                    extra.append(words[word_at[a]] + words[word_at[a + 1]])
+                    rows.append(of)
                 continue
-            if len(run) > 2:
-                restored = (self._remember_run if sum(map(len, run)) <= REMEMBERED else self._restore_run)(run)
-                found.update(restored.split(" "))
-                if alone.sum() > WITHIN:
-                    found.update(_within(restored))
-            if len(run) == 2 or alone.all():
+            run = tuple(words[i] for i in word_at[a:b])
+            restored = (self._remember_run if sum(map(len, run)) <= REMEMBERED else self._restore_run)(run)
+            found = set(restored.split(" "))
+            if alone > WITHIN:
+                found.update(_within(restored))
+            if alone == len(run):
                 found.add("".join(run))
-            elif alone.sum() > 2:
-                at = np.flatnonzero(np.diff(np.concatenate(([False], alone, [False])).astype(np.int8)))
+            elif alone > 2:
+                at = np.flatnonzero(np.diff(np.concatenate(([False], single[a:b], [False])).astype(np.int8)))
                 found.update("".join(run[x:y]) for x, y in zip(at[::2], at[1::2]) if y - x > 2)
             found.discard("")
             extra += found
-            rows += [int(row[a])] * len(found)
+            rows += [of] * len(found)
         return words + extra, np.concatenate((which, np.arange(len(words), len(words) + len(extra)))), np.concatenate((row, np.array(rows, row.dtype))), spelled
 
 
@@ -351,15 +392,15 @@ class Wanted:
             hashed[k] = key[order], np.array([names[f] for f in texts], np.int64)[order]
         return Wanted(names, hashed)
 
-    def plain(self, spelled: Spellings) -> tuple[np.ndarray, np.ndarray]:
-        """Pairs of a plain word and a feature of it, found by hashes."""
+    def found(self, points: np.ndarray, start: np.ndarray, end: np.ndarray, some: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs of one of ``some`` words and a feature of it as it is spelled, found by hashes."""
         words, found = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        all_points = Texts(0, 1, spelled.points, np.array([0, len(spelled.points)]))
+        all_points = Texts(0, 1, points, np.array([0, len(points)]))
         for k, (keys, numbers) in self.hashed.items():
-            at = np.flatnonzero(spelled.plain & (spelled.end - spelled.start > max(k, 2)))
+            at = np.flatnonzero(some & (end - start > max(k, 2)))
             if not len(keys) or not len(at):
                 continue
-            key = all_points.hashes(spelled.start[at], spelled.start[at] + k if k else spelled.end[at])
+            key = all_points.hashes(start[at], start[at] + k if k else end[at])
             where = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
             hit = keys[where] == key
             words.append(at[hit])
@@ -376,11 +417,16 @@ def _row_features(restorer: Restorer, part: Texts, wanted: Wanted | None) -> tup
         word, feature = np.repeat(np.arange(len(each)), [len(f) for f in each]), np.array([f for fs in each for f in fs], np.int64)
     else:
         numbers = wanted.names
-        word, feature = wanted.plain(spelled)
-        rest = [*np.flatnonzero(~spelled.plain).tolist(), *range(len(spelled.plain), len(words))]
-        more = [(i, numbers[f]) for i in rest for f in restorer.features(words[i]) if f in numbers]
-        if more:
-            word, feature = (np.concatenate((x, y)) for x, y in zip((word, feature), np.array(more, np.int64).T))
+        stand, pairs = len(spelled.texts), []
+        for first, s in ((0, spelled), (stand, Spellings.of(words[stand:]))):
+            # Words of letters stand for what is written and, if some are doubled, for that without the doubled ones; no spelling has
+            # more characters than its word, so others of under three have no feature.
+            for at, number in (wanted.found(s.points, s.start, s.end, s.letters), wanted.found(*restorer.undoubled(s), s.letters & ~s.plain)):
+                pairs.append((at + first, number))
+            rest = np.flatnonzero(~s.letters & (s.end - s.start > 2))
+            more = [(i + first, numbers[f]) for i in rest.tolist() for f in restorer.features(s.texts[i]) if f in numbers]
+            pairs.append(np.array(more, np.int64).reshape(-1, 2).T)
+        word, feature = (np.concatenate(x) for x in zip(*pairs))
         order = np.argsort(word, kind="stable")
         word, feature = word[order], feature[order]
     count = np.bincount(word, minlength=len(words))

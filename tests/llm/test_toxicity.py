@@ -76,3 +76,24 @@ def test_plain_words_are_found_by_hash(restorer, monkeypatch):
     monkeypatch.setattr(restorer, "_ends", lambda w: asked.append(w) or (0, 0, 0, 0))
     toxicity._row_features(restorer, next(toxicity.chunks(toxicity.pa.array(["The", "Cat,", "[sat]", "Straße.", "ÉLAN", "a"]))), toxicity.Wanted.of(names))
     assert asked == []
+
+
+def test_doubled_and_joined_words_are_found_by_hash(restorer, monkeypatch):
+    texts = ["Stuupid bookkeeper, ÉÉLAN [aabb] succeess ooaa aaa", "you stu pid idi ot man and gooood letteer ab l.o.s.e.r d.o", "the of in to a b", "", "$cum 1d10t shi+ x 12 É"]
+    part = next(toxicity.chunks(toxicity.pa.array(texts)))
+    words, which, row = restorer.words(part)
+    slow = {(r, f) for r, w in zip(row.tolist(), which.tolist()) for f in restorer.features(words[w])}
+    names = {f: i for i, f in enumerate(sorted({f for _, f in slow}))}
+    rows, features = toxicity._row_features(restorer, part, toxicity.Wanted.of(names))
+    assert sorted(zip(rows.tolist(), features.tolist())) == sorted((r, names[f]) for r, f in slow)
+    asked = []
+    monkeypatch.setattr(restorer, "features", lambda w: asked.append(w) or ())
+    toxicity._row_features(restorer, part, toxicity.Wanted.of(names))
+    assert asked and all(not w.isalpha() or toxicity._THRICE.search(w) for w in asked) and not {"x", "12", "é", "ab"} & set(asked)
+
+
+@pytest.mark.parametrize("word", ["don't", "stu.pid", "idiot,moron", "b00kk33per", "aaab", "l.o.s.e.r", "2019th", "x-ray-and-more", "ééa.b"])
+def test_stretches_of_letters_are_decoded_like_single_runs(restorer, monkeypatch, word):
+    fast = restorer._decode(word, frozenset())
+    monkeypatch.setattr(toxicity, "_PIECES", toxicity.re.compile(r"()?(.)\2*", toxicity.re.S))
+    assert restorer._decode(word, frozenset()) == fast
