@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from semaspark.llm.frames import stage, table
-from semaspark.llm.words import Texts, chunks, gather
+from semaspark.llm.words import SMALL_CHUNK, Texts, chunks, gather
 
 CAPACITY = 4096
 END_ID = 1
@@ -92,8 +92,8 @@ class Encoder:
         self.ids[self.used : self.used + len(ids)] = ids
         at = self.used + np.concatenate(([0], np.cumsum(size)[:-1]))
         self.used += len(ids)
-        order = np.argsort(merged := np.concatenate((self.keys, keys)), kind="stable")
-        self.keys, self.at, self.size = merged[order], np.concatenate((self.at, at))[order], np.concatenate((self.size, size))[order]
+        place = np.searchsorted(self.keys, keys)  # both are sorted
+        self.keys, self.at, self.size = np.insert(self.keys, place, keys), np.insert(self.at, place, at), np.insert(self.size, place, size)
 
     def _find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         at = np.minimum(np.searchsorted(self.keys, keys), max(len(self.keys) - 1, 0))
@@ -126,6 +126,12 @@ class Encoder:
 _encoders: dict[str, Encoder] = {}
 
 
+def encoded(encoder: Encoder, texts: pa.Array) -> Iterator[tuple[Texts, np.ndarray, np.ndarray]]:
+    """Chunks of a batch with what ``encode`` gives: small ones, as encoding keeps some hundred bytes a byte and workers keep what they had."""
+    for part in chunks(texts, SMALL_CHUNK):
+        yield part, *encoder.encode(part)
+
+
 def pieces(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", capacity: int = CAPACITY) -> DataFrame:
     """PIECES: a row per piece of each document."""
 
@@ -134,8 +140,7 @@ def pieces(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text
             _encoders[path] = Encoder(path)
         for batch in batches:
             rows, start, end, crc = [], [], [], []
-            for part in chunks(batch.column(1)):
-                ids, bounds = _encoders[path].encode(part)
+            for part, ids, bounds in encoded(_encoders[path], batch.column(1)):
                 raw = memoryview(ids.astype("<u4")).cast("B")
                 count = -(-np.diff(bounds) // capacity)
                 row = np.repeat(np.arange(part.rows), count)

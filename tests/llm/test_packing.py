@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -58,3 +59,19 @@ def test_bound_and_best_fit():
     for _ in range(50):
         sizes = rng.integers(1, 101, 200)
         assert packing.lower_bound(sizes, 100) <= len(packing.best_fit_decreasing(sizes, 100)[2])
+
+
+def test_memory_does_not_follow_the_batch():
+    rng = random.Random(5)
+    words = ["".join(rng.choices("abcdefghij", k=rng.randint(2, 9))) for _ in range(2000)]
+    encoder = packing.Encoder(packing.vocabulary())
+    texts = [" ".join(rng.choices(words, k=300)) for _ in range(2000)]
+    whole = [ids.tolist() for part, ids, _ in packing.encoded(encoder, packing.pa.array(texts[:50]))]
+    encoder.forget()
+    tracemalloc.start()
+    first = next(packing.encoded(encoder, packing.pa.array(texts)))
+    for _ in packing.encoded(encoder, packing.pa.array(texts)):
+        pass
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 64 << 20 and first[1][: len(whole[0])].tolist() == whole[0]
