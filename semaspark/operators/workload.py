@@ -198,7 +198,8 @@ def derive_minimal(log: DataFrame, catalog: Catalog) -> tuple[DataFrame, DataFra
     sources = said.filter("kind = 'table'").select("db_id", "source")
     original = catalog.columns.select("db_id", F.lower("table_name").alias("source"), F.lower("column_name").alias("dimension"), "column_name")
     used = said.filter("kind = 'column'").select("db_id", "source", F.col("b").alias("dimension"))
-    dimensions = used.join(original, ["db_id", "source", "dimension"]).select("db_id", "source", "dimension", "column_name")
+    # Sorted, as in ``_with_names``: a catalog unfolds its rows after the size that Spark knows.
+    dimensions = used.join(original.hint("merge"), ["db_id", "source", "dimension"]).select("db_id", "source", "dimension", "column_name")
     observed = said.filter("kind = 'call'").select("db_id", "source", F.concat_ws("_", "b", "c").alias("measure"), F.col("b").alias("op"), F.col("c").alias("column_name"))
     rows = dimensions.select("db_id", "source").distinct().select(
         "db_id", "source", F.lit("row_count").alias("measure"), F.lit("count").alias("op"), F.lit(None).cast("string").alias("column_name"))

@@ -50,3 +50,26 @@ def test_pairs_of_columns_unfold_numbers(spark):
     assert {(i, j): same for (_, side, i, j), (same, _) in found.items() if side == "gold"} == {
         (0, 1): False, (1, 0): False, (0, 2): True, (2, 0): True, (1, 2): False, (2, 1): False}
     assert found[1, "gold", 0, 1] == found[1, "pred", 0, 1] == found[1, "gold", 2, 1] != found[1, "gold", 1, 0]
+
+
+def unfolded(spark, path):
+    """A catalog that is a small file before it is unfolded; that is the size Spark would go by."""
+    from semaspark.sources.catalog import RAW_SCHEMA, load_catalog, raw_catalog
+
+    raw = [(f"db_{i}", ["a", "b"], [["-1", "*"], ["0", "Id"], ["1", "Id"], ["1", "a_id"]], ["text", "number", "number", "number"], [1, 2], [[3, 1]]) for i in range(3)]
+    spark.createDataFrame(raw, RAW_SCHEMA).write.parquet(path)
+    return load_catalog(raw_catalog(spark.read.parquet(path)))
+
+
+def broadcasts(df):
+    return "BroadcastHashJoin" in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_unfolded_names_of_a_log_are_not_broadcast(spark, tmp_path):
+    from semaspark.operators.workload import derive_minimal
+
+    log = spark.createDataFrame([("db_1", "SELECT max(a_id) FROM b")], "db_id string, query string")
+    _, dims, measures = derive_minimal(log, unfolded(spark, f"{tmp_path}/catalog"))
+    assert not broadcasts(dims) and not broadcasts(measures)
+    assert [tuple(r) for r in dims.collect()] == [("db_1", "b", "a_id", "a_id")]
+    assert sorted(r["measure"] for r in measures.collect()) == ["max_a_id", "row_count"]
