@@ -81,7 +81,7 @@ def derive_joins(catalog: Catalog, mode: str = "compat", drop_duplicates: bool =
     if composites is not None:
         refs = _together(refs, composites)
     names = named_columns(catalog.columns, mode).groupBy("db_id", F.col("table_idx").alias("src_idx")).agg(F.collect_set("dimension").alias("taken"))
-    refs = refs.join(names, ["db_id", "src_idx"], "left").withColumn("taken", F.coalesce("taken", F.array().cast("array<string>")))
+    refs = refs.join(names.hint("merge"), ["db_id", "src_idx"], "left").withColumn("taken", F.coalesce("taken", F.array().cast("array<string>")))
     table = Window.partitionBy("db_id", "src_idx")
     refs = refs.withColumn("same_target", F.count("*").over(Window.partitionBy("db_id", "src_idx", "dst_idx"))).withColumn(
         "earlier", F.row_number().over(Window.partitionBy("db_id", "src_idx", "dst_source").orderBy("ref_no")) - 1)
@@ -107,7 +107,7 @@ def derive_joins(catalog: Catalog, mode: str = "compat", drop_duplicates: bool =
 def _together(refs: DataFrame, composites: DataFrame) -> DataFrame:
     """One row per reference: the pairs of a composite one in the order of the catalog, named by the first."""
     members = composites.select("db_id", F.array_min("refs").alias("lead"), F.explode("refs").alias("ref_no"))
-    whole = refs.join(members, ["db_id", "ref_no"], "left").withColumn("lead", F.coalesce("lead", "ref_no"))
+    whole = refs.join(members.hint("merge"), ["db_id", "ref_no"], "left").withColumn("lead", F.coalesce("lead", "ref_no"))
     pair = F.struct("ref_no", "src_snake", "src_field", "dst_field")
     grouped = whole.groupBy("db_id", "src_idx", "src_source", "dst_idx", "dst_source", "lead").agg(F.sort_array(F.collect_list(pair)).alias("ps"))
 
@@ -123,30 +123,31 @@ def dependency_levels(tables: DataFrame, refs: DataFrame) -> DataFrame:
 
     All databases advance together: each round takes the tables whose references are all
     placed. The number of rounds is the longest chain. What is left when a round takes
-    nothing lies on or behind a cycle and goes last in its database."""
+    nothing lies on or behind a cycle and goes last in its database. Joins are sorted: a catalog unfolds its rows after the size
+    that Spark knows, and a checkpoint keeps that size, so it would broadcast them all."""
     edges = cut_lineage(refs.filter("src_idx <> dst_idx").select("db_id", "src_idx", "dst_idx").distinct())
     left = cut_lineage(tables.select("db_id", "table_idx"))
     placed, level = left.limit(0).select("db_id", "table_idx", F.lit(0).alias("level")), 0
     while True:
         waiting = edges.select("db_id", F.col("src_idx").alias("table_idx"))
-        ready = cut_lineage(left.join(waiting, ["db_id", "table_idx"], "left_anti"))
+        ready = cut_lineage(left.join(waiting.hint("merge"), ["db_id", "table_idx"], "left_anti"))
         if ready.isEmpty():
             break
         placed = placed.union(ready.select("db_id", "table_idx", F.lit(level).alias("level")))
-        left = cut_lineage(left.join(ready, ["db_id", "table_idx"], "left_anti"))
-        edges = cut_lineage(edges.join(ready.withColumnRenamed("table_idx", "dst_idx"), ["db_id", "dst_idx"], "left_anti"))
+        left = cut_lineage(left.join(ready.hint("merge"), ["db_id", "table_idx"], "left_anti"))
+        edges = cut_lineage(edges.join(ready.withColumnRenamed("table_idx", "dst_idx").hint("merge"), ["db_id", "dst_idx"], "left_anti"))
         level += 1
     last = placed.groupBy("db_id").agg((F.max("level") + 1).alias("last"))
-    cyclic = left.join(last, "db_id", "left").select("db_id", "table_idx", F.coalesce("last", F.lit(0)).alias("level"), F.lit(True).alias("cyclic"))
+    cyclic = left.join(last.hint("merge"), "db_id", "left").select("db_id", "table_idx", F.coalesce("last", F.lit(0)).alias("level"), F.lit(True).alias("cyclic"))
     return placed.withColumn("cyclic", F.lit(False)).union(cyclic)
 
 
 def derive_sources(catalog: Catalog, mode: str = "compat") -> DataFrame:
     fields = named_columns(catalog.columns, mode).select("db_id", "col_idx", "field")
-    keys = catalog.keys.join(fields, ["db_id", "col_idx"]).groupBy("db_id", "table_idx").agg(
+    keys = catalog.keys.join(fields.hint("merge"), ["db_id", "col_idx"]).groupBy("db_id", "table_idx").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("key_no", "field"))), lambda k: k["field"]).alias("primary_key"))
     levels = dependency_levels(catalog.tables, catalog.refs)
-    return (catalog.tables.join(keys, ["db_id", "table_idx"], "left").join(levels, ["db_id", "table_idx"])
+    return (catalog.tables.join(keys.hint("merge"), ["db_id", "table_idx"], "left").join(levels.hint("merge"), ["db_id", "table_idx"])
             .select("db_id", source_name(F.col("table_name"), mode).alias("source"), "table_name",
                     F.coalesce("primary_key", F.array().cast("array<string>")).alias("primary_key"), "level", "cyclic"))
 

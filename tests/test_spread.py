@@ -73,3 +73,11 @@ def test_unfolded_names_of_a_log_are_not_broadcast(spark, tmp_path):
     assert not broadcasts(dims) and not broadcasts(measures)
     assert [tuple(r) for r in dims.collect()] == [("db_1", "b", "a_id", "a_id")]
     assert sorted(r["measure"] for r in measures.collect()) == ["max_a_id", "row_count"]
+
+
+def test_unfolded_models_are_not_broadcast(spark, tmp_path):
+    from semaspark.operators.derive import derive_model
+
+    full = derive_model(unfolded(spark, f"{tmp_path}/catalog"))
+    assert not broadcasts(full.sources) and not broadcasts(full.joins)
+    assert sorted(r[:3] for r in full.sources.select("db_id", "source", "level").collect()) == [(f"db_{i}", t, n) for i in range(3) for t, n in (("a", 0), ("b", 1))]
