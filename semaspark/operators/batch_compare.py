@@ -7,24 +7,34 @@ and the one join on the question alone is salted.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from semaspark.functions.normalize import normalize
 from semaspark.operators.compare import GOLD, PRED, _tagged, fingerprint, hash_pair
-from semaspark.session import cut_lineage, sized
+from semaspark.session import BROADCAST_ROWS, cut_lineage, sized, stage_rows
 
 SALTS = 32
+PIECES = 3
 
 
-def _salted_join(rows: DataFrame, per_question: DataFrame, spread: Column) -> DataFrame:
+def _salted_join(rows: DataFrame, per_question: DataFrame, spread: Column, pieces: int = 1) -> DataFrame:
     """Join one row per question to the many rows of it. A short list of questions is sent to the
-    rows; for a long one ``spread`` divides a hot question."""
+    rows; for a long one ``spread`` divides a hot question. Rows that are staged can be read again for each of ``pieces`` lists, which
+    takes no disk, as a shuffle of them would."""
     keys = ["question_id"]
-    per_question, small = sized(per_question)
+    per_question, small = sized(per_question, BROADCAST_ROWS)
     if small:
         return rows.join(per_question, keys)
+    n = -(-per_question.count() // BROADCAST_ROWS)
+    if n <= pieces and rows.schema["question_id"].dataType == per_question.schema["question_id"].dataType:
+        of = F.pmod(F.xxhash64("question_id"), F.lit(n))
+        each = [rows.filter(of == i).join(F.broadcast(per_question.filter(of == i)), keys) for i in range(n)]
+        return reduce(DataFrame.unionByName, each)
     salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
     left = rows.withColumn("__salt", F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int"))
     # Sorted, because the size that Spark estimates knows nothing of the salts: it would broadcast them all.
@@ -63,31 +73,41 @@ def rows_of_cells(cells: DataFrame) -> DataFrame:
 def compare_rows(headers: DataFrame, rows: DataFrame) -> DataFrame:
     """Verdicts ``question_id, match, error`` for rows (question_id, side, pos, vals)."""
     early = early_verdicts(headers)
-    # The narrow answers are used three times below and cost a scan each: stage them once.
+    # The narrow answers are used three times below and cost a scan each: stage them once. Positions that do not count are left out.
     open_questions = early.filter("match is null").select("question_id", "ordered")
-    rows = cut_lineage(_salted_join(rows, open_questions, F.xxhash64("side", "pos")))
+    rows = _salted_join(rows.select("question_id", "side", "pos", "vals"), open_questions, F.xxhash64("side", "pos"))
+    rows = stage_rows(rows.withColumn("pos", F.when(F.col("ordered"), F.col("pos"))), "answers")
     slots = _column_slots(rows)
     comparable = cut_lineage(slots.filter("comparable"))
     # Rows of a guessed order of columns are dealt by value only where fingerprints of the whole rows agree.
     guessed = comparable.filter("ambiguous")
     unlike = cut_lineage(_unlike(_placed(rows, guessed))) if not guessed.isEmpty() else guessed.select("question_id")
     equal = equal_bags(_placed(rows, comparable.join(unlike, "question_id", "left_anti")))
-    placed = _placed(rows, guessed)
     done = comparable.select("question_id", "classes", "n_single", "ambiguous").join(equal, "question_id", "left").withColumn("equal", F.coalesce("equal", F.lit(False)))
     done = cut_lineage(done)
     unclear = done.filter("ambiguous and not equal").select("question_id", "classes")
     verdict = done.select("question_id", "equal")
     if not unclear.isEmpty():
-        found = resolve(placed, unclear).withColumn("found", F.lit(True))
+        # No second copy of the rows: they are staged, and each use below meets them in one join.
+        left = guessed.select("question_id", "gold_cols", "pred_cols").join(unclear, "question_id")
+        found = _resolved(_placed(rows, left), unclear, lambda slots: _placed(rows, _through(left, slots))).withColumn("found", F.lit(True))
         verdict = verdict.join(found, "question_id", "left").select(
             "question_id", (F.col("equal") | F.coalesce("found", F.lit(False))).alias("equal"))
     return early.join(verdict, "question_id", "left").select(
         "question_id", F.coalesce("match", "equal", F.lit(False)).alias("match"), "error")
 
 
+def _through(first: DataFrame, slots: DataFrame) -> DataFrame:
+    """Slots over the columns that are in the order of ``first``, as slots over the columns they were taken from."""
+    def taken(name: str) -> Column:
+        return F.transform(F.col(f"s.{name}"), lambda i: F.get(F.col(f"f.{name}"), i)).alias(name)
+
+    return first.alias("f").join(slots.alias("s"), "question_id").select("question_id", taken("gold_cols"), taken("pred_cols"))
+
+
 def _placed(rows: DataFrame, slots: DataFrame) -> DataFrame:
-    """Rows of the questions of ``slots`` with their columns in slot order."""
-    return _salted_join(rows, slots, F.xxhash64("side", "pos")).select(
+    """Staged rows of the questions of ``slots`` with their columns in slot order."""
+    return _salted_join(rows, slots.select("question_id", "gold_cols", "pred_cols"), F.xxhash64("side", "pos", "vals"), PIECES).select(
         "question_id", "side", F.when(F.col("ordered"), F.col("pos")).alias("pos"),
         F.transform(F.when(F.col("side") == GOLD, F.col("gold_cols")).otherwise(F.col("pred_cols")),
                     lambda i: F.element_at("vals", i + 1)).alias("vals"))
@@ -181,10 +201,15 @@ def resolve(placed: DataFrame, unclear: DataFrame) -> DataFrame:
     ``placed``: question_id, side, pos, vals; ``unclear``: question_id, classes. Colours settle what they can: different
     colours on the two sides mean no mapping, and a colour for each column leaves one to confirm. What is left is searched inside
     its colours."""
-    rows = cut_lineage(_salted_join(placed, unclear.select("question_id"), F.xxhash64("side", "pos", "vals")))
+    rows = stage_rows(_salted_join(placed, unclear.select("question_id"), F.xxhash64("side", "pos", "vals")), "unclear")
+    plain = rows.withColumn("ordered", F.lit(True))  # as given: their positions count where there are any
+    return _resolved(rows, unclear, lambda slots: _placed(plain, slots))
+
+
+def _resolved(rows: DataFrame, unclear: DataFrame, in_order: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``resolve`` for rows of these questions alone; ``in_order`` gives them with their columns in the order of slots."""
     slots = cut_lineage(_slots(refine(rows, unclear)[0]).filter("comparable"))
-    ordered = _salted_join(rows, slots, F.xxhash64("side", "pos", "vals")).select("question_id", "side", "pos", F.transform(
-        F.when(F.col("side") == GOLD, F.col("gold_cols")).otherwise(F.col("pred_cols")), lambda i: F.get("vals", i)).alias("vals"))
+    ordered = in_order(slots)
     done = cut_lineage(slots.join(equal_bags(ordered), "question_id"))
     found = done.filter("equal").select("question_id")
     left = done.filter("ambiguous and not equal").select(
@@ -203,7 +228,7 @@ def search_mappings(rows: DataFrame, start: DataFrame) -> DataFrame:
     mapping or no prefix left, so it is exact, without a limit on columns. What it keeps
     between steps is a list of prefixes, not rows.
     """
-    rows = cut_lineage(_salted_join(rows, start.select("question_id"), F.xxhash64("side", "pos", "vals")))
+    rows = stage_rows(_salted_join(rows, start.select("question_id"), F.xxhash64("side", "pos", "vals")), "searched")
     classes = cut_lineage(start.select("question_id", "classes"))
     frontier = cut_lineage(start.select("question_id", "prefix"))
     found = frontier.limit(0).select("question_id")

@@ -81,3 +81,35 @@ def test_unfolded_models_are_not_broadcast(spark, tmp_path):
     full = derive_model(unfolded(spark, f"{tmp_path}/catalog"))
     assert not broadcasts(full.sources) and not broadcasts(full.joins)
     assert sorted(r[:3] for r in full.sources.select("db_id", "source", "level").collect()) == [(f"db_{i}", t, n) for i in range(3) for t, n in (("a", 0), ("b", 1))]
+
+
+def compared(spark):
+    """Four questions of two columns alike and one that tells them apart; 1 is turned round as a whole, 2 in part, 3 not at all, 4 is ordered."""
+    from semaspark.operators import batch_compare as B
+
+    def one(q, side, turned):
+        pairs = [(str(2 * i), str(2 * i + 1)) for i in range(6)]
+        rows = [(b, a, z) if turned(i) else (a, b, z) for i, (x, y) in enumerate(pairs) for a, b, z in ((x, y, "0"), (y, x, "1"))]
+        return [(q, side, n, list(v)) for n, v in enumerate(rows)]
+
+    never, always, some = (lambda i: False), (lambda i: True), (lambda i: i == 2)
+    data = [r for q, t in ((1, always), (2, some), (3, never), (4, always)) for r in one(q, "gold", never) + one(q, "pred", t)]
+    rows = spark.createDataFrame(data, "question_id bigint, side string, pos bigint, vals array<string>")
+    heads = spark.createDataFrame([(q, side, 12, 3, None, q == 4) for q in range(1, 5) for side in ("gold", "pred")],
+                                  "question_id bigint, side string, n_rows bigint, n_cols int, error string, ordered boolean")
+    return {r["question_id"]: r["match"] for r in B.compare_rows(heads, rows).collect()}
+
+
+def test_rows_are_staged_once_and_not_dealt(spark, monkeypatch):
+    from semaspark.operators import batch_compare as B
+
+    wide, staged = [], []
+    cut, stage = B.cut_lineage, B.stage_rows
+    monkeypatch.setattr(B, "cut_lineage", lambda df: (wide.append("vals" in df.columns), cut(df))[1])
+    monkeypatch.setattr(B, "stage_rows", lambda df, label: (staged.append(label), stage(df, label))[1])
+    want = {1: True, 2: False, 3: True, 4: True}
+    assert compared(spark) == want and not any(wide) and staged == ["answers"]
+    for most, pieces in ((2, 3), (2, 1)):  # the lists are sent in pieces; they are dealt with the rows
+        monkeypatch.setattr(B, "BROADCAST_ROWS", most)
+        monkeypatch.setattr(B, "PIECES", pieces)
+        assert compared(spark) == want
